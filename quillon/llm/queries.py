@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .mixing import mix_sources
+from .substring_dedup import remove_repeated_passages
+from .suffix_dedup import remove_repeated_suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,5 +81,34 @@ FROM e
 """
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_source_mixing": op3_source_mixing}
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_source_mixing": OP3_SQL}
+def _passages(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passages(remove_repeated_passages(_table(spark, sf_dir, "documents"), length=50))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passages(remove_repeated_suffixes(_table(spark, sf_dir, "documents"), length=50))
+
+
+PASSAGES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), f AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+cut AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN f USING (h) WHERE doc_id > first),
+kept AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.p) AS t, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) a ANTI JOIN cut ON a.doc_id = cut.doc_id AND a.p = cut.p
+  GROUP BY a.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_source_mixing": op3_source_mixing, "op4_substring_dedup": op4_substring_dedup, "op8_suffix_array_dedup": op8_suffix_array_dedup}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_source_mixing": OP3_SQL, "op4_substring_dedup": PASSAGES_SQL, "op8_suffix_array_dedup": PASSAGES_SQL}
