@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .substring_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_suffixes
 
@@ -110,5 +111,36 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_source_mixing": op3_source_mixing, "op4_substring_dedup": op4_substring_dedup, "op8_suffix_array_dedup": op8_suffix_array_dedup}
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_source_mixing": OP3_SQL, "op4_substring_dedup": PASSAGES_SQL, "op8_suffix_array_dedup": PASSAGES_SQL}
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+def near_sql(words: int, docs: str = "documents") -> str:
+    """Exact classes: candidates share one of their rarest shingles (prefix filter), links are closed recursively."""
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM {docs}
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + {words} - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words} + 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), f AS (SELECT s, count(*) AS df FROM g GROUP BY s),
+o AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM g JOIN f USING (s)
+), p AS (SELECT doc_id, s, n FROM o WHERE r <= n - (80 * n + 99) // 100 + 1),
+sets AS (SELECT doc_id, list(s) AS l, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+k AS (
+  SELECT a, b, len(list_intersect(x.l, y.l)) AS i, x.n + y.n AS t FROM c JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+), e AS (SELECT a, b FROM k WHERE 100 * i >= 80 * (t - i)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a AS x, b AS y FROM both_ways UNION SELECT r.x, e2.b FROM reach r JOIN both_ways e2 ON r.y = e2.a),
+classes AS (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (doc_id)
+"""
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_source_mixing": op3_source_mixing, "op4_substring_dedup": op4_substring_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_suffix_array_dedup": op8_suffix_array_dedup}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_source_mixing": OP3_SQL, "op4_substring_dedup": PASSAGES_SQL, "op7_minhash_near_dedup": near_sql(2), "op8_suffix_array_dedup": PASSAGES_SQL}
