@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
+from .line_dedup import remove_repeated_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .quality import held_out, score_quality, train
 from .substring_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_suffixes
 from .topk import top_k
@@ -163,10 +165,40 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_lines(_table(spark, sf_dir, "documents"), min_lines=3)
+    return found.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''),
+win AS (SELECT doc_id, i, md5(array_to_string(l[i : i + 2], chr(10))) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM later),
+kept AS (
+  SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.p) AS t, count(*) AS n
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS p FROM d) a ANTI JOIN gone ON a.doc_id = gone.doc_id AND a.p = gone.p
+  GROUP BY a.doc_id
+)
+SELECT documents.doc_id, CAST(coalesce(len(d.l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(d.l), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_deleted,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"))
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_exact_topk": op6_exact_topk,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
@@ -175,6 +207,7 @@ QUERIES = {
 #: What SQL cannot express (trees, page trees, archives) is tested against brute force, held-out accuracy or a round trip.
 ORACLE_SQL = {
     "op1_decontamination": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
     "op3_source_mixing": OP3_SQL,
     "op4_substring_dedup": PASSAGES_SQL,
     "op6_exact_topk": OP6_SQL,

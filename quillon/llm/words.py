@@ -55,10 +55,11 @@ _LOWER[65:91] += 32
 
 @dataclass
 class Block:
-    """Words of some consecutive texts. ``first[i]:first[i + 1]`` are those of text i."""
+    """Words of some consecutive texts: ``first[i]:first[i + 1]`` are those of text i, ``cut[i]:cut[i + 1]`` its bytes."""
 
     row: int
     raw: np.ndarray
+    cut: np.ndarray
     first: np.ndarray
     start: np.ndarray
     end: np.ndarray
@@ -103,7 +104,7 @@ def blocks(column: pa.Array, *, lower: bool = False) -> Iterator[Block]:
         sums = np.zeros(len(part) + 1, _U)
         np.cumsum(value[part] * up[: len(part)], out=sums[1:])
         hashed = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
-        yield Block(i, part, np.searchsorted(start, cut), start, end, hashed)
+        yield Block(i, part, cut, np.searchsorted(start, cut), start, end, hashed)
         i = j
 
 
