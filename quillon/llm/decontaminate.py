@@ -140,9 +140,13 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
+    keep_columns: bool = False,
 ) -> DataFrame:
     """Per document: id, n_words, n_hit, items (sorted strings), spans (original code point offsets).
 
+    With ``keep_columns`` the row keeps all columns of ``docs`` in place of the
+    id alone (those named like a result column are replaced).
+
     Null or empty texts have no words and no hits; null items are skipped (an
     item with a null id counts as item ``null``); repeated documents each give
     a row; an empty benchmark hits nothing. Benchmarks above
@@ -150,12 +154,13 @@ def find_contamination(
     the same tasks, so that none outgrows a worker.
     """
     spark = docs.sparkSession
+    kept = [F.col(c) for c in docs.columns if c not in ("n_words", "spans", "n_hit", "items")] if keep_columns else [F.col(id_col)]
     rows = docs.select(
-        F.col(id_col).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.lit(None).cast("binary").alias("_hit"), F.array().cast("array<string>").alias("_items")
+        F.struct(*kept).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.lit(None).cast("binary").alias("_hit"), F.array().cast("array<string>").alias("_items")
     )
     kind = rows.schema["_row"].dataType.simpleString()
     several = list(map(spark.sparkContext.broadcast, _benchmark_blocks(benchmark, item_col, item_text_col)))
     for i, shared in enumerate(several):
         last = i == len(several) - 1
         rows = rows.mapInArrow(_scanner(shared, window, shared._jbroadcast.id(), last), (_RESULT if last else _STATE).format(kind))
-    return rows.withColumnRenamed("_row", id_col)
+    return rows.select("_row.*", "n_words", "n_hit", "items", "spans")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
+from .html_main import extract_main_text
 from .line_dedup import remove_repeated_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -161,6 +162,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
@@ -202,6 +208,7 @@ QUERIES = {
     "op6_exact_topk": op6_exact_topk,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_warc": op10_warc,
 }
 #: What SQL cannot express (trees, page trees, archives) is tested against brute force, held-out accuracy or a round trip.
