@@ -1,3 +1,67 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark,sf_dir): raise NotImplementedError
+"""Corpus pipeline: quality filter, line dedup, near-dedup, decontamination, mixing.
+
+Every stage takes what its predecessor kept, as a table with the columns of
+``documents``, and all but the last return such a table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm.decontaminate import find_contamination
+from quillon.llm.line_dedup import remove_repeated_lines
+from quillon.llm.mixing import mix_sources
+from quillon.llm.near_dedup import near_duplicates
+from quillon.llm.quality import score_quality, train
+from quillon.llm.shared import materialize
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score below 0.7) go."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model).where("score >= 0.7").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of three or more lines are deleted from the texts; ``n_chars`` follows."""
+    kept = remove_repeated_lines(docs, min_lines=3)
+    return kept.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    gone = near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(materialize(gone, "near-gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, keep_columns=True)
+    return found.where("n_hit = 0").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes from each document that is left."""
+    return mix_sources(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_filter),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mixing),
+]
+
+#: Boosted trees are not expressible in SQL; the stages are tested one by one against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
