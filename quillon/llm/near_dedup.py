@@ -4,10 +4,12 @@ A document's shingle hashes fall into buckets; a bucket keeps the smallest
 value, compressed to its leading-zero count and the mantissa bits after it.
 Empty buckets borrow from others in a fixed random order. Bands of registers
 give candidates, collision-corrected estimates discard most false ones, and
-what is left is verified on full shingle sets. Equal sets are one node. In a
-band bucket everyone is first compared with the smallest document alone; only
-members that are still in different classes are compared with each other, in
-packs of bounded size, so no bucket is expanded into its pairs.
+what is left is verified on full shingle sets. Equal sets are one node. First
+each document is compared with one candidate, the leader it meets in most of
+its buckets. What is in different classes then and shares a bucket is compared
+in packs of bounded size inside the tasks: families of documents that are alike
+on their full sets, other members of a bucket by estimate. So no bucket is
+expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import materialize
+from .shared import drop_materialized, materialize
 from .words import Block, blocks, mix, prefix, spans
 
 BITS, MANTISSA, BAND = 8, 10, 6
 BUCKETS = 1 << BITS
 BANDS = BUCKETS // BAND
 PACK = 256
+DENSE = 3  # buckets in which two documents of a family meet: at a similarity of 0.65 that is the mean
 _U = np.uint64
 _PROBES = np.argsort(mix(np.arange(1, BUCKETS * BUCKETS + 1, dtype=_U)).reshape(BUCKETS, BUCKETS), axis=1)
 
@@ -90,10 +93,10 @@ def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.nd
 
 
 def may_link(est: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """False only where the estimate is six standard errors too low or the sizes rule the similarity out."""
+    """False only where the estimate is 4.5 standard errors too low (3 in a million at the very limit) or the sizes rule the similarity out."""
     low, high = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     s = percent / 100
-    return (est >= s - 6 * np.sqrt(s * (1 - s) / np.minimum(np.maximum(low, 1), BUCKETS))) & (100 * low >= percent * high)
+    return (est >= s - 4.5 * np.sqrt(s * (1 - s) / np.minimum(np.maximum(low, 1), BUCKETS))) & (100 * low >= percent * high)
 
 
 def _sign(k: int):
@@ -132,20 +135,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(doc)], names=["key", "doc"])
 
 
-def _likely(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            est = estimate(_regs(batch.column("regs_a")), _regs(batch.column("regs_b")), n_a, n_b)
-            yield batch.select(["a", "b"]).filter(pa.array(may_link(est, n_a, n_b, percent)))
-
-    return run
-
-
-def _verify(k: int, percent: int):
-    """Exact similarity of two texts on their full shingle sets."""
+def _check(k: int, percent: int):
+    """Estimate first; what may link is verified exactly on the full shingle sets of both texts."""
 
     def sets(column: pa.Array) -> Iterator[np.ndarray]:
         for block in blocks(column, lower=True):
@@ -154,6 +145,11 @@ def _verify(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+            est = estimate(_regs(batch.column("regs_a")), _regs(batch.column("regs_b")), n_a, n_b)
+            batch = batch.filter(pa.array(may_link(est, n_a, n_b, percent)))
             linked = []
             for x, y in zip(sets(batch.column("text_a")), sets(batch.column("text_b")), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -163,60 +159,134 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _members(row: list[dict], *names: str) -> list[np.ndarray]:
+    return [np.array([m[c] for m in row], np.int64) for c in names]
+
+
 def _cross(percent: int):
-    """Pairs of two packs that are in different classes and whose registers say they may link."""
+    """Pairs of two packs of a bucket that are in different classes and families and whose registers say they may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
             for row in batch.to_pylist():
-                x, y = row["x"], row["y"]
-                docs = [np.array([m["doc"] for m in p]) for p in (x, y)]
-                comp = [np.array([m["comp"] for m in p]) for p in (x, y)]
-                size = [np.array([m["n"] for m in p]) for p in (x, y)]
-                regs = [np.frombuffer(b"".join(m["regs"] for m in p), np.uint16).reshape(-1, BUCKETS) for p in (x, y)]
-                for i in range(len(docs[0])):
-                    ok = (comp[1] != comp[0][i]) & may_link(estimate(regs[0][i], regs[1], size[0][i], size[1]), size[0][i], size[1], percent)
-                    if row["same"]:
-                        ok &= docs[1] > docs[0][i]
-                    out_a += [docs[0][i]] * int(ok.sum())
-                    out_b += docs[1][ok].tolist()
+                (da, ca, fa, na), (db, cb, fb, nb) = (_members(row[p], "doc", "comp", "family", "n") for p in "xy")
+                regs = [np.frombuffer(b"".join(m["data"] for m in row[p]), np.uint16).reshape(-1, BUCKETS) for p in "xy"]
+                for i in range(len(da)):
+                    open_ = np.flatnonzero((cb != ca[i]) & (fb != fa[i]) & ((db > da[i]) if row["same"] else True))
+                    if len(open_):
+                        ok = open_[may_link(estimate(regs[0][i], regs[1][open_], na[i], nb[open_]), na[i], nb[open_], percent)]
+                        out_a += [da[i]] * len(ok)
+                        out_b += db[ok].tolist()
             a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    left, right = (texts.select(F.col("doc").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
+def _incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
+    """Which of some common hashes each set holds."""
+    out = np.zeros((len(sets), len(common)), np.float32)
+    for i, x in enumerate(sets):
+        at = np.searchsorted(common, x)
+        at[at == len(common)] = 0
+        out[i, at[common[at] == x]] = 1
+    return out
+
 
+def _dense(percent: int):
+    """Links of two packs of a family, exact on full sets: one for each document and other class."""
 
-def _cross_pairs(shared: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Candidates between classes that meet in a band bucket, found pack by pack."""
-    known = shared.join(comps, shared.doc == comps.node, "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [], []
+            for row in batch.to_pylist():
+                (da, ca, na), (db, cb, nb) = (_members(row[p], "doc", "comp", "n") for p in "xy")
+                x, y = ([np.frombuffer(m["data"], _U) for m in row[p]] for p in "xy")
+                common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+                both = np.zeros((len(x), len(y)), np.float32)
+                for at in range(0, len(common), 1 << 14):
+                    part = common[at : at + (1 << 14)]
+                    both += _incidence(x, part) @ _incidence(y, part).T
+                both = both.astype(np.int64)
+                linked = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (ca[:, None] != cb[None, :])
+                for i in np.flatnonzero(linked.any(axis=1)):
+                    j = np.flatnonzero(linked[i])
+                    j = j[np.unique(cb[j], return_index=True)[1]]
+                    out_a += [da[i]] * len(j)
+                    out_b += db[j].tolist()
+            a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def _full_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data: list[bytes] = []
+            for block in blocks(batch.column("text"), lower=True):
+                hashes, at = shingle_sets(block, k)
+                data += [hashes[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([len(d) // 8 for d in data], pa.int64()), pa.array(data, pa.binary())], names=["doc", "n", "data"])
+
+    return run
+
+
+def _links(pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+    names = ("n", "regs", "text")
+    left, right = (members.select(F.col("doc").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names]) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", *[f"{x}_{c}" for x in names for c in "ab"])
+    return both.mapInArrow(_check(k, percent), "a long, b long").distinct()
+
+
+def _proposals(buckets: DataFrame) -> DataFrame:
+    """One candidate per document: of the smallest documents of its buckets, the one it meets in most of them."""
+    leads = buckets.groupBy("key").agg(F.min("doc").alias("lead"))
+    votes = buckets.join(leads, "key").where("lead < doc").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("v"))
+    return votes.groupBy("doc").agg(F.max(F.struct("v", -F.col("lead"))).alias("best")).select(F.col("doc").alias("b"), (-F.col("best.col2")).alias("a"), F.col("best.v").alias("v"))
+
+
+def _open_buckets(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, doc, comp) of the buckets in which several classes meet."""
+    known = shared.join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     open_ = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = materialize(known.join(open_, "key"), "open-buckets")
-    share = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    alone = share.select("key", "comp", "size", (F.col("size") >= PACK).alias("alone"))
-    rest = alone.groupBy("key").agg(F.sum(F.when(~F.col("alone"), F.col("size")).otherwise(0)).alias("rest"))
-    sized = members.join(alone, ["key", "comp"]).join(rest, "key")
-    # a large class is packed alone, all small ones together
+    return known.join(open_, "key")
+
+
+def _pack_pairs(members: DataFrame, group: str, data: DataFrame) -> DataFrame:
+    """Pairs of packs (x, y, same) of each group; members are of about PACK rows a pack, large classes apart from the rest."""
+    share = members.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("size"))
+    alone = share.select(group, "comp", "size", (F.col("size") >= PACK).alias("alone"))
+    rest = alone.groupBy(group).agg(F.sum(F.when(~F.col("alone"), F.col("size")).otherwise(0)).alias("rest"))
+    sized = members.join(alone, [group, "comp"]).join(rest, group)
     pack = F.when(F.col("alone"), F.xxhash64("comp", F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / PACK)))).otherwise(
         F.pmod(F.xxhash64("doc"), F.ceil(F.greatest("rest", F.lit(1)) / PACK))
     )
-    member = F.struct("doc", "comp", "n", "regs")
     packs = (
-        sized.join(sets.select("doc", "n", "regs"), "doc")
-        .groupBy("key", pack.alias("pack"), F.when(F.col("alone"), F.col("comp")).alias("only"))
-        .agg(F.collect_list(member).alias("rows"))  # about PACK rows
+        sized.join(data, "doc")
+        .groupBy(F.col(group).alias("group"), pack.alias("pack"), F.when(F.col("alone"), F.col("comp")).alias("only"))
+        .agg(F.collect_list(F.struct("doc", "comp", "family", "n", "data")).alias("rows"))
     )
     packs = materialize(packs, "packs")
-    x = packs.select("key", F.col("pack").alias("px"), F.col("only").alias("ox"), F.col("rows").alias("x"))
-    y = packs.select("key", F.col("pack").alias("py"), F.col("only").alias("oy"), F.col("rows").alias("y"))
+    x = packs.select("group", F.col("pack").alias("px"), F.col("only").alias("ox"), F.col("rows").alias("x"))
+    y = packs.select("group", F.col("pack").alias("py"), F.col("only").alias("oy"), F.col("rows").alias("y"))
     within = (F.col("px") == F.col("py")) & F.col("ox").eqNullSafe(F.col("oy"))
-    meet = x.join(y, "key").where((within & F.col("ox").isNull()) | ((F.struct("px", "ox") < F.struct("py", "oy")) & ~F.coalesce(F.col("ox") == F.col("oy"), F.lit(False))))
-    return meet.select("x", "y", within.alias("same")).mapInArrow(_cross(percent), "a long, b long").distinct()
+    apart = (F.struct("px", "ox") < F.struct("py", "oy")) & ~F.coalesce(F.col("ox") == F.col("oy"), F.lit(False))
+    return x.join(y, "group").where((within & F.col("ox").isNull()) | apart).select("x", "y", within.alias("same"))
+
+
+def _rest_links(open_: DataFrame, families: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between classes that are still apart: within families on full sets, elsewhere by estimate and verification."""
+    placed = materialize(open_.join(families, "doc", "left").withColumn("family", F.coalesce("family", "doc")), "placed")
+    alike = placed.select("doc", "comp", "family").distinct().join(families.select("doc"), "doc", "left_semi")
+    data = members.join(families.select("doc"), "doc", "left_semi").select("doc", "text").mapInArrow(_full_sets(k), "doc long, n long, data binary")
+    dense = _pack_pairs(alike, "family", data).mapInArrow(_dense(percent), "a long, b long").distinct()
+    several = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("key")
+    regs = members.select("doc", "n", F.col("regs").alias("data"))
+    sparse = _pack_pairs(placed.join(several, "key"), "key", regs).mapInArrow(_cross(percent), "a long, b long").distinct()
+    return dense.unionByName(_links(materialize(sparse, "sparse"), members, k, percent))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -232,27 +302,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(rows.mapInArrow(_sign(words), "doc long, n long, f1 long, f2 long, regs binary"), "sets")
     named = sets.where("n > 0 and doc is not null")
-    nodes = materialize(named.groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep")), "nodes")
+    key = ["n", "f1", "f2"]
+    nodes = materialize(named.groupBy(*key).agg(F.min("doc").alias("rep")), "nodes")
     # one row for each different set: the smallest document that has it
-    once = materialize(named.join(nodes.withColumnRenamed("rep", "doc"), ["n", "f1", "f2", "doc"], "left_semi").dropDuplicates(["n", "f1", "f2"]), "once")
-    bands = once.select("doc", "regs").mapInArrow(_bands, "key long, doc long")
-    bands = materialize(bands, "bands")
-    buckets = bands.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last").select("key", "lead")
+    once = materialize(named.join(nodes, key).where("doc = rep").drop("rep").dropDuplicates(key), "once")
+    bands = materialize(once.select("doc", "regs").mapInArrow(_bands, "key long, doc long"), "bands")
+    buckets = bands.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     shared = materialize(bands.join(buckets, "key"), "shared")
-    involved = shared.select("doc").distinct()
-    texts = materialize(rows.join(involved, "doc", "left_semi"), "texts")
-
-    stars = shared.where("lead < doc").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    left, right = (once.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}")) for c in "ab")
-    likely = stars.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(percent), "a long, b long")
-    links = materialize(_verified(likely, texts, words, percent).distinct(), "star-links")
-    comps = materialize(components(links), "star-classes")
-    more = materialize(_verified(_cross_pairs(shared, once, comps, percent), texts, words, percent).distinct(), "cross-links")
+    drop_materialized(bands)
+    members = materialize(once.join(shared.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "regs").join(rows, "doc"), "members")
+
+    # first one candidate per document, then whatever is still apart and shares a bucket
+    best = materialize(_proposals(shared), "proposals")
+    links = materialize(_links(best.select("a", "b"), members, words, percent), "links")
+    comps = materialize(components(links), "classes")
+    open_ = materialize(_open_buckets(shared, comps), "open-buckets")
+    near = best.where(F.col("v") >= DENSE).join(open_.select(F.col("doc").alias("b")).distinct(), "b", "left_semi")
+    families = materialize(components(near).select(F.col("node").alias("doc"), F.col("component").alias("family")), "families")
+    more = _rest_links(open_, families, members, words, percent)
+    links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     # rows of one id that differ in text are one node through the id they share
-    same = named.select("doc", "n", "f1", "f2").join(nodes, ["n", "f1", "f2"])
-    twice = same.groupBy("doc").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    ties = same.join(twice.where("lo < hi").select("doc"), "doc").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    joined = links.unionByName(more).unionByName(ties)
+    several = named.groupBy("doc").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo < hi").select("doc")
+    ties = named.select("doc", *key).join(several, "doc").join(nodes, key).where("rep < doc").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    joined = links.unionByName(ties)
     comps = materialize(components(joined), "classes")
     placed = (
         sets.select("doc", "n", "f1", "f2")
