@@ -22,6 +22,7 @@ from .shared import materialize
 QUERY_BLOCK = 2048
 BINS = 64
 _EXACT = 2.0**53
+_MOST, _MASK = (1 << 63) - 1, (1 << 64) - 1
 
 
 def _clean(scale: float):
@@ -79,10 +80,11 @@ def _passes(shared: Broadcast, finish: bool, k: int):
                     if finish:
                         hit = np.flatnonzero(other & (s >= lo[q]))
                         if len(hit):
-                            best[q] = sorted([*best[q], *zip((-s[hit]).tolist(), ids[hit].tolist(), strict=True)])[:k]
+                            best[q] = sorted([*best[q], *zip((-x for x in s[hit].tolist()), ids[hit].tolist(), strict=True)])[:k]
                     else:
-                        below = s < lo[q]
-                        bin_ = np.where(below, 0, np.minimum((np.maximum(s, lo[q]) - lo[q]).astype(np.uint64) // np.uint64(width[q]), BINS).astype(np.int64) + 1)
+                        # differences of longs fit an unsigned long
+                        over = s.view(np.uint64) - np.uint64(lo[q] & _MASK)
+                        bin_ = np.where(s < lo[q], 0, np.minimum(over // np.uint64(width[q]), np.uint64(BINS)).astype(np.int64) + 1)
                         counts[q] += np.bincount(bin_[other], minlength=BINS + 2)
         if finish:
             rows = [(int(job["ids"][q]), i, -s) for q, found in enumerate(best) for s, i in found]
@@ -98,33 +100,32 @@ def _passes(shared: Broadcast, finish: bool, k: int):
 def _select(rows: DataFrame, block: dict, k: int) -> DataFrame:
     """Narrow each query's range until it holds the k-th score alone."""
     spark = rows.sparkSession
-    reach = np.minimum(np.ceil(block["norms"] * block["longest"]) + 1, 2.0**62)
-    lo, hi = -reach.astype(np.int64), reach.astype(np.int64)  # the k-th score lies in [lo, hi]
-    open_ = np.ones(len(lo), bool)
-    while open_.any():
-        width = np.maximum(1, -((lo - hi - 1) // BINS))
-        job = block | {"lo": lo, "width": width}
-        keep = np.flatnonzero(open_)
-        part = {c: v[keep] if c in ("ids", "vectors", "norms", "lo", "width") else v for c, v in job.items()}
-        shared = spark.sparkContext.broadcast(part)
+    reach = [min(_MOST, int(x) + 1) for x in np.ceil(block["norms"] * block["longest"]).tolist()]
+    lo, hi = [max(-_MOST - 1, -r - 1) for r in reach], reach  # the k-th score lies in [lo, hi]
+    open_ = list(range(len(lo)))
+    while open_:
+        width = [max(1, -(-(hi[q] - lo[q] + 1) // BINS)) for q in open_]
+        part = {c: v[open_] if c in ("ids", "vectors", "norms") else v for c, v in block.items()}
+        shared = spark.sparkContext.broadcast(part | {"lo": [lo[q] for q in open_], "width": width})
         found = rows.mapInArrow(_passes(shared, False, k), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-        counts = np.zeros((len(keep), BINS + 2), np.int64)
+        counts = np.zeros((len(open_), BINS + 2), np.int64)
         for q, b, n in found.collect():  # at most QUERY_BLOCK * (BINS + 2) numbers
             counts[q, b] = n
         shared.unpersist()
-        for j, q in enumerate(keep):
+        rest = []
+        for j, q in enumerate(open_):
             above = np.cumsum(counts[j, ::-1])[::-1]  # rows in this bin or a higher one
             good = np.flatnonzero(above[1:] >= k)
-            if not len(good):  # fewer than k rows lie in the range: all count
-                hi[q] = lo[q] = -(1 << 62)
-                open_[q] = False
+            if not len(good):  # fewer than k rows: all count
+                lo[q] = -_MOST - 1
                 continue
-            start = lo[q] + int(good[-1]) * width[q]
+            lo[q] += int(good[-1]) * width[j]
             if good[-1] < BINS:
-                hi[q] = min(hi[q], start + width[q] - 1)
-            lo[q] = start
-            open_[q] = lo[q] < hi[q]
-    shared = spark.sparkContext.broadcast(block | {"lo": lo, "width": np.ones(len(lo), np.int64)})
+                hi[q] = min(hi[q], lo[q] + width[j] - 1)
+            if lo[q] < hi[q]:
+                rest.append(q)
+        open_ = rest
+    shared = spark.sparkContext.broadcast(block | {"lo": lo, "width": []})
     return rows.mapInArrow(_passes(shared, True, k), "query_id long, vec_id long, score long")
 
 
