@@ -46,6 +46,7 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
+_ABOUT = frozenset("has no not with without is".split())  # "has-sidebar" speaks of a sidebar elsewhere
 
 
 def _furniture(tag: str, attributes: str) -> bool:
@@ -56,9 +57,11 @@ def _furniture(tag: str, attributes: str) -> bool:
     if _HIDDEN.search(attributes):
         return True
     for _, value in _NAMES.findall(attributes):
-        plain = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)
-        if any(w in FURNITURE for w in _WORD.findall(plain.lower())):
-            return True
+        plain = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
+        for name in plain.lower().strip("\"'").split():
+            found = _WORD.findall(name)
+            if found and found[0] not in _ABOUT and any(w in FURNITURE for w in found):
+                return True
     return False
 
 

@@ -311,6 +311,7 @@ def test_html():
     assert page("<body><p>out</p><article><header>h</header><h1>T</h1><p>in <a href='a>b'>link</a></p><div class='ad-slot'>ad</div><script>var t='</p>';</script><section class=\"share\">s</section></article><p>out") == "T in link"
     assert page("<main><p>" + "x " * 50000 + "</p></main>").count("x") == 50000
     assert page("<div>" * 3000 + "deep") == "deep"
+    assert page("<div class='has-sidebar content'><p>a</p><div class='widget siteSidebar'>b</div></div>") == "a"
     assert page("<p>a<!-- <p>b</p> -->c</p><style>p{}</style><![CDATA[z]]><title>t</title>") == "ac"
 
 
