@@ -7,6 +7,7 @@ Every stage takes what its predecessor kept, as a table with the columns of
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,20 @@ from quillon.llm.mixing import mix_sources
 from quillon.llm.near_dedup import near_duplicates
 from quillon.llm.quality import score_quality, train
 from quillon.llm.shared import materialize
+from quillon.session import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(f: Stage) -> Stage:
+    """A stage whose executors have the package."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +63,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality_filter),
-    ("line_dedup", line_dedup),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontaminate),
-    ("mixing", mixing),
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", _shipped(quality_filter)),
+    ("line_dedup", _shipped(line_dedup)),
+    ("near_dedup", _shipped(near_dedup)),
+    ("decontamination", _shipped(decontaminate)),
+    ("mixing", _shipped(mixing)),
 ]
 
 #: Boosted trees are not expressible in SQL; the stages are tested one by one against brute force.

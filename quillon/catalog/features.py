@@ -9,6 +9,7 @@ from quillon.catalog import query, table
 from quillon.catalog.questions import norm_sql, tokens_sql
 from quillon.functions import numeric as N
 from quillon.functions import text as T
+from quillon.functions.bind import let
 from quillon.operators import clusters as K
 from quillon.operators import labels as A
 from quillon.operators import signals as S
@@ -22,13 +23,16 @@ _TOKENS = """t AS (SELECT vec_id, p, [CAST(x AS DOUBLE) FOR x IN embedding[p * 8
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Eight token positions of eight alternatives from each embedding, as log-probabilities."""
 
+    names = F.array(*[F.lit(str(i)) for i in range(8)])
+
+    def scaled(e):
+        sums = lambda top: F.ln(N.total(F.transform(e, lambda x: F.exp(x - top)))) + top
+        return let(let(F.array_max(e), sums), lambda lse: F.transform(e, lambda x: x - lse))
+
     def token(p):
         e = F.transform(F.slice("embedding", p * 8 + 1, 8), lambda x: x.cast("double"))
-        top = F.array_max(e)
-        lse = F.ln(N.total(F.transform(e, lambda x: F.exp(x - top)))) + top
-        lps = F.transform(e, lambda x: x - lse)
-        names = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: i.cast("string"))
-        return F.struct(p.cast("string").alias("token"), F.get(lps, F.lit(0)).alias("logprob"), F.map_from_arrays(names, lps).alias("top_logprobs"))
+        made = lambda lps: F.struct(p.cast("string").alias("token"), F.get(lps, F.lit(0)).alias("logprob"), F.map_from_arrays(names, lps).alias("top_logprobs"))
+        return let(let(e, scaled), made)
 
     return table(spark, sf, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), token).alias("tokens"))
 

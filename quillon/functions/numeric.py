@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quillon.functions.bind import let
+
 
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
@@ -17,10 +19,14 @@ def total(xs: Column) -> Column:
 
 def top_probs(logprobs: Column) -> Column:
     """Probabilities of a token's alternatives, renormalized, largest first."""
-    values = F.map_values(logprobs)
-    top = F.array_max(values)
-    raw = F.transform(values, lambda x: F.exp(x - top))
-    return F.sort_array(F.transform(raw, lambda x: x / total(raw)), asc=False)
+
+    def shares(raw: Column) -> Column:
+        return let(total(raw), lambda z: F.sort_array(F.transform(raw, lambda x: x / z), asc=False))
+
+    def scaled(values: Column) -> Column:
+        return let(F.array_max(values), lambda top: let(F.transform(values, lambda x: F.exp(x - top)), shares))
+
+    return let(F.map_values(logprobs), scaled)
 
 
 def entropy(probs: Column) -> Column:
@@ -34,8 +40,8 @@ def token_entropy(logprobs: Column) -> Column:
 
 def top_margin(logprobs: Column) -> Column:
     """Largest probability less the second; null without alternatives."""
-    probs = top_probs(logprobs)
-    return F.when(F.size(logprobs) > 0, F.get(probs, F.lit(0)) - F.coalesce(F.get(probs, F.lit(1)), F.lit(0.0)))
+    gap = let(top_probs(logprobs), lambda p: F.get(p, F.lit(0)) - F.coalesce(F.get(p, F.lit(1)), F.lit(0.0)))
+    return F.when(F.size(logprobs) > 0, gap)
 
 
 def length_penalty(n: Column, alpha: float) -> Column:
@@ -50,7 +56,7 @@ def perplexity(mean_logprob: Column, clamp: float) -> Column:
 def cluster_entropy(sizes: Column) -> Column:
     """Entropy of a partition by its cluster sizes; null without clusters."""
     n = F.aggregate(sizes, F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(sizes) > 0, entropy(F.transform(sizes, lambda x: x / n)))
+    return F.when(F.size(sizes) > 0, let(n, lambda n: entropy(F.transform(sizes, lambda x: x / n))))
 
 
 def p_true(true_logprob: Column, false_logprob: Column) -> Column:

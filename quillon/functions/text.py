@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillon.functions.bind import let
+
 ABSTAIN = "UNKNOWN"
 #: Characters that folding changes in ways ``lower`` does not: below U+0250 by list, from there on all but punctuation.
 _ODD = "[ª¨¯²³´µ¸¹º¼½¾ĲĳĿŀŉſǄ-ǌǰ-ǳ\u001c-\u001f]|[^\\x{0000}-\\x{024f}\\p{P}]"
@@ -60,8 +62,7 @@ def normalize_spaced(text: Column) -> Column:
 
 def exact_match(answer: Column, aliases: Column) -> Column:
     """Normalized equality with any alias; an empty answer never matches."""
-    mine = normalize(answer)
-    return (mine != "") & F.exists(aliases, lambda a: normalize(a) == mine)
+    return let(normalize(answer), lambda mine: (mine != "") & F.exists(aliases, lambda a: normalize(a) == mine))
 
 
 def is_abstention(answer: Column, abstain: str = ABSTAIN) -> Column:
@@ -95,16 +96,14 @@ def token_f1(a: Column, b: Column) -> Column:
 
 def mean_pairwise_f1(texts: Column) -> Column:
     """Mean token F1 over the unordered pairs of an array of normalized texts; 1 below two texts."""
-    parts = F.transform(texts, split_tokens)
     n = F.size(texts)
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 2),
-            lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: token_f1(F.get(parts, i), F.get(parts, j))),
-        )
-    )
-    total = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
-    return F.when(n < 2, F.lit(1.0)).otherwise(total / F.size(pairs))
+
+    def pairs(parts: Column) -> Column:
+        scores = lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: token_f1(F.get(parts, i), F.get(parts, j)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - 2), scores))
+
+    total = F.aggregate(let(F.transform(texts, split_tokens), pairs), F.lit(0.0), lambda s, x: s + x)
+    return F.when(n < 2, F.lit(1.0)).otherwise(total / (n * (n - 1) / 2))
 
 
 def count_distinct(normalized: Column) -> Column:
@@ -162,15 +161,14 @@ def struct_aliases(answer: Column) -> Column:
 
 def gold_in_question(question: Column, aliases: Column) -> Column:
     """Leakage: an alias stands, token by token, in the question."""
-    asked = normalize(question)
-    return F.exists(aliases, lambda a: contains_run(asked, normalize(a)))
+    return let(normalize(question), lambda asked: F.exists(aliases, lambda a: let(normalize(a), lambda part: contains_run(asked, part))))
 
 
 def spans_granularity(aliases: Column, gap: int = 2) -> Column:
     """Whether any two aliases differ by more than ``gap`` tokens or one holds the other."""
-    plain = F.transform(aliases, normalize_spaced)
     size = lambda x: F.size(F.filter(F.split(x, " "), lambda t: t != ""))
-    return F.exists(plain, lambda a: F.exists(plain, lambda b: (a != b) & ((size(a) - size(b) > gap) | contains_run(a, b))))
+    apart = lambda a, b: (a != b) & ((size(a) - size(b) > gap) | contains_run(a, b))
+    return let(F.transform(aliases, normalize_spaced), lambda plain: F.exists(plain, lambda a: F.exists(plain, lambda b: apart(a, b))))
 
 
 def inverse_subject(question: Column) -> Column:

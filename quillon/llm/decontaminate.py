@@ -81,41 +81,34 @@ def hit_spans(text: str, hit: np.ndarray) -> list[list[int]]:
 
 
 _built: dict[int, ahocorasick.Automaton] = {}
-_STATE = "_row {}, _text string, _hit binary, _items array<string>"
-_RESULT = "_row {}, n_words long, spans array<array<long>>, n_hit long, items array<string>"
+_STATE = "hit binary, items array<string>"
+_RESULT = "n_words long, spans array<array<long>>, n_hit long, items array<string>"
 
 
 def _scanner(shared: Broadcast, n: int, key: int, last: bool):
-    """Scan with one automaton and pass the texts on with what was hit; the last scan returns the result."""
+    """Scan with one automaton, adding to what earlier ones hit; the last scan gives the result."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(_RESULT if last else _STATE)
+    def scan_texts(texts: pa.Array, before: pa.Array) -> pa.Array:
         if key not in _built:
             _built.clear()
             _built[key] = build(shared.value, n)
-        found = _built[key]
-        for batch in batches:
-            hits, known, rows = [], [], []
-            for text, old, ids in zip(*(batch.column(c) for c in ("_text", "_hit", "_items")), strict=True):
-                text, old = text.as_py(), old.as_py()
-                words = words_of(text)
-                hit, items = scan(found, words)
-                if old:
-                    hit |= np.unpackbits(np.frombuffer(old, np.uint8), count=len(words)).astype(bool)
-                    items |= set(ids.as_py())
-                if last:
-                    rows.append((len(words), hit_spans(text, hit) if items else [], int(hit.sum()), sorted(items)))
-                else:
-                    hits.append(np.packbits(hit).tobytes() if items else None)
-                    known.append(sorted(items))
+        rows = []
+        for text, old in zip(texts, before, strict=True):
+            text, old = text.as_py(), old.as_py()
+            words = words_of(text)
+            hit, items = scan(_built[key], words)
+            if old["hit"]:
+                hit |= np.unpackbits(np.frombuffer(old["hit"], np.uint8), count=len(words)).astype(bool)
+                items |= set(old["items"])
             if last:
-                names, kinds = ["n_words", "spans", "n_hit", "items"], [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.int64(), pa.list_(pa.string())]
-                cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("_row"), *cols], names=["_row", *names])
+                rows.append({"n_words": len(words), "spans": hit_spans(text, hit) if items else [], "n_hit": int(hit.sum()), "items": sorted(items)})
             else:
-                cols = [batch.column("_row"), batch.column("_text"), pa.array(hits, pa.binary()), pa.array(known, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["_row", "_text", "_hit", "_items"])
+                rows.append({"hit": np.packbits(hit).tobytes() if items else None, "items": sorted(items)})
+        wide = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
+        return pa.array(rows, wide if last else pa.struct([("hit", pa.binary()), ("items", pa.list_(pa.string()))]))
 
-    return run
+    return scan_texts.asNondeterministic()  # evaluated once, whatever the plan does with it
 
 
 def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
@@ -154,13 +147,10 @@ def find_contamination(
     the same tasks, so that none outgrows a worker.
     """
     spark = docs.sparkSession
-    kept = [F.col(c) for c in docs.columns if c not in ("n_words", "spans", "n_hit", "items")] if keep_columns else [F.col(id_col)]
-    rows = docs.select(
-        F.struct(*kept).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.lit(None).cast("binary").alias("_hit"), F.array().cast("array<string>").alias("_items")
-    )
-    kind = rows.schema["_row"].dataType.simpleString()
+    kept = [c for c in docs.columns if c not in ("n_words", "spans", "n_hit", "items")] if keep_columns else [id_col]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).cast("string").alias("text"), F.expr("cast(named_struct('hit', null, 'items', array()) as struct<hit: binary, items: array<string>>)").alias("found"))
     several = list(map(spark.sparkContext.broadcast, _benchmark_blocks(benchmark, item_col, item_text_col)))
     for i, shared in enumerate(several):
-        last = i == len(several) - 1
-        rows = rows.mapInArrow(_scanner(shared, window, shared._jbroadcast.id(), last), (_RESULT if last else _STATE).format(kind))
-    return rows.select("_row.*", "n_words", "n_hit", "items", "spans")
+        scanner = _scanner(shared, window, shared._jbroadcast.id(), i == len(several) - 1)
+        rows = rows.select("row", "text", scanner("text", "found").alias("found"))
+    return rows.select("row.*", "found.n_words", "found.n_hit", "found.items", "found.spans")

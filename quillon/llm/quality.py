@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .words import Block, blocks
 
@@ -94,7 +95,7 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + self.value[at].sum(axis=1))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, least: int = 20, l2: float = 1.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, least: int = 5, l2: float = 1.0) -> Trees:
     """Boost logistic loss; every split is chosen on histograms of gradients over quantile bins."""
     rate_1 = (y.sum() + 1) / (len(y) + 2)
     base, (n, m) = float(np.log(rate_1 / (1 - rate_1))), x.shape
@@ -157,14 +158,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scorer(model: Trees):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [model.score(statistics(b)) for b in blocks(batch.column("_text"))]
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            keep = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
+    @F.arrow_udf(DoubleType())
+    def score(text: pa.Array) -> pa.Array:
+        parts = [model.score(statistics(b)) for b in blocks(text)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return run
+    return score.asNondeterministic()  # evaluated once, whatever the plan does with it
 
 
 def held_out(id_col: str) -> Column:
@@ -198,6 +197,4 @@ def score_quality(docs: DataFrame, model: Trees, *, text_col: str = "text") -> D
     Whole texts are scored; a null text counts as an empty one; an empty table
     gives an empty result.
     """
-    rows = docs.drop("score")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(_scorer(model), f"{kinds}, score double")
+    return docs.withColumn("score", _scorer(model)(F.col(text_col).cast("string")))

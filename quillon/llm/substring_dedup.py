@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .passages import ANCHORS, anchor_scan, keyed, resolve_windows, strip_passages
-from .shared import materialize
+from .shared import drop_materialized, materialize
 
 
 def remove_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16) -> DataFrame:
@@ -35,6 +35,8 @@ def remove_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_co
     # a path that neither branches nor reaches a second document takes nothing away
     pieces = paths.join(branching, "anchor", "left").where("branches or first < last").select("anchor", "path", "first", F.coalesce("branches", F.lit(False)).alias("branches"))
     placed = materialize(edges.join(pieces, ["anchor", "path"]), "placed")
+    drop_materialized(edges)
+    drop_materialized(paths)
     whole = placed.where("doc > first").select("doc", "row", "lo", "hi")
     parts = resolve_windows(texts, placed.where("branches and doc = first").select("doc", "row", "lo", "hi"), length)
     return strip_passages(docs, whole.unionByName(parts), length, id_col, text_col)

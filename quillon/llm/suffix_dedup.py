@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .passages import ANCHORS, anchor_scan, keyed, resolve_windows, strip_passages
-from .shared import materialize, partitions_for
+from .shared import drop_materialized, materialize, partitions_for
 
 _PLACED = "doc long, row long, lo int, hi int, copy boolean"
 
@@ -81,6 +81,7 @@ def remove_repeated_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_co
     order = ["anchor", "path", "doc"]
     ranged = suffixes.repartitionByRange(partitions_for(docs.sparkSession), *order).sortWithinPartitions(*order)
     placed = materialize(ranged.mapInArrow(_neighbours, _PLACED), "placed")
+    drop_materialized(suffixes)
     copies = placed.where("copy").drop("copy")
     parts = resolve_windows(texts, placed.where("not copy").drop("copy"), length)
     return strip_passages(docs, copies.unionByName(parts), length, id_col, text_col)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C1B, 0xD1342543DE82EF97  # both 3 modulo 4
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,7 +83,7 @@ def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(column: pa.Array, *, lower: bool = False) -> Iterator[Block]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text (none for null), in blocks of about 2 MB; one text is never cut."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text (none for null), in blocks of about half a MB; one text is never cut."""
     n = len(column)
     if not n:
         return

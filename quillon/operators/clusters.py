@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.bind import let
 from quillon.functions.numeric import wilson
 
 #: Scores (premise, hypothesis) pairs; a model loaded once per worker, or a scripted table.
@@ -59,8 +60,12 @@ def cluster_exhaustive(answers: Column, scores: Column, threshold: float = 0.5)
     at = F.sequence(F.lit(0), n - 1)
     linked = _linked(answers, scores, threshold)
     neighbours = F.transform(at, lambda i: F.filter(at, lambda j: (i == j) | linked(i, j)))
-    once = lambda labels, _: F.transform(neighbours, lambda near: F.array_min(F.transform(near, lambda j: F.get(labels, j))))
-    return F.when(n > 0, F.aggregate(at, at, once)).otherwise(F.array().cast("array<int>"))
+
+    def closed(around: Column) -> Column:
+        once = lambda labels, _: F.transform(around, lambda near: F.array_min(F.transform(near, lambda j: F.get(labels, j))))
+        return F.aggregate(at, at, once)
+
+    return F.when(n > 0, let(neighbours, closed)).otherwise(F.array().cast("array<int>"))
 
 
 def cluster_greedy(answers: Column, scores: Column, threshold: float = 0.5) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.functions.bind import let
 from quillon.schema import ContractError
 
 # Normalized words that negate a question.
@@ -34,22 +35,27 @@ def fuzzy_label(answer: Column, aliases: Column, question: Column) -> Column:
     a bare echo of the question is wrong; a part of a longer alias and an
     alias among other words are open; anything else is wrong.
     """
-    mine = T.normalize(answer)
-    words, asked = T.split_tokens(mine), T.tokens(question)
+
+    def decide(mine: Column, words: Column, asked: Column, gold: Column) -> Column:
+        def restates(a: Column) -> Column:
+            return let(_outside(mine, a), lambda rest: (F.size(rest) > 0) & F.forall(rest, lambda t: T.covered(t, asked)))
+
+        restated = F.exists(gold, lambda a: T.contains_run(mine, a) & restates(a))
+        negated = F.arrays_overlap(asked, F.array(*map(F.lit, NEGATIONS)))
+        return (
+            F.when(F.coalesce(F.size(words), F.lit(0)) < 1, "incorrect")
+            .when(F.array_contains(gold, mine), "correct")
+            .when(restated, F.when(negated, "ambiguous").otherwise("correct"))
+            .when(F.forall(words, lambda t: T.covered(t, asked)), "incorrect")
+            .when(F.exists(gold, lambda a: (a != mine) & T.contains_run(a, mine)), "ambiguous")
+            .when(F.exists(gold, lambda a: T.contains_run(mine, a)), "ambiguous")
+            .otherwise("incorrect")
+        )
+
     gold = F.filter(F.transform(aliases, lambda a: T.normalize(a)), lambda a: a != "")
-    restated = F.exists(
-        gold,
-        lambda a: T.contains_run(mine, a) & (F.size(_outside(mine, a)) > 0) & F.forall(_outside(mine, a), lambda t: T.covered(t, asked)),
-    )
-    negated = F.arrays_overlap(asked, F.array(*map(F.lit, NEGATIONS)))
-    return (
-        F.when(F.coalesce(F.size(words), F.lit(0)) < 1, "incorrect")
-        .when(F.array_contains(gold, mine), "correct")
-        .when(restated, F.when(negated, "ambiguous").otherwise("correct"))
-        .when(F.forall(words, lambda t: T.covered(t, asked)), "incorrect")
-        .when(F.exists(gold, lambda a: (a != mine) & T.contains_run(a, mine)), "ambiguous")
-        .when(F.exists(gold, lambda a: T.contains_run(mine, a)), "ambiguous")
-        .otherwise("incorrect")
+    return let(
+        T.normalize(answer),
+        lambda mine: let(T.split_tokens(mine), lambda words: let(T.tokens(question), lambda asked: let(gold, lambda g: decide(mine, words, asked, g)))),
     )
 
 
