@@ -41,7 +41,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of three or more lines are deleted from the texts; ``n_chars`` follows."""
+    """Later copies of runs of three or more lines, or of 50 or more words in fewer lines, are deleted from the texts; ``n_chars`` follows."""
     kept = remove_repeated_lines(docs, min_lines=3)
     return kept.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

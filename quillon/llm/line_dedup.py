@@ -4,17 +4,22 @@ The suffixes are the positions of lines in documents. Prefix doubling ranks
 them by their first 1, 2, 4, ... lines: a suffix's next rank is the rank of the
 pair (own rank, rank of the suffix as many lines later). Suffixes of equal rank
 form an interval whose longest common prefix has at least that many lines;
-suffixes alone in their interval leave. Doubling ends at ``min_lines``: deeper
-ranks would only divide intervals further, and which lines recur in a run of
-``min_lines`` or more is known then. Adjoining members of such intervals make
-up the maximal repeated runs, of which the first copy stays.
+suffixes alone in their interval leave. Ranks end at ``min_lines``: deeper ones would
+only divide intervals further, and which lines recur in a run of ``min_lines``
+or more is known then. Depths that are no power of two are ranked by two
+overlapping prefixes that are; those below ``min_lines`` show the shorter runs,
+which count by their words. Adjoining members of such intervals make up the
+maximal repeated runs, of which the first copy stays.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mixing import word_count
 from .shared import global_rank, materialize
 
 _LAST = (1 << 63) - 1
@@ -24,27 +29,35 @@ def _named(rows: DataFrame, key: list[str]) -> DataFrame:
     """Replace a key by its rank among the keys that occur more than once; rows of other keys leave."""
     names = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key)
     ranks = materialize(global_rank(names, key, "_rank"), "line-ranks")
-    return rows.join(ranks, key).select("doc", "row", "pos", F.col("_rank").alias("rank"))
+    return rows.join(ranks, key).select("doc", "row", "pos", "words", F.col("_rank").alias("rank"))
+
 
+def suffix_intervals(lines: DataFrame, depth: int) -> list[DataFrame]:
+    """(doc, row, pos, words, rank) at each depth from 1 on: suffixes whose first lines, as many as the depth, occur more than once.
 
-def suffix_intervals(lines: DataFrame, depth: int) -> DataFrame:
-    """(doc, row, pos, rank) of the suffixes whose first ``depth`` lines occur more than once, ranked by those lines."""
-    at, known = materialize(_named(lines, ["line"]), "suffixes"), 1
-    while known < depth:
-        step = min(known, depth - known)
+    They are ranked by those lines; ``words`` has the number of words of each.
+    """
+    found = [materialize(_named(lines, ["line"]), "suffixes")]
+    for d in range(2, depth + 1):
+        known = 1 << ((d - 1).bit_length() - 1)
+        step = d - known
         later = Window.partitionBy("doc", "row").orderBy("pos").rangeBetween(step, step)
-        pairs = at.withColumn("next", F.first("rank").over(later)).where("next is not null")
-        at, known = materialize(_named(pairs, ["rank", "next"]), "suffixes"), known + step
-    return at
+        ahead = found[known - 1].withColumn("_later", F.first(F.struct("rank", "words")).over(later)).where("_later is not null")
+        words = F.concat(F.slice("words", 1, step), F.col("_later.words"))  # one number a line, as many as the depth
+        pairs = ahead.withColumns({"next": F.col("_later.rank"), "words": words}).drop("_later")
+        found.append(materialize(_named(pairs, ["rank", "next"]), "suffixes"))
+    return found
 
 
-def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
-    """Delete later copies of runs of at least ``min_lines`` lines; returns every column of ``docs`` with n_lines, n_deleted.
+def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_words: int = 50) -> DataFrame:
+    """Delete later copies of runs of at least ``min_lines`` lines or ``min_words`` words; returns every column of ``docs`` with n_lines, n_deleted.
 
     Lines are what ``\\n`` parts, compared whole; a null or empty text has
-    none. A line goes if a run of ``min_lines`` lines around it also starts at
-    an earlier place, in a document with a smaller id or further up in the
-    same one; runs are judged on the input. A null id counts as larger than
+    none. A line goes if a run around it also starts at an earlier place, in a
+    document with a smaller id or further up in the same one, and has
+    ``min_lines`` lines, or fewer that hold ``min_words`` words together; words
+    are what white space parts. Shorter lone lines stay; runs are judged on the
+    input. A null id counts as larger than
     any other. Of rows that repeat an id with other texts, the order among
     them is that of a text hash; rows that repeat id and text are one document
     and all lose the same lines. An empty table gives an empty result. Columns
@@ -53,11 +66,14 @@ def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(doc.alias("doc"), F.xxhash64(text).alias("row"), text.alias("t")).where("t <> ''")
-    ids = keyed.select("doc", "row", F.posexplode(F.split("t", "\n")).alias("pos", "l")).select("doc", "row", "pos", F.xxhash64("l").alias("line"))
-    runs = suffix_intervals(materialize(ids, "lines"), min_lines)
-    first = runs.groupBy("rank").agg(F.min(F.struct("doc", "row", "pos")).alias("first"))
-    later = runs.join(first, "rank").where(F.struct("doc", "row", "pos") > F.col("first"))
-    covered = F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1)))
+    ids = keyed.select("doc", "row", F.posexplode(F.split("t", "\n")).alias("pos", "l")).select("doc", "row", "pos", F.xxhash64("l").alias("line"), F.array(word_count(F.col("l"))).alias("words"))
+    found = suffix_intervals(materialize(ids, "lines"), min_lines)
+    total = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + w)
+    counted = [at if d == min_lines else at.where(total >= min_words) for d, at in enumerate(found, 1)]
+    runs = reduce(DataFrame.unionByName, [at.select("doc", "row", "pos", "rank", F.lit(d).alias("depth")) for d, at in enumerate(counted, 1)])
+    first = runs.groupBy("depth", "rank").agg(F.min(F.struct("doc", "row", "pos")).alias("first"))
+    later = runs.join(first, ["depth", "rank"]).where(F.struct("doc", "row", "pos") > F.col("first"))
+    covered = F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("depth") - 1))
     gone = later.select("doc", "row", covered.alias("pos")).groupBy("doc", "row").agg(F.collect_set("pos").alias("_gone"))  # bounded by the document's own lines
     marked = docs.withColumns({"_doc": doc, "_row": F.xxhash64(text)}).join(
         gone.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), "_gone"), ["_doc", "_row"], "left"

@@ -105,6 +105,31 @@ def test_lines(spark):
     assert remove_repeated_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("min_lines", [3, 6])
+def test_short_runs_of_many_words(spark, min_lines):
+    """Every repeated run of fewer lines than ``min_lines`` goes as well where it has 50 words."""
+    rng = random.Random(11)
+    pool = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate([0, 1, 12, 20, 24, 25, 26, 49, 50, 60, 168])]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else f"own {i} {j}" for j in range(rng.randrange(1, 12))), "s", "en") for i in range(60)]
+    rows += [(60, "first\n" + pool[-1], "s", "en"), (61, pool[-1] + "\nlast", "s", "en"), (62, pool[3], "s", "en"), (63, pool[3], "s", "en")]
+    split = [(d, t.split("\n")) for d, t, *_ in rows]
+    runs = lambda lines: ((i, n) for n in range(1, min_lines + 1) for i in range(len(lines) - n + 1))
+    first = {}
+    for d, lines in split:
+        for i, n in runs(lines):
+            first.setdefault(tuple(lines[i : i + n]), (d, i))
+    want = []
+    for d, lines in split:
+        gone = set()
+        for i, n in runs(lines):
+            if first[tuple(lines[i : i + n])] != (d, i) and (n == min_lines or len(" ".join(lines[i : i + n]).split()) >= 50):
+                gone |= set(range(i, i + n))
+        want.append((d, "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    got = remove_repeated_lines(spark.createDataFrame(rows, DOCS).repartition(3), min_lines=min_lines).select("doc_id", "text", "n_deleted").collect()
+    assert sorted(map(tuple, got)) == want
+    assert want[61] == (61, "last", 1) and want[63][2] == 0
+
+
 def test_decontamination(spark, monkeypatch):
     rng = random.Random(5)
     item = [" ".join(f"b{rng.randrange(50)}" for _ in range(n)) for n in (14, 10, 3, 25)]
