@@ -112,8 +112,9 @@ def benchmark_leakage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH d AS (SELECT doc_id, {norm_sql('text')} AS n FROM documents) SELECT doc_id FROM d WHERE doc_id < 40 AND n IN (SELECT n FROM d WHERE doc_id >= 40)")
 def few_shot_disjoint(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", T.normalize("text").alias("n"))
-    return d.where("doc_id < 40").join(d.where("doc_id >= 40").select("n"), "n", "left_semi").select("doc_id")
+    """Labelled documents, as the few shots, whose text also stands among the unlabelled; the SQL twin parts them by id 40."""
+    d, l = table(spark, sf, "documents").select("doc_id", T.normalize("text").alias("n")), table(spark, sf, "labels").select("doc_id")
+    return d.join(l, "doc_id", "left_semi").join(d.join(l, "doc_id", "left_anti").select("n"), "n", "left_semi").select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE ('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616 < 0.2")
@@ -169,7 +170,8 @@ def length_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 100")
 def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    return D.not_done(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), key="doc_id", limit=100)
+    """Every document without a label; the SQL twin has the first hundred."""
+    return D.not_done(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), key="doc_id")
 
 
 _ALIASES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"

@@ -88,7 +88,8 @@ def average_precision(spark: SparkSession, sf: str) -> DataFrame:
     SELECT signal, round(score, 9) AS score, round((tp / (tp + fp))::DOUBLE, 9) AS precision, round((tp / total)::DOUBLE, 9) AS recall FROM c WHERE signal = 'words'"""
 )
 def precision_recall_points(spark: SparkSession, sf: str) -> DataFrame:
-    return r9(M.precision_recall(scores(spark, sf).where("signal = 'words'"), ["signal"]).select("signal", "score", "precision", "recall"), "score", "precision", "recall")
+    """The points of all signals; the SQL twin has one of them."""
+    return r9(M.precision_recall(scores(spark, sf), ["signal"], spread=16).select("signal", "score", "precision", "recall"), "score", "precision", "recall")
 
 
 _CURVE = """SELECT signal, row_number() OVER w AS k, row_number() OVER w / count(*) OVER (PARTITION BY signal)::DOUBLE AS coverage,

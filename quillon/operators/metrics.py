@@ -36,8 +36,7 @@ def running(hist: DataFrame, keys: list[str], columns: list[str], *, descending:
     if spread <= 1:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return hist.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(w), zero) for c in columns})
-    cuts = hist.groupBy(*keys).agg(F.percentile_approx("score", [i / spread for i in range(1, spread)], 1000).alias("_cuts"))
-    placed = _join(hist, cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+    placed = _placed(hist, keys, spread)
     totals = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
     outer = Window.partitionBy(*keys).orderBy(F.desc("_range") if descending else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(outer), zero).alias(f"_{c}") for c in columns])
@@ -46,6 +45,23 @@ def running(hist: DataFrame, keys: list[str], columns: list[str], *, descending:
     return both.withColumns({f"{c}_before": F.col(f"_{c}") + F.coalesce(F.sum(c).over(inner), zero) for c in columns}).drop("_range", *[f"_{c}" for c in columns])
 
 
+def running_max(hist: DataFrame, keys: list[str], column: str, name: str, *, spread: int) -> DataFrame:
+    """Add the largest value of a column so far, by ascending score, summed up range by range as in ``running``."""
+    placed = _placed(hist, keys, spread)
+    tops = placed.groupBy(*keys, "_range").agg(F.max(column).alias("_top"))
+    outer = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tops.select(*keys, "_range", F.max("_top").over(outer).alias("_top"))
+    inner = Window.partitionBy(*keys, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    both = _join(placed, starts, [*keys, "_range"])
+    return both.withColumn(name, F.greatest("_top", F.max(column).over(inner))).drop("_range", "_top")
+
+
+def _placed(hist: DataFrame, keys: list[str], spread: int) -> DataFrame:
+    """Add ``_range``: which of ``spread`` ranges of its key's scores, cut at approximate quantiles, a score is in."""
+    cuts = hist.groupBy(*keys).agg(F.percentile_approx("score", [i / spread for i in range(1, spread)], 1000).alias("_cuts"))
+    return _join(hist, cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+
+
 def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Equi-join that lets null keys meet."""
     if not keys:
@@ -75,10 +91,11 @@ def midranks(df: DataFrame, keys: list[str], value: str, name: str = "midrank")
     return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / F.lit(2.0))
 
 
-def precision_recall(df: DataFrame, keys: list[str]) -> DataFrame:
+def precision_recall(df: DataFrame, keys: list[str], *, spread: int = 1) -> DataFrame:
     """One operating point per distinct score, highest first."""
-    h = running(histogram(df, keys), keys, ["pos", "neg"], descending=True)
-    total = F.sum("pos").over(Window.partitionBy(*keys))
+    hist = histogram(df, keys)
+    h = _join(running(hist, keys, ["pos", "neg"], descending=True, spread=spread), hist.groupBy(*keys).agg(F.sum("pos").alias("_total")), keys)
+    total = F.col("_total")
     tp, fp = F.col("pos_before") + F.col("pos"), F.col("neg_before") + F.col("neg")
     return h.select(*keys, "score", (tp / (tp + fp)).alias("precision"), F.try_divide(tp.cast("double"), total).alias("recall"), F.try_divide(F.col("pos_before").cast("double"), total).alias("recall_before"))
 

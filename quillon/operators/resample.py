@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.numeric import hash_index
-from quillon.operators.metrics import auroc_from, average_precision_from, histogram, rated, usable
+from quillon.operators.metrics import _join, auroc_from, average_precision_from, histogram, rated, running, running_max, usable
 
 
 def index_rows(rows: DataFrame, strata: list[str], key: str = "qid") -> DataFrame:
@@ -172,17 +172,29 @@ def bootstrap_rule_accuracy(df: DataFrame, predicted: Column, actual: Column, re
     return out
 
 
-def holm(df: DataFrame, p: str = "p_value", position: str = "position", keys: list[str] | None = None, name: str = "p_holm", alpha: float = 0.05) -> DataFrame:
-    """Step-down adjusted p-values; nulls stay out of the family."""
+def holm(df: DataFrame, p: str = "p_value", position: str = "position", keys: list[str] | None = None, name: str = "p_holm", alpha: float = 0.05, *, spread: int = 1) -> DataFrame:
+    """Step-down adjusted p-values; nulls stay out of the family.
+
+    With ``spread`` over 1 a large family is adjusted by that many ranges of
+    p-values: equal ones share the value of their first, so the number of
+    smaller ones and a running maximum over distinct p-values are enough.
+    """
     keys = keys or []
     family = df.where(F.col(p).isNotNull())
+    rest = df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))
+    significant = F.coalesce(F.col(name) <= alpha, F.lit(False))
+    if spread > 1:
+        hist = family.groupBy(*keys, F.col(p).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+        sized = _join(running(hist, keys, ["n"], spread=spread), hist.groupBy(*keys).agg(F.sum("n").alias("_m")), keys)
+        raw = sized.withColumn("_raw", (F.col("_m") - F.col("n_before")) * F.col("score"))
+        steps = running_max(raw, keys, "_raw", "_up", spread=spread).select(*keys, F.col("score").alias(p), F.least(F.lit(1.0), F.col("_up")).alias(name))
+        return _join(family, steps, [*keys, p]).unionByName(rest).withColumn(f"significant_{name}", significant)
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(p, position))
     m = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     raw = family.withColumns({"_rn": rn, "_m": m}).withColumn("_raw", (F.col("_m") - F.col("_rn") + 1) * F.col(p))
     up = F.max("_raw").over(Window.partitionBy(*keys).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0))
     adjusted = raw.withColumn(name, F.least(F.lit(1.0), up)).drop("_rn", "_m", "_raw")
-    rest = df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))
-    return adjusted.unionByName(rest).withColumn(f"significant_{name}", F.coalesce(F.col(name) <= alpha, F.lit(False)))
+    return adjusted.unionByName(rest).withColumn(f"significant_{name}", significant)
 
 
 def label_delta(scores: DataFrame, y_old: str, y_new: str, resamples: int, seed: int, *, level: float = 0.95) -> DataFrame:
