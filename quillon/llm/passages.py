@@ -4,7 +4,9 @@ A window is ``length`` consecutive words of one document. Each window is
 assigned to its smallest k-mer (leftmost on ties), which depends on the
 window's words alone, so equal windows are assigned to equal k-mers wherever
 they stand. The windows assigned to one k-mer occurrence are consecutive; the
-words they cover are its *path*. Equal paths hold equal windows.
+words they cover are its *path*. Equal paths hold equal windows. Paths and
+windows are named by cryptographic digests of their words, so equal names mean
+equal words; the 64-bit hashes of k-mers only select.
 """
 
 from __future__ import annotations
@@ -16,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
-from .words import Block, blocks, prefix, runs, spans
+from .shared import drop_materialized, materialize
+from .words import Block, blocks, digests, owners, runs
 
-ANCHORS = "doc long, row long, anchor long, path long, lo int, hi int"
 _LAST = (1 << 63) - 1
 
 
@@ -40,57 +41,58 @@ def _leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _paths(block: Block, k: int, length: int) -> tuple[np.ndarray, ...]:
-    """(text, first word of the text, k-mer hash, path hash, lo, hi): windows lo..hi start in the path."""
-    empty = (np.zeros(0, np.int64),) * 6
-    kmers, within = runs(block, k)
+    """(text, selected k-mer, its hash, lo, hi): the windows that start at words lo..hi of the block are assigned to the k-mer."""
+    kmers = runs(block.hash, k)
     width = length - k + 1
     if len(kmers) < width:
-        return empty
+        return (np.zeros(0, np.int64),) * 5
     at = _leftmost_min(kmers, width)
-    owner = np.repeat(np.arange(block.n_texts), np.diff(block.first))
-    valid = owner[length - 1 :] == owner[: len(at)]
-    if not valid.any():
-        return empty
-    starts = np.flatnonzero(valid)
+    owner = owners(block)
+    starts = np.flatnonzero(owner[length - 1 :] == owner[: len(at)])  # windows within one text
     at, text = at[starts], owner[starts]
-    head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
-    lo, hi = starts[head], starts[np.r_[head[1:], len(starts)] - 1]
-    path = spans(prefix(block.hash), lo, hi + length)
-    text = text[head]
-    return text, block.first[text], kmers[at[head]], path, lo, hi
+    head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])][: len(starts)])
+    lo, hi = starts[head], starts[np.r_[head[1:], len(starts)] - 1] if len(head) else starts
+    return text[head], at[head], kmers[at[head]], lo, hi
 
 
-def anchor_scan(k: int, length: int):
-    """One pass over whole texts; a row per selected k-mer occurrence, about 2 in ``length - k + 2`` words."""
+def path_scan(k: int, length: int, sides: bool = False) -> tuple:
+    """One pass over whole texts; a row per selected k-mer occurrence, about 2 in ``length - k + 2`` words.
+
+    ``sides`` adds a digest of the path's words from the k-mer on. Returns the function and its schema.
+    """
+    names = ["doc", "row", "kmer", *(["after"] if sides else []), "p1", "p2", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row"))
             for block in blocks(batch.column("text")):
-                text, first, anchor, path, lo, hi = _paths(block, k, length)
-                i = text + block.row
-                cols = [doc[i], row[i], anchor.view(np.int64), path.view(np.int64), (lo - first).astype(np.int32), (hi - first).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "row", "anchor", "path", "lo", "hi"])
+                text, at, kmer, lo, hi = _paths(block, k, length)
+                i, first, name = text + block.row, block.first[text], digests(block, lo, hi + length)
+                after = [digests(block, at, hi + length)[:, 0]] if sides else []
+                cols = [doc[i], row[i], kmer.view(np.int64), *after, name[:, 0], name[:, 1], (lo - first).astype(np.int32), (hi - first).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
-    return run
+    return run, ", ".join(f"{c} {'int' if c in ('lo', 'hi') else 'long'}" for c in names)
 
 
 def _window_scan(length: int):
-    """Hashes of the windows that start at the asked words of each text."""
+    """Digests of the windows that start at the asked words of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row"))
             asked = batch.column("asked")
             for block in blocks(batch.column("text")):
-                sums, out = prefix(block.hash), []
+                at, text = [], []
                 for t in range(block.n_texts):
-                    want = np.array([(x["lo"], x["hi"]) for x in asked[block.row + t].as_py()], np.int64)
-                    at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in want]))
-                    start = at + block.first[t]
-                    out.append((np.full(len(at), doc[block.row + t]), np.full(len(at), row[block.row + t]), spans(sums, start, start + length).view(np.int64), at.astype(np.int32)))
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "row", "window", "lo"])
+                    want = np.unique(np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in asked[block.row + t].as_py()]))
+                    at.append(want)
+                    text.append(np.full(len(want), t))
+                at, text = np.concatenate(at), np.concatenate(text)
+                start, i = at + block.first[text], text + block.row
+                name = digests(block, start, start + length)
+                cols = [doc[i], row[i], name[:, 0], name[:, 1], at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "row", "w1", "w2", "lo"])
 
     return run
 
@@ -98,14 +100,16 @@ def _window_scan(length: int):
 def resolve_windows(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """Of the asked windows (doc, row, lo, hi), those that an asked window of a smaller doc equals.
 
-    Windows are compared one by one by hash; the smallest document of each is
-    found by a partial aggregate, so a window of very many documents costs a
-    task no more than its own rows.
+    Windows are compared one by one by the digests of their words; the smallest
+    document of each is found by a partial aggregate, so a window of very many
+    documents costs a task no more than its own rows.
     """
     wanted = asked.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))  # bounded by the document's own words
-    windows = materialize(texts.join(wanted, ["doc", "row"]).mapInArrow(_window_scan(length), "doc long, row long, window long, lo int"), "windows")
-    first = windows.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
-    return windows.join(first, "window").where("doc > first").select("doc", "row", "lo", F.col("lo").alias("hi"))
+    windows = materialize(texts.join(wanted, ["doc", "row"]).mapInArrow(_window_scan(length), "doc long, row long, w1 long, w2 long, lo int"), "windows")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("w1", "w2", "first")
+    found = materialize(windows.join(first, ["w1", "w2"]).where("doc > first").select("doc", "row", "lo", F.col("lo").alias("hi")), "window-copies")
+    drop_materialized(windows)
+    return found
 
 
 def _strip(length: int):
