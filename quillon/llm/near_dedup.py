@@ -4,7 +4,7 @@ A document's shingle hashes fall into buckets; a bucket keeps the smallest
 value, compressed to its leading-zero count and the mantissa bits after it.
 Empty buckets borrow from others in a fixed random order. Bands of registers
 give candidates, collision-corrected estimates discard most false ones, and
-what is left is verified on full shingle sets. Equal sets are one node. First
+what is left is verified on full shingle sets and their words. Equal sets are one node. First
 each document is compared with one candidate, the leader it meets in most of
 its buckets. What is in different classes then and shares a bucket is compared
 in packs of bounded size inside the tasks: families of documents that are alike
@@ -15,6 +15,7 @@ expanded into its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,29 +24,39 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import drop_materialized, materialize
-from .words import Block, blocks, mix, prefix, spans
+from .words import Block, blocks, mix
 
 BITS, MANTISSA, BAND = 8, 10, 6
 BUCKETS = 1 << BITS
 BANDS = BUCKETS // BAND
-PACK = 256
+PACK, PACK_BYTES = 256, 4 << 20
 DENSE = 3  # buckets in which two documents of a family meet: at a similarity of 0.65 that is the mean
 _U = np.uint64
 _PROBES = np.argsort(mix(np.arange(1, BUCKETS * BUCKETS + 1, dtype=_U)).reshape(BUCKETS, BUCKETS), axis=1)
 
 
-def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of k-word shingles and where each text's begin; fewer words are one shingle, none are none."""
-    sums, sizes = prefix(block.hash), np.diff(block.first)
+def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, words) of each k-word shingle and where each text's begin; fewer words are one shingle, none are none."""
+    sizes = np.diff(block.first)
     count = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
     at = np.r_[0, np.cumsum(count)]
     lo = np.arange(at[-1]) - np.repeat(at[:-1] - block.first[:-1], count)
-    hashes = spans(sums, lo, lo + np.repeat(np.minimum(sizes, k), count))
+    width = np.repeat(np.minimum(sizes, k), count)
+    hashes = mix(block.hash[lo] + width.astype(_U))
+    for i in range(1, k):
+        some = np.flatnonzero(width > i)
+        hashes[some] = mix(hashes[some] * _U(0xD1342543DE82EF95) + block.hash[lo[some] + i])
+    return hashes, lo, width, at
+
+
+def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of k-word shingles and where each text's begin."""
+    hashes, _, _, at = shingles(block, k)
     for i, j in zip(at[:-1], at[1:], strict=True):
         hashes[i:j].sort()
     new = np.ones(len(hashes), bool)
     new[1:] = hashes[1:] != hashes[:-1]
-    new[at[:-1][count > 0]] = True
+    new[at[:-1][np.diff(at) > 0]] = True
     return hashes[new], np.r_[0, np.cumsum(new)][at]
 
 
@@ -93,10 +104,10 @@ def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.nd
 
 
 def may_link(est: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """False only where the estimate is 4.5 standard errors too low (3 in a million at the very limit) or the sizes rule the similarity out."""
+    """False only where the estimate is 6 standard errors too low (about 1e-8 at the very limit) or the sizes rule the similarity out."""
     low, high = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     s = percent / 100
-    return (est >= s - 4.5 * np.sqrt(s * (1 - s) / np.minimum(np.maximum(low, 1), BUCKETS))) & (100 * low >= percent * high)
+    return (est >= s - 6 * np.sqrt(s * (1 - s) / np.minimum(np.maximum(low, 1), BUCKETS))) & (100 * low >= percent * high)
 
 
 def _sign(k: int):
@@ -105,12 +116,13 @@ def _sign(k: int):
             for block in blocks(batch.column("text"), lower=True):
                 hashes, at = shingle_sets(block, k)
                 regs = registers(hashes, at)
-                sums, other = (np.r_[_U(0), np.cumsum(h)] for h in (hashes, mix(hashes ^ _U(0x5851F42D4C957F2D))))
+                named = b"".join(blake2b(hashes[i:j].tobytes(), digest_size=16).digest() for i, j in zip(at[:-1], at[1:], strict=True))
+                name = np.frombuffer(named, np.int64).reshape(-1, 2)
                 cols = [
                     batch.column("doc").slice(block.row, block.n_texts),
                     pa.array(np.diff(at).astype(np.int64)),
-                    pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)),
-                    pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)),
+                    pa.array(name[:, 0]),
+                    pa.array(name[:, 1]),
                     pa.array([r.tobytes() for r in regs], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc", "n", "f1", "f2", "regs"])
@@ -135,25 +147,68 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(doc)], names=["key", "doc"])
 
 
-def _check(k: int, percent: int):
-    """Estimate first; what may link is verified exactly on the full shingle sets of both texts."""
+def _estimated(percent: int):
+    """The pairs whose registers say that they may link."""
 
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for block in blocks(column, lower=True):
-            hashes, at = shingle_sets(block, k)
-            yield from (hashes[i:j] for i, j in zip(at[:-1], at[1:], strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+                est = estimate(_regs(batch.column("regs_a")), _regs(batch.column("regs_b")), n_a, n_b)
+                yield batch.select(["a", "b"]).filter(pa.array(may_link(est, n_a, n_b, percent)))
+
+    return run
+
+
+def _same_words(x: Block, i: np.ndarray, y: Block, j: np.ndarray) -> np.ndarray:
+    """Whether words i of one block are words j of the other; short words by their hash, which tells them apart, long ones by their bytes."""
+    size = x.end[i] - x.start[i]
+    same = (size == y.end[j] - y.start[j]) & (x.hash[i] == y.hash[j])
+    long_ = np.flatnonzero(same & (size > 8))
+    if len(long_):
+        n = size[long_]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = x.raw[np.repeat(x.start[i[long_]], n) + step] != y.raw[np.repeat(y.start[j[long_]], n) + step]
+        same[long_] = np.bincount(np.repeat(np.arange(len(n)), n), differ, minlength=len(n)) == 0
+    return same
+
+
+def _similar(x: Block, y: Block, k: int, percent: int) -> bool:
+    """Whether the texts of two blocks of one text link: by hashes, which are then checked against the words."""
+
+    def distinct(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        hashes, lo, width, _ = shingles(block, k)
+        order = np.argsort(hashes, kind="stable")
+        hashes, lo, width = hashes[order], lo[order], width[order]
+        again = np.flatnonzero(hashes[1:] == hashes[:-1])
+        new = np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)]
+        return hashes[new], lo[new], width[new], same(block, lo[again], block, lo[again + 1], width[again])
+
+    def same(p: Block, i: np.ndarray, q: Block, j: np.ndarray, width: np.ndarray) -> bool:
+        return all(_same_words(p, i[width > w] + w, q, j[width > w] + w).all() for w in range(k))
+
+    h_x, lo_x, width_x, sound_x = distinct(x)
+    h_y, lo_y, width_y, sound_y = distinct(y)
+    common, i, j = np.intersect1d(h_x, h_y, assume_unique=True, return_indices=True)
+    both, either = len(common), len(h_x) + len(h_y) - len(common)
+    if not (sound_x and sound_y and (width_x[i] == width_y[j]).all() and same(x, lo_x[i], y, lo_y[j], width_x[i])):  # two shingles share a hash
+        sets = []
+        for block in (x, y):
+            words = [bytes(block.raw[a:b]) for a, b in zip(block.start, block.end, strict=True)]
+            sets.append({tuple(words[a : a + k]) for a in range(max(1, len(words) - k + 1))} if words else set())
+        both, either = len(sets[0] & sets[1]), len(sets[0] | sets[1])
+    return both > 0 and 100 * both >= percent * either
+
+
+def _verified(k: int, percent: int):
+    """The pairs that link on their full texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            est = estimate(_regs(batch.column("regs_a")), _regs(batch.column("regs_b")), n_a, n_b)
-            batch = batch.filter(pa.array(may_link(est, n_a, n_b, percent)))
-            linked = []
-            for x, y in zip(sets(batch.column("text_a")), sets(batch.column("text_b")), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            linked = [
+                _similar(next(blocks(batch.column("text_a").slice(i, 1), lower=True)), next(blocks(batch.column("text_b").slice(i, 1), lower=True)), k, percent)
+                for i in range(batch.num_rows)
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
@@ -233,12 +288,15 @@ def _full_sets(k: int):
     return run
 
 
-def _links(pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    names = ("n", "regs", "text")
-    left, right = (members.select(F.col("doc").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names]) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", *[f"{x}_{c}" for x in names for c in "ab"])
-    return both.mapInArrow(_check(k, percent), "a long, b long").distinct()
+def _both_sides(pairs: DataFrame, docs: DataFrame, *names: str) -> DataFrame:
+    """The pairs (a, b) with what is known of both documents."""
+    left, right = (docs.select(F.col("doc").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names]) for c in "ab")
+    return pairs.select("a", "b").join(left, "a").join(right, "b")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link; texts are joined to what the registers let through only."""
+    return _both_sides(pairs, texts, "text").mapInArrow(_verified(k, percent), "a long, b long").distinct()
 
 
 def _proposals(buckets: DataFrame) -> DataFrame:
@@ -256,37 +314,41 @@ def _open_buckets(shared: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _pack_pairs(members: DataFrame, group: str, data: DataFrame) -> DataFrame:
-    """Pairs of packs (x, y, same) of each group; members are of about PACK rows a pack, large classes apart from the rest."""
-    share = members.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("size"))
-    alone = share.select(group, "comp", "size", (F.col("size") >= PACK).alias("alone"))
-    rest = alone.groupBy(group).agg(F.sum(F.when(~F.col("alone"), F.col("size")).otherwise(0)).alias("rest"))
+    """Pairs of packs (x, y, same) of each group; a pack has about PACK rows or PACK_BYTES bytes of data, large classes are apart from the rest."""
+    full = members.join(data.select("doc", "n", F.octet_length("data").cast("long").alias("bytes")), "doc")
+    share = full.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
+    alone = share.select(group, "comp", F.greatest(F.col("size") / PACK, F.col("bytes") / PACK_BYTES).alias("fill")).withColumn("alone", F.col("fill") >= 1)
+    rest = alone.groupBy(group).agg(F.sum(F.when(~F.col("alone"), F.col("fill")).otherwise(0.0)).alias("rest"))
     sized = members.join(alone, [group, "comp"]).join(rest, group)
-    pack = F.when(F.col("alone"), F.xxhash64("comp", F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / PACK)))).otherwise(
-        F.pmod(F.xxhash64("doc"), F.ceil(F.greatest("rest", F.lit(1)) / PACK))
-    )
+    slot = lambda fill: F.pmod(F.xxhash64("doc"), F.ceil(F.greatest(fill, F.lit(1.0))))
+    pack = F.when(F.col("alone"), F.xxhash64("comp", slot(F.col("fill")))).otherwise(slot(F.col("rest")))
     packs = (
         sized.join(data, "doc")
         .groupBy(F.col(group).alias("group"), pack.alias("pack"), F.when(F.col("alone"), F.col("comp")).alias("only"))
         .agg(F.collect_list(F.struct("doc", "comp", "family", "n", "data")).alias("rows"))
     )
-    packs = materialize(packs, "packs")
-    x = packs.select("group", F.col("pack").alias("px"), F.col("only").alias("ox"), F.col("rows").alias("x"))
-    y = packs.select("group", F.col("pack").alias("py"), F.col("only").alias("oy"), F.col("rows").alias("y"))
-    within = (F.col("px") == F.col("py")) & F.col("ox").eqNullSafe(F.col("oy"))
+    packs = materialize(packs.withColumn("id", F.monotonically_increasing_id()), "packs")
+    # which packs meet is settled without their rows, so that a group of many packs is spread over tasks by pack
+    x = packs.select("group", F.col("id").alias("id_x"), F.col("pack").alias("px"), F.col("only").alias("ox"))
+    y = packs.select("group", F.col("id").alias("id_y"), F.col("pack").alias("py"), F.col("only").alias("oy"))
+    within = F.col("id_x") == F.col("id_y")
     apart = (F.struct("px", "ox") < F.struct("py", "oy")) & ~F.coalesce(F.col("ox") == F.col("oy"), F.lit(False))
-    return x.join(y, "group").where((within & F.col("ox").isNull()) | apart).select("x", "y", within.alias("same"))
+    pairs = x.join(y, "group").where((within & F.col("ox").isNull()) | apart).select("id_x", "id_y", within.alias("same"))
+    return pairs.join(packs.select(F.col("id").alias("id_x"), F.col("rows").alias("x")), "id_x").join(packs.select(F.col("id").alias("id_y"), F.col("rows").alias("y")), "id_y").select("x", "y", "same")
 
 
-def _rest_links(open_: DataFrame, families: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between classes that are still apart: within families on full sets, elsewhere by estimate and verification."""
+def _rest_pairs(open_: DataFrame, families: DataFrame, signed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of classes that are still apart: within families those that link on full sets, elsewhere by estimate."""
     placed = materialize(open_.join(families, "doc", "left").withColumn("family", F.coalesce("family", "doc")), "placed")
     alike = placed.select("doc", "comp", "family").distinct().join(families.select("doc"), "doc", "left_semi")
-    data = members.join(families.select("doc"), "doc", "left_semi").select("doc", "text").mapInArrow(_full_sets(k), "doc long, n long, data binary")
+    data = texts.join(families.select("doc"), "doc", "left_semi").select("doc", "text").mapInArrow(_full_sets(k), "doc long, n long, data binary")
     dense = _pack_pairs(alike, "family", data).mapInArrow(_dense(percent), "a long, b long").distinct()
     several = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("key")
-    regs = members.select("doc", "n", F.col("regs").alias("data"))
+    regs = signed.select("doc", "n", F.col("regs").alias("data"))
     sparse = _pack_pairs(placed.join(several, "key"), "key", regs).mapInArrow(_cross(percent), "a long, b long").distinct()
-    return dense.unionByName(_links(materialize(sparse, "sparse"), members, k, percent))
+    pairs = materialize(dense.unionByName(sparse), "rest-pairs")
+    drop_materialized(placed)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -301,34 +363,45 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(rows.mapInArrow(_sign(words), "doc long, n long, f1 long, f2 long, regs binary"), "sets")
-    named = sets.where("n > 0 and doc is not null")
     key = ["n", "f1", "f2"]
-    nodes = materialize(named.groupBy(*key).agg(F.min("doc").alias("rep")), "nodes")
     # one row for each different set: the smallest document that has it
-    once = materialize(named.join(nodes, key).where("doc = rep").drop("rep").dropDuplicates(key), "once")
+    once = sets.where("n > 0 and doc is not null").groupBy(*key).agg(F.min(F.struct("doc", "regs")).alias("rep"))
+    once = materialize(once.select(*key, "rep.doc", "rep.regs"), "once")
+    ids = materialize(sets.drop("regs"), "ids")
+    drop_materialized(sets)
+    nodes = once.select(*key, F.col("doc").alias("rep"))
     bands = materialize(once.select("doc", "regs").mapInArrow(_bands, "key long, doc long"), "bands")
     buckets = bands.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     shared = materialize(bands.join(buckets, "key"), "shared")
     drop_materialized(bands)
-    members = materialize(once.join(shared.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "regs").join(rows, "doc"), "members")
+    met = materialize(shared.select("doc").distinct(), "met")
+    signed = materialize(once.select("doc", "n", "regs").join(met, "doc", "left_semi"), "signed")
 
     # first one candidate per document, then whatever is still apart and shares a bucket
     best = materialize(_proposals(shared), "proposals")
-    links = materialize(_links(best.select("a", "b"), members, words, percent), "links")
+    likely = materialize(_both_sides(best, signed, "n", "regs").mapInArrow(_estimated(percent), "a long, b long"), "likely")
+    texts = materialize(rows.join(once.select("doc", *key).join(met, "doc", "left_semi"), "doc").select("doc", "text"), "texts")
+    links = materialize(_links(likely, texts, words, percent), "links")
     comps = materialize(components(links), "classes")
+    drop_materialized(links)
+    drop_materialized(likely)
     open_ = materialize(_open_buckets(shared, comps), "open-buckets")
+    drop_materialized(shared)
     near = best.where(F.col("v") >= DENSE).join(open_.select(F.col("doc").alias("b")).distinct(), "b", "left_semi")
     families = materialize(components(near).select(F.col("node").alias("doc"), F.col("component").alias("family")), "families")
-    more = _rest_links(open_, families, members, words, percent)
+    pairs = _rest_pairs(open_, families, signed, texts, words, percent)
+    for table in (best, open_, families, signed, met):
+        drop_materialized(table)
+    more = materialize(_links(pairs, texts, words, percent), "links")
+    drop_materialized(texts)
     links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     # rows of one id that differ in text are one node through the id they share
+    named = ids.where("n > 0 and doc is not null")
     several = named.groupBy("doc").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo < hi").select("doc")
-    ties = named.select("doc", *key).join(several, "doc").join(nodes, key).where("rep < doc").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    joined = links.unionByName(ties)
-    comps = materialize(components(joined), "classes")
+    ties = named.join(several, "doc").join(nodes, key).where("rep < doc").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    comps = materialize(components(links.unionByName(ties)), "classes")
     placed = (
-        sets.select("doc", "n", "f1", "f2")
-        .join(nodes, ["n", "f1", "f2"], "left")
+        ids.join(nodes, key, "left")
         .join(comps, F.col("rep") == F.col("node"), "left")
         .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc")).alias("component_id"))
     )

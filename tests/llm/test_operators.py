@@ -227,6 +227,53 @@ def test_near_duplicates(spark, k):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str) == brute_near(rows, k, 80)
 
 
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_hashes_that_collide_by_construction(spark):
+    """Texts whose polynomial hashes are equal: single words, and runs of two words."""
+    rng = random.Random(9)
+    common = words(49, rng)
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    rows = [(1, " ".join([*common, x]), "s", "en"), (2, " ".join([*common, y]), "s", "en"), (3, x, "s", "en"), (4, y, "s", "en")]
+    p, q = (" ".join(thue_morse(2048, a, b)) for a, b in ("ab", "ba"))
+    rows += [(5, p, "s", "en"), (6, q + " " + x, "s", "en")]
+    docs = spark.createDataFrame(rows, DOCS)
+    for operator in (remove_repeated_passages, remove_repeated_suffixes):
+        got = operator(docs, length=50).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+        assert sorted(map(tuple, got), key=str) == removal(rows, 50)
+        assert {r["doc_id"]: r["n_removed"] for r in got}[2] == 0
+    got = near_dedup.near_duplicates(docs.where("doc_id in (3, 4)"), words=2)
+    assert all(r["kept"] for r in got.collect())
+
+
+def test_compaction_over_many_edges(spark):
+    """Long shared passages, whole copies and passages that branch: the chains of edges take several rounds."""
+    rng = random.Random(21)
+    long_ = words(3000, rng, 10**6)
+    rows = [(i, " ".join([*words(rng.randrange(0, 90), rng, 10**6), *long_[rng.randrange(0, 900) : rng.randrange(1200, 3000)], *words(rng.randrange(0, 90), rng, 10**6)]), "s", "en") for i in range(14)]
+    rows += [(20, " ".join(long_), "s", "en"), (21, " ".join(long_), "s", "en"), (22, " ".join(long_[:70] * 9), "s", "en"), (23, " ".join(long_[:70] * 6), "s", "en")]
+    for operator in (remove_repeated_passages, remove_repeated_suffixes):
+        got = operator(spark.createDataFrame(rows, DOCS), length=50).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+        assert sorted(map(tuple, got), key=str) == removal(rows, 50)
+
+
+def test_near_links_are_checked_by_words(monkeypatch):
+    """Where two shingles share a hash the words decide."""
+    import pyarrow as pa
+
+    from quillon.llm import words as W
+
+    block = lambda t: next(W.blocks(pa.array([t]), lower=True))
+    text = " ".join(f"longer{i}word" for i in range(50))
+    assert near_dedup._similar(block(text), block(text.upper()), 2, 80)
+    assert not near_dedup._similar(block(text), block(" ".join(text.split()[25:])), 2, 80)
+    monkeypatch.setattr(W, "xxh3_64_intdigest", lambda data: 7)
+    assert not near_dedup._similar(block(text), block(text.replace("word", "wort")), 2, 80)
+    assert near_dedup._similar(block(text), block(text), 2, 80)
+
+
 def test_near_duplicates_families(spark, monkeypatch):
     """A chain of drifting copies: classes that only members of the same family can join, in several packs."""
     monkeypatch.setattr(near_dedup, "PACK", 8)
