@@ -176,11 +176,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-OP2_SQL = """
+OP2_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''),
-win AS (SELECT doc_id, i, md5(array_to_string(l[i : i + 2], chr(10))) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
-later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM later),
+win AS (
+  SELECT doc_id, n, i, array_to_string(l[i : i + n - 1], chr(10)) AS run
+  FROM (SELECT doc_id, n, l, unnest(range(1, len(l) - n + 2)) AS i FROM d, (VALUES (1), (2), (3)) AS depths(n) WHERE len(l) >= n)
+),
+later AS (SELECT * FROM (SELECT doc_id, n, i, run FROM win QUALIFY row_number() OVER (PARTITION BY n, md5(run) ORDER BY doc_id, i) > 1)
+          WHERE n = 3 OR len(regexp_extract_all(run, '[^\x20\x09-\x0D]+')) >= 50),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM later),
 kept AS (
   SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.p) AS t, count(*) AS n
   FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS p FROM d) a ANTI JOIN gone ON a.doc_id = gone.doc_id AND a.p = gone.p

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, html_main, near_dedup, quality, topk, warc
 from quillon.llm.graph import components
-from quillon.llm.line_dedup import remove_repeated_lines
+from quillon.llm.line_dedup import remove_repeated_lines, suffix_intervals
 from quillon.llm.mixing import mix_sources
 from quillon.llm.shared import global_rank
 from quillon.llm.substring_dedup import remove_repeated_passages
@@ -86,8 +86,10 @@ def test_lines(spark):
     rows[5] = (5, None, "s", "en")
     rows[6] = (6, "\n\n\n\n", "s", "en")
     rows += [(None, rows[0][1], "s", "en"), (None, rows[1][1], "s", None)]
-    got = remove_repeated_lines(spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit("clash")).repartition(3), min_lines=3)
-    assert got.columns == ["doc_id", "text", "source", "lang", "n_lines", "n_deleted"]
+    clash = {c: F.lit("clash") for c in ("n_lines", "_gone", "_doc", "_row", "_lines", "doc", "row", "in", "runs", "lines")}
+    got = remove_repeated_lines(spark.createDataFrame(rows, DOCS).withColumns(clash).repartition(3), min_lines=3)
+    assert got.columns == ["doc_id", "text", "source", "lang", "_gone", "_doc", "_row", "_lines", "doc", "row", "in", "runs", "lines", "n_lines", "n_deleted"]
+    assert {r[c] for r in got.collect() for c in got.columns[4:-2]} == {"clash"}
     text_hash = {r["t"]: r["h"] for r in spark.createDataFrame([(r[1] or "",) for r in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
     place = lambda r: (1 << 62 if r[0] is None else r[0], text_hash[r[1] or ""])
     first = {}
@@ -105,6 +107,21 @@ def test_lines(spark):
     assert remove_repeated_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_maximal_line_runs(spark):
+    """Intervals go as deep as the longest repeat; overlapping copies make one run."""
+    lines = [f"l{i}" for i in range(300)]
+    rows = [(1, "\n".join(lines), "s", "en"), (2, "\n".join(["a", *lines[20:270], "b", *lines[:2]]), "s", "en"), (3, "\n".join(lines[100:140] + lines[10:50]), "s", "en"), (4, "x\n" * 500, "s", "en")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in remove_repeated_lines(docs).collect()}
+    assert [got[i]["n_deleted"] for i in (1, 2, 3, 4)] == [0, 250, 80, 499]
+    assert got[2]["text"] == "a\nb\nl0\nl1" and got[3]["text"] == "" and got[4]["text"] == "x\n"
+    split = docs.select(F.col("doc_id").alias("doc"), F.lit(1).alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "l"))
+    found = suffix_intervals(split.select("doc", "row", "pos", F.xxhash64("l").alias("l1"), F.xxhash64("l").alias("l2"), F.array(F.lit(1)).alias("words")), 3)
+    assert sorted(found) == [1, 2, 3, *(1 << i for i in range(2, 10))] and found[512].isEmpty() and found[256].where("doc < 4").isEmpty()
+    deep = found[128].where("doc < 4").groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    assert deep.count() == 123 and deep.where("n <> 2").isEmpty()  # 250 - 128 + 1 intervals of two suffixes
+
+
 @pytest.mark.parametrize("min_lines", [3, 6])
 def test_short_runs_of_many_words(spark, min_lines):
     """Every repeated run of fewer lines than ``min_lines`` goes as well where it has 50 words."""
