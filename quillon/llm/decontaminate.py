@@ -1,8 +1,11 @@
 """Find benchmark passages in documents with one Aho-Corasick automaton.
 
-The automaton holds every window of normalised benchmark words. A task scans
-each normalised text once and maps hits to words, and those to offsets in the
-original text.
+The automaton holds blocks of normalised benchmark words, about half a window
+long and so spaced that every window has one; words are spelled as numbers of a
+few letters, so that no node has many branches. A task scans each normalised
+text once; where a block is met, the words around it are compared with the
+item's, as far as a window can reach, and hits are mapped to words, and those to
+offsets in the original text.
 """
 
 from __future__ import annotations
@@ -16,50 +19,104 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 #: Every ASCII byte that is neither letter nor digit parts words; A-Z are lowered; other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or c >= 97 and c <= 122 or c >= 128 else 32 for c in range(256))
-#: Normalised benchmark bytes that one automaton may hold; a larger benchmark is scanned for in blocks of this size.
+#: Benchmark characters that one automaton may hold (about 230 MB in a worker, at windows of ten words); a larger benchmark is scanned for in blocks of this size.
 MAX_AUTOMATON_BYTES = 8 << 20
+_BASE, _CANDIDATES = 64, 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-def windows_of(words: list[bytes], n: int) -> set[bytes]:
-    """Windows as `` w1 ... wn ``; an item of fewer words is one window, one of none has no window."""
-    if not words:
-        return set()
-    return {b" %b " % b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
-
-
-def build(items: list[tuple[int, str]], n: int) -> ahocorasick.Automaton:
-    owners: dict[bytes, set] = {}
-    for item, text in items:
-        for w in windows_of(words_of(text), n):
-            owners.setdefault(w, set()).add(str(item))
-    found = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        found.add_word(w.decode("latin-1"), (len(w), frozenset(ids)))
-    if owners:
-        found.make_automaton()
-    return found
-
-
-def scan(found: ahocorasick.Automaton, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-    """Which words lie in a hit, and the items hit."""
-    hit = np.zeros(len(words) + 1, np.int64)
-    items: set[str] = set()
-    if len(found) and words:
-        line = b" %b " % b" ".join(words)
-        gaps = None
-        for end, (size, ids) in found.iter(line.decode("latin-1")):
-            if gaps is None:
-                gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-            hit[np.searchsorted(gaps, end - size + 1)] += 1
-            hit[np.searchsorted(gaps, end)] -= 1
-            items |= ids
-    return np.cumsum(hit[:-1]) > 0, items
+class _Spelling(dict):
+    """Letters of each benchmark word; the first letter is of another range than the rest, so matches begin at words. Other words have a letter of their own."""
+
+    def __missing__(self, word: bytes) -> str:
+        return "\xff"
+
+
+class Seeds:
+    """The automaton of some items and what is needed to extend its hits."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+        block = (window + 1) // 2
+        self.window, self.step = window, window - block + 1
+        ids: dict[bytes, int] = {}
+        flat, ends, names, seeds = [], [], [], {}
+        for name, text in items:
+            words = [ids.setdefault(w, len(ids) + 1) for w in words_of(text)]
+            if words:
+                at, n = len(flat), min(block, len(words))
+                for i in range(0, len(words) - n + 1, self.step) if len(words) >= window else (0,):
+                    seeds.setdefault(tuple(words[i : i + n]), []).append((at + i, len(names)))
+                flat += words
+                names.append(name)
+                ends.append(len(flat))
+        self.ids, self.names = ids, names
+        self.flat, self.end = np.array(flat, np.int32), np.array(ends, np.int64)
+        self.begin = np.r_[0, self.end[:-1]][: len(ends)]
+        digits = 1
+        while _BASE**digits <= len(ids):
+            digits += 1
+        self.digits = digits
+        self.spelling = _Spelling((w, self._letters(i)) for w, i in ids.items())
+        letters = list(self.spelling.values())
+        self.places, self.sizes = [np.array(x, np.int64) for x in seeds.values()], np.array([len(k) for k in seeds], np.int64)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for number, seed in enumerate(seeds):
+            self.automaton.add_word("".join(letters[w - 1] for w in seed), number)
+        if seeds:
+            self.automaton.make_automaton()
+
+    def _letters(self, number: int) -> str:
+        out = []
+        for _ in range(self.digits):
+            number, digit = divmod(number, _BASE)
+            out.append(digit)
+        return chr(_BASE + out[0]) + "".join(map(chr, out[1:]))
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        """Which words lie in a window of an item, and the items of those windows."""
+        mark, found = np.zeros(len(words) + 1, np.int64), set()
+        if not (len(self.automaton) and words):
+            return mark[:-1] > 0, found
+        spelled = list(map(self.spelling.__getitem__, words))
+        hits = list(self.automaton.iter("".join(spelled)))
+        if hits:
+            last = np.cumsum([len(x) for x in spelled]) - 1
+            text = np.fromiter((self.ids.get(w, 0) for w in words), np.int32, len(words))
+            end, seed = np.array(hits, np.int64).T
+            start = np.searchsorted(last, end) + 1 - self.sizes[seed]
+            several = np.array([len(self.places[k]) for k in seed.tolist()])
+            for part in np.split(np.arange(len(seed)), np.flatnonzero(np.diff(np.cumsum(several) // _CANDIDATES)) + 1):
+                places = np.concatenate([self.places[k] for k in seed[part].tolist()])
+                at, size = np.repeat(start[part], several[part]), np.repeat(self.sizes[seed[part]], several[part])
+                self._extend(text, at, size, places[:, 0], places[:, 1], mark, found)
+        return np.cumsum(mark[:-1]) > 0, found
+
+    def _extend(self, text: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarray, item: np.ndarray, mark: np.ndarray, found: set[str]) -> None:
+        """Compare the words before and after each block with those of the item, within a window's reach."""
+        begin, end, n = self.begin[item], self.end[item], len(text)
+        reach = []
+        for step, edge, stop in ((-1, at - 1, place - begin), (1, at + size, end - place - size)):
+            own = (place - 1 if step < 0 else place + size)
+            run, live = np.zeros(len(at), np.int64), np.arange(len(at))
+            for k in range(self.window - 1):
+                x = edge[live] + step * k
+                live, x = live[ok := (x >= 0) & (x < n) & (stop[live] > k)], x[ok]
+                live = live[text[x] == self.flat[own[live] + step * k]]
+                if not len(live):
+                    break
+                run[live] += 1
+            reach.append(run)
+        good = reach[0] + size + reach[1] >= np.minimum(self.window, end - begin)
+        np.add.at(mark, at[good] - reach[0][good], 1)
+        np.add.at(mark, at[good] + size[good] + reach[1][good], -1)
+        found |= {self.names[i] for i in np.unique(item[good]).tolist()}
 
 
 def _offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +137,7 @@ def hit_spans(text: str, hit: np.ndarray) -> list[list[int]]:
     return [[int(begin[a]), int(end[b - 1])] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-_built: dict[int, ahocorasick.Automaton] = {}
+_built: dict[int, Seeds] = {}
 _STATE = "hit binary, items array<string>"
 _RESULT = "n_words long, spans array<array<long>>, n_hit long, items array<string>"
 
@@ -92,12 +149,12 @@ def _scanner(shared: Broadcast, n: int, key: int, last: bool):
     def scan_texts(texts: pa.Array, before: pa.Array) -> pa.Array:
         if key not in _built:
             _built.clear()
-            _built[key] = build(shared.value, n)
+            _built[key] = Seeds(shared.value, n)
         rows = []
         for text, old in zip(texts, before, strict=True):
             text, old = text.as_py(), old.as_py()
             words = words_of(text)
-            hit, items = scan(_built[key], words)
+            hit, items = _built[key].scan(words)
             if old["hit"]:
                 hit |= np.unpackbits(np.frombuffer(old["hit"], np.uint8), count=len(words)).astype(bool)
                 items |= set(old["items"])
@@ -142,15 +199,23 @@ def find_contamination(
 
     Null or empty texts have no words and no hits; null items are skipped (an
     item with a null id counts as item ``null``); repeated documents each give
-    a row; an empty benchmark hits nothing. Benchmarks above
-    ``MAX_AUTOMATON_BYTES`` take several automata, one scan after the other in
-    the same tasks, so that none outgrows a worker.
+    a row; an empty benchmark hits nothing; a very long text is scanned whole.
+    A benchmark above ``MAX_AUTOMATON_BYTES`` takes several automata, one scan
+    after the other with a checkpoint between: only one is broadcast, and built
+    in a worker, at a time.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "n_hit", "items")] if keep_columns else [id_col]
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).cast("string").alias("text"), F.expr("cast(named_struct('hit', null, 'items', array()) as struct<hit: binary, items: array<string>>)").alias("found"))
-    several = list(map(spark.sparkContext.broadcast, _benchmark_blocks(benchmark, item_col, item_text_col)))
-    for i, shared in enumerate(several):
-        scanner = _scanner(shared, window, shared._jbroadcast.id(), i == len(several) - 1)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).cast("string").alias("text"), F.expr("cast(named_struct('hit', null, 'items', array()) as struct<hit: binary, items: array<string>>)").alias("found"))
+    blocks = _benchmark_blocks(benchmark, item_col, item_text_col)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        shared = spark.sparkContext.broadcast(block)
+        scanner = _scanner(shared, window, shared._jbroadcast.id(), after is None)
         rows = rows.select("row", "text", scanner("text", "found").alias("found"))
+        if after is not None:
+            rows = checkpointed(rows)
+            shared.destroy()
+        block = after
     return rows.select("row.*", "found.n_words", "found.n_hit", "found.items", "found.spans")

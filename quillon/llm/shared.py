@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, a laptop) a fresh local folder
-    is set for the session.
+    Where none is named, a session whose tasks all run in this machine (tests, a
+    laptop) gets a fresh local folder; any other session is refused, as its
+    executors would not see such a folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillon-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -53,13 +56,18 @@ def partitions_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def range_sorted(df: DataFrame, order: list) -> DataFrame:
-    """Range-partition and sort ``df``, then checkpoint it: partitions and their order stay as they are."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder: any column type, partitions and their order stay as they are."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
+    return df.checkpoint()
+
+
+def range_sorted(df: DataFrame, order: list) -> DataFrame:
+    """Range-partition and sort ``df``, then checkpoint it."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    return df.repartitionByRange(partitions_for(spark), *cols).sortWithinPartitions(*cols).checkpoint()
+    return checkpointed(df.repartitionByRange(partitions_for(df.sparkSession), *cols).sortWithinPartitions(*cols))
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
