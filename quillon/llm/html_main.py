@@ -1,10 +1,11 @@
-"""Main text of web pages: what is left of a page without its own furniture and its site's templates.
-
-A page is read as a stream of tags. Elements whose tag, role, class or id says
-that they are navigation, advertising, forms, comments and the like are left
-out. Subtrees that recur on many different pages of a host are templates and
-are left out as well: every page's subtree hashes are counted per host in
-Spark, and the counts are joined back by host.
+"""Main text of web pages: what is left of a page without its site's templates and its own furniture.
+
+A page is read as a stream of tags, and the subtree of every element that holds
+text is hashed, menus, adverts and footers included. The hashes are counted per
+host in Spark; subtrees that recur on many different pages of a host are its
+templates, come back by a join on the host and are deleted first. What no other
+page repeats is then judged by the page alone: elements whose tag, role, class or
+id says that they are navigation, advertising, forms, comments and the like go.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from .shared import materialize
 # HTML element names by their role in a page.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset(
-    "head title nav header footer aside form script style noscript template iframe svg math canvas object button select textarea input label menu dialog noembed noframes audio video".split()
-)
+NO_TEXT = frozenset("head title script style noscript template iframe svg math canvas object button select textarea input label noembed noframes audio video".split())
+ASIDE = frozenset("nav header footer aside form menu dialog".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -50,7 +50,7 @@ _ABOUT = frozenset("has no not with without is".split())  # "has-sidebar" speaks
 
 
 def _furniture(tag: str, attributes: str) -> bool:
-    if tag in LEFT_OUT:
+    if tag in ASIDE:
         return True
     if not attributes or tag in ("body", "html", "article", "main") and "comment" not in attributes.lower():
         return False
@@ -68,16 +68,16 @@ def _furniture(tag: str, attributes: str) -> bool:
 class Page:
     """Blocks of text in page order, each with what it stands in, and the subtrees that hold them.
 
-    ``blocks`` are (text, in main element); ``subtrees`` are (first block, end
-    block, hash, in main element) of the elements that hold text and are not
-    furniture.
+    ``blocks`` are (text, in main element, in furniture); ``subtrees`` are
+    (first block, end block, hash, in main element) of all elements that hold
+    text, furniture included.
     """
 
     def __init__(self, text: str | None) -> None:
-        self.blocks: list[tuple[str, bool]] = []
+        self.blocks: list[tuple[str, bool, bool]] = []
         self.subtrees: list[tuple[int, int, int, bool]] = []
         self._piece: list[str] = []
-        self._stack: list[tuple[str, bool, bool, int]] = []  # tag, furniture, main, first block
+        self._stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, no text, furniture, main, first block
         if text:
             self._read(text)
 
@@ -86,15 +86,16 @@ class Page:
             text = " ".join(html.unescape("".join(self._piece)).split())
             self._piece = []
             if text:
-                self.blocks.append((text, bool(self._stack) and self._stack[-1][2]))
+                _, _, out, main, _ = self._stack[-1] if self._stack else ("", False, False, False, 0)
+                self.blocks.append((text, main, out))
 
     def _pop(self, depth: int) -> None:
         while len(self._stack) > depth:
-            tag, out, main, first = self._stack[-1]
-            if tag not in INLINE:
+            tag, mute, out, main, first = self._stack[-1]
+            if tag not in INLINE or out and not (len(self._stack) > 1 and self._stack[-2][2]):
                 self._flush()
-                if not out and len(self.blocks) > first and tag not in ("html", "body"):
-                    content = "\x1f".join(b for b, _ in self.blocks[first:])
+                if not mute and len(self.blocks) > first and tag not in ("html", "body"):
+                    content = "\x1f".join(b[0] for b in self.blocks[first:])
                     self.subtrees.append((first, len(self.blocks), xxhash.xxh64_intdigest(f"{tag}\x1e{main}\x1e{content}") - (1 << 63), main))
             self._stack.pop()
 
@@ -146,12 +147,14 @@ class Page:
             self._flush()
         if empty and tag in ("svg", "path", "circle", "rect"):
             return
-        out, main = (self._stack[-1][1], self._stack[-1][2]) if self._stack else (False, False)
-        out = out or _furniture(tag, attributes)
+        mute, out, main = self._stack[-1][1:4] if self._stack else (False, False, False)
+        inside = out
+        mute = mute or tag in NO_TEXT
+        out = out or mute or _furniture(tag, attributes)
         main = main or (not out and (tag in ("article", "main") or "articlebody" in attributes.lower()))
-        if out and not (self._stack and self._stack[-1][1]):
+        if out and not inside:
             self._flush()
-        self._stack.append((tag, out, main, len(self.blocks)))
+        self._stack.append((tag, mute, out, main, len(self.blocks)))
 
     def _close(self, tag: str) -> None:
         for depth in range(len(self._stack) - 1, -1, -1):
@@ -162,63 +165,70 @@ class Page:
             if name in BARRIERS and tag not in BARRIERS:
                 return
 
-    def main_text(self, templates: frozenset[int] = frozenset()) -> str:
+    def main_text(self, templates: frozenset[int] = frozenset(), by_names: bool = True) -> str:
+        """Text without the templates; with ``by_names`` also without furniture and, where a main element is marked, what lies around it."""
         drop = bytearray(len(self.blocks))
         if templates:
             for first, end, digest, _ in self.subtrees:
                 if digest in templates:
                     drop[first:end] = b"\1" * (end - first)
-        only_main = any(main for _, main in self.blocks)
-        return " ".join(t for i, (t, main) in enumerate(self.blocks) if not drop[i] and (main or not only_main))
+        if not by_names:
+            return " ".join(t for i, (t, _, _) in enumerate(self.blocks) if not drop[i])
+        only_main = any(main and not out for _, main, out in self.blocks)
+        return " ".join(t for i, (t, main, out) in enumerate(self.blocks) if not drop[i] and not out and (main or not only_main))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, keys, mains, pages = [], [], [], []
-        for host, text in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+        keys, subtrees, mains = [], [], []
+        for text in batch.column("html"):
             page = Page(text.as_py())
-            content = xxhash.xxh64_intdigest("\x1f".join(t for t, _ in page.blocks)) - (1 << 63)
-            found = {h: main for _, _, h, main in page.subtrees}
-            hosts += [host] * (len(found) + 1)
-            keys += [None, *found]
-            mains += [None, *found.values()]
-            pages += [content] * (len(found) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(mains, pa.bool_()), pa.array(pages, pa.int64())], names=["host", "subtree", "main", "page"])
+            keys.append(xxhash.xxh64_intdigest("\x1f".join(t for t, _, out in page.blocks if not out)) - (1 << 63))
+            subtrees.append(sorted({h for _, _, h, main in page.subtrees if not main}))
+            mains.append(sorted({h for _, _, h, main in page.subtrees if main}))
+        lists = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.int64()), pa.array(subtrees, lists), pa.array(mains, lists)], names=["host", "page", "around", "inside"])
 
 
 def site_templates(pages: DataFrame, *, least_pages: int = 5, least_share: float = 0.5, least_main_share: float = 0.9) -> DataFrame:
     """(host, templates): hashes of the subtrees on at least ``least_share`` of a host's different pages, and at least ``least_pages`` of them.
 
     Within a marked main element the share is ``least_main_share``: a passage
-    that many articles quote is no template. Pages of equal text count once,
-    so copies of one page make none. A host has no more templates than a few
-    pages have subtrees.
+    that many articles quote is no template. Pages of equal text (furniture
+    aside) count once, so copies of one page make none. A host has no more
+    templates than a few pages have subtrees.
     """
-    seen = pages.select("host", "html").mapInArrow(_hashes, "host string, subtree long, main boolean, page long").distinct()
-    counts = seen.groupBy("host", "subtree", "main").agg(F.count(F.lit(1)).alias("n")).where(F.col("subtree").isNull() | (F.col("n") >= least_pages))
-    counts = materialize(counts, "subtrees")
-    hosts = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
+    scanned = pages.select("host", "html").mapInArrow(_hashes, "host string, page long, around array<long>, inside array<long>")
+    different = materialize(scanned.groupBy("host", "page").agg(F.min(F.struct("around", "inside")).alias("has")).select("host", "has.*"), "page-subtrees")
+    sizes = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    around = F.transform("around", lambda h: F.struct(h.alias("subtree"), F.lit(False).alias("main")))
+    inside = F.transform("inside", lambda h: F.struct(h.alias("subtree"), F.lit(True).alias("main")))
+    counts = different.select("host", F.explode(F.concat(around, inside)).alias("s")).groupBy("host", "s.subtree", "s.main").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     share = F.when(F.col("main"), least_main_share).otherwise(least_share)
-    often = counts.where("subtree is not null").join(hosts, "host").where(F.col("n") >= F.greatest(F.lit(least_pages), F.col("pages") * share))
+    often = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
     return often.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple, frozenset] = {}
-    for batch in batches:
-        texts = []
-        for source, templates in zip(batch.column("html"), batch.column("templates"), strict=True):
-            found = tuple(templates.as_py() or ())
-            if found not in known:
-                known = {found: frozenset(found)}
-            texts.append(Page(source.as_py()).main_text(known[found]))
-        keep = [c for c in batch.schema.names if c not in ("html", "templates")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+def _extract(by_names: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, frozenset] = {}
+        for batch in batches:
+            texts = []
+            for source, templates in zip(batch.column("html"), batch.column("templates"), strict=True):
+                found = tuple(templates.as_py() or ())
+                if found not in known:
+                    known = {found: frozenset(found)}
+                texts.append(Page(source.as_py()).main_text(known[found], by_names))
+            keep = [c for c in batch.schema.names if c not in ("html", "templates")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+
+    return run
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **thresholds: float) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", by_names: bool = True, **thresholds: float) -> DataFrame:
     """Per page: id, url, ``text``.
 
+    The site's templates are deleted first; ``by_names=False`` stops there.
     Where a page marks its article (``article``, ``main`` or an article body)
     the text is taken from there, else from the body. Character references are
     decoded, white space inside a block becomes one space, blocks are joined
@@ -232,5 +242,5 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     templates = materialize(site_templates(rows, **thresholds), "templates")
     joined = rows.join(templates, "host", "left").select("_id", "_url", "html", "templates")
     kinds = [joined.schema[c].dataType.simpleString() for c in ("_id", "_url")]
-    out = joined.mapInArrow(_extract, f"_id {kinds[0]}, _url {kinds[1]}, text string")
+    out = joined.mapInArrow(_extract(by_names), f"_id {kinds[0]}, _url {kinds[1]}, text string")
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text")

@@ -416,6 +416,31 @@ def test_site_templates(spark):
     assert html_main.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_templates_alone_remove_furniture(spark):
+    """No marked article, no telling names, no tags of furniture: counts by host must do, as plain Python counts say."""
+    rng = random.Random(8)
+    rows, body = [], {}
+    for site in range(3):
+        menu = "".join(f"<li>{w}</li>" for w in words(6, rng))
+        foot, side = " ".join(words(12, rng)), " ".join(words(9, rng))
+        for i in range(8):
+            text = [" ".join(words(20, rng, 10**6)) for _ in range(3)]
+            ad = f"<div>{' '.join(words(4, rng, 10**6))}</div>" if i % 2 else ""
+            body[len(rows)] = " ".join([*([re.sub("<[^>]*>", "", ad)] if ad else []), *text])
+            tag = ("nav", "div", "table")[site]
+            rows.append((len(rows), f"https://s{site}.example/p{i}", f"<html><body><{tag}><ul>{menu}</ul></{tag}>{ad}<div><p>{'</p><p>'.join(text)}</p><div>{side}</div></div><footer>{foot}</footer></body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_main.extract_main_text(df, by_names=False).collect()}
+    assert got == body
+    counts, sizes = defaultdict(Counter), defaultdict(set)
+    for _, url, source in rows:
+        page = html_main.Page(source)
+        counts[url.split("/")[2]].update({h for _, _, h, _ in page.subtrees})
+        sizes[url.split("/")[2]].add(source)
+    found = {r["host"]: set(r["templates"]) for r in html_main.site_templates(df.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))).collect()}
+    assert found == {h: {s for s, n in c.items() if n >= 5 and n >= len(sizes[h]) / 2} for h, c in counts.items()}
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows, labels = [], []
