@@ -16,12 +16,13 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, scratch_path
 
 #: Queries scored together: bounds the broadcast (this many vectors) and what a task returns for each pass.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 4096
 BINS = 64
 _EXACT = 2.0**53
+FOUND = "query_id long, vec_id long, score long"
 _MOST, _MASK = (1 << 63) - 1, (1 << 64) - 1
 
 
@@ -97,8 +98,8 @@ def _passes(shared: Broadcast, finish: bool, k: int):
     return run
 
 
-def _select(rows: DataFrame, block: dict, k: int) -> DataFrame:
-    """Narrow each query's range until it holds the k-th score alone."""
+def _select(rows: DataFrame, block: dict, k: int, path: str) -> None:
+    """Narrow each query's range until it holds the k-th score alone, and add what reaches it to the table at ``path``."""
     spark = rows.sparkSession
     reach = [min(_MOST, int(x) + 1) for x in np.ceil(block["norms"] * block["longest"]).tolist()]
     lo, hi = [max(-_MOST - 1, -r - 1) for r in reach], reach  # the k-th score lies in [lo, hi]
@@ -111,7 +112,7 @@ def _select(rows: DataFrame, block: dict, k: int) -> DataFrame:
         counts = np.zeros((len(open_), BINS + 2), np.int64)
         for q, b, n in found.collect():  # at most QUERY_BLOCK * (BINS + 2) numbers
             counts[q, b] = n
-        shared.unpersist()
+        shared.destroy()
         rest = []
         for j, q in enumerate(open_):
             above = np.cumsum(counts[j, ::-1])[::-1]  # rows in this bin or a higher one
@@ -126,7 +127,8 @@ def _select(rows: DataFrame, block: dict, k: int) -> DataFrame:
                 rest.append(q)
         open_ = rest
     shared = spark.sparkContext.broadcast(block | {"lo": lo, "width": []})
-    return rows.mapInArrow(_passes(shared, True, k), "query_id long, vec_id long, score long")
+    rows.mapInArrow(_passes(shared, True, k), FOUND).write.mode("append").parquet(path)
+    shared.destroy()
 
 
 def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, scale: float = 256.0) -> DataFrame:
@@ -148,17 +150,14 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     # hashed into blocks; a block is the only set of vectors that is gathered, and the largest that is broadcast
     n, longest = rows.agg(F.count_if(F.col("id") % every == 0), F.max("norm")).first()
     queries = materialize(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // (QUERY_BLOCK // 2)))))), "queries")
-    parts = []
+    path, some_found = scratch_path(spark, "found"), False
     for b, size in sorted(tuple(r) for r in queries.select("block", "size").distinct().collect()):
         got = queries.where((F.col("block") == b) & (F.col("size") == size)).orderBy("id").collect()
         for at in range(0, len(got), QUERY_BLOCK):
             some = got[at : at + QUERY_BLOCK]
             block = {"ids": np.array([r["id"] for r in some]), "norms": np.array([r["norm"] for r in some]), "vectors": _matrix([bytes(r["vector"]) for r in some], size), "size": size, "longest": longest}
-            parts.append(_select(rows, block, k))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+            _select(rows, block, k, path)
+            some_found = True
+    found = spark.read.schema(FOUND).parquet(path) if some_found else spark.createDataFrame([], FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a task
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
