@@ -95,12 +95,11 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     revisits = materialize(decide(marked.select("id", "digest", "size"), min_bytes), "revisits")
     joined = marked.join(revisits, ["id", "digest"], "left")
     n = F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("int")
-    chunks = joined.select(
-        "id", "url", "size", "refers_to", "payload", "digest", F.explode(F.when(F.col("refers_to").isNotNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1))).alias("chunk"), n.alias("n")
-    ).select(
-        "id", "url", "size", "refers_to", F.unhex("digest").alias("sha"), "chunk",
-        (F.col("refers_to").isNotNull() | (F.col("chunk") == F.col("n") - 1)).alias("last"),
-        F.when(F.col("refers_to").isNull(), F.substring("payload", F.col("chunk") * CHUNK + 1, F.lit(CHUNK))).alias("data"),
+    numbers = F.when(F.col("refers_to").isNotNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1))
+    # cut before they become rows: no row carries more than its own chunk
+    cut = F.transform(numbers, lambda i: F.struct(i.alias("chunk"), F.when(F.col("refers_to").isNull(), F.substring("payload", i * CHUNK + 1, F.lit(CHUNK))).alias("data")))
+    chunks = joined.select("id", "url", "size", "refers_to", F.unhex("digest").alias("sha"), n.alias("n"), F.explode(cut).alias("c")).select(
+        "id", "url", "size", "refers_to", "sha", "c.chunk", (F.col("refers_to").isNotNull() | (F.col("c.chunk") == F.col("n") - 1)).alias("last"), "c.data"
     )
     return materialize(chunks.mapInArrow(_writer(folder, level), "file string, records long"), "archives")
 
@@ -212,7 +211,9 @@ def _reader(folder: str, with_data: bool):
 def read_chunks(files: DataFrame, folder: str, *, with_data: bool = False) -> DataFrame:
     """The chunk table of the archives: a row for each record and chunk number, with the digest of the payload so far.
 
-    A revisit and an empty payload have one chunk of no bytes.
+    A revisit and an empty payload have one chunk of no bytes; a record written
+    for a null id has a null id, one for a null URL an empty one. No files give
+    no rows; other columns of ``files`` are ignored.
     """
     spark = files.sparkSession
     spread = files.select("file").repartition(max(1, 2 * spark.sparkContext.defaultParallelism))
@@ -233,6 +234,11 @@ def records(chunks: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write archives of ``pages`` and read their records back."""
+    """Write archives of ``pages`` and read their records back: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+
+    One row per row of ``pages``. Nulls, empty and repeated payloads, repeated
+    ids and payloads of any length are as ``write_archives`` states; an empty
+    table gives an empty result; other columns are ignored.
+    """
     folder = scratch_path(pages.sparkSession, "warc")
     return records(read_chunks(write_archives(pages, folder, **options), folder))
