@@ -1,7 +1,10 @@
 """Corpus pipeline: quality filter, line dedup, near-dedup, decontamination, mixing.
 
 Every stage takes what its predecessor kept, as a table with the columns of
-``documents``, and all but the last return such a table.
+``documents``, and all but the last return such a table. Further columns come
+through whatever their names; ``n_chars`` may be missing. Texts that are null or
+empty are judged like any other by the classifier and pass the other stages
+unchanged; of rows that repeat an id all go or stay together in ``near_dedup``.
 """
 
 from __future__ import annotations
@@ -34,28 +37,34 @@ def _shipped(f: Stage) -> Stage:
     return run_stage
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id and text for an operator, and the row as it was apart from them, so that no name can clash."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("as_it_was"))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score below 0.7) go."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).where("score >= 0.7").select(*docs.columns)
+    return score_quality(_packed(docs), model).where("score >= 0.7").select("as_it_was.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of three or more lines, or of 50 or more words in fewer lines, are deleted from the texts; ``n_chars`` follows."""
-    kept = remove_repeated_lines(docs, min_lines=3)
-    return kept.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    kept = remove_repeated_lines(_packed(docs), min_lines=3)
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("as_it_was.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return kept.select(*[changed.get(c, F.col(f"as_it_was.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
     gone = near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(materialize(gone, "near-gone"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(materialize(gone, "near-gone"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, keep_columns=True)
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = find_contamination(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, keep_columns=True)
+    return found.where("n_hit = 0").select("as_it_was.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,21 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_awkward_rows_and_names(spark):
+    """Nulls, repeats and extra columns named like the operators' own come through; a table need not have n_chars."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").drop("n_chars")
+    odd = spark.createDataFrame([(900, None, None, None), (901, "", "en", "s"), (None, "x y", "en", "s"), (3, "again", None, None)], docs.select("doc_id", "text", "lang", "source").schema)
+    names = ["score", "n_lines", "n_deleted", "n_words", "n_hit", "items", "spans", "in", "row", "runs", "kept", "as_it_was", "component_id", "odd.name"]
+    docs = docs.select("doc_id", "text", "lang", "source").unionByName(odd).unionByName(docs.where("doc_id = 5").select("doc_id", "text", "lang", "source"))
+    for c in names:
+        docs = docs.withColumn(c, F.lit("own"))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == "own" for r in rows for c in names), name
+        if name != "quality":
+            assert {900, 901, None} <= {r["doc_id"] for r in rows}, name
+    assert P.STAGES[-1][1](spark, docs, SF).count() == docs.count()
