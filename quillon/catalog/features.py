@@ -48,17 +48,17 @@ def family_a_signals(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("vec_id", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 
-_ANSWERS = """a AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-  s AS (SELECT user_id, max(event_type) FILTER (k = 1) AS g, list(event_type ORDER BY k) FILTER (k BETWEEN 2 AND 6) AS x FROM a WHERE k <= 6 GROUP BY user_id HAVING count(*) >= 2)"""
+_ANSWERS = """a AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
+  s AS (SELECT user_id || '-' || part AS user_id, g, x FROM (SELECT user_id, k // 6 AS part, max(event_type) FILTER (k % 6 = 0) AS g, list(event_type ORDER BY k) FILTER (k % 6 > 0) AS x FROM a GROUP BY user_id, k // 6 HAVING count(*) >= 2))"""
 
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
-    """First event of a user as the greedy answer, the next five as samples."""
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    first = table(spark, sf, "events").select("user_id", "event_type", k.alias("k")).where("k <= 6")
+    """Every six consecutive events of a user: the first as the greedy answer, the others as samples; a last set of one event has none."""
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    placed = table(spark, sf, "events").select("user_id", "event_type", k.alias("k")).withColumn("part", F.floor(F.col("k") / 6))
     all_ = F.transform(F.array_sort(F.collect_list(F.struct("k", "event_type"))), lambda s: s["event_type"])
-    sets = first.groupBy("user_id").agg(all_.alias("all")).where(F.size("all") >= 2)
-    return sets.select(F.col("user_id").alias("qid"), F.get("all", F.lit(0)).alias("greedy_norm"), F.slice("all", 2, 5).alias("samples_norm"))
+    sets = placed.groupBy("user_id", "part").agg(all_.alias("all")).where(F.size("all") >= 2)
+    return sets.select(F.concat_ws("-", "user_id", "part").alias("qid"), F.get("all", F.lit(0)).alias("greedy_norm"), F.slice("all", 2, 5).alias("samples_norm"))
 
 
 @query(
@@ -113,16 +113,13 @@ def clustering_audit(spark: SparkSession, sf: str) -> DataFrame:
     return K.clustering_audit(out, "g", "x", N.hash_share(F.col("qid").cast("string")) < 0.5)
 
 
-_SHORT = f"({tokens_sql('text')})[1:6]"
-
-
 @query(
-    f"""WITH c AS (SELECT conv_id, turn, {_SHORT} AS t FROM conversations WHERE turn < 4), p AS (SELECT a.conv_id, a.t AS x, b.t AS y FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn),
+    f"""WITH c AS (SELECT conv_id, turn, {tokens_sql('text')} AS t FROM conversations), p AS (SELECT a.conv_id, a.t AS x, b.t AS y FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn),
     f AS (SELECT conv_id, CASE WHEN len(x) + len(y) = 0 THEN 1.0 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE 2.0 * list_sum([least(len(list_filter(x, lambda v: v = u)), len(list_filter(y, lambda v: v = u))) FOR u IN list_distinct(x)]) / (len(x) + len(y)) END AS f1 FROM p),
     k AS (SELECT conv_id, count(*) AS n FROM c GROUP BY 1) SELECT k.conv_id, round(coalesce(avg(f1), 1.0)::DOUBLE, 9) AS mean_f1 FROM k LEFT JOIN f USING (conv_id) GROUP BY k.conv_id"""
 )
 def pairwise_f1(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where("turn < 4").select("conv_id", "turn", F.array_join(F.slice(T.tokens("text"), 1, 6), " ").alias("t"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", T.normalize("text").alias("t"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda s: s["t"])
     return c.groupBy("conv_id").agg(texts.alias("ts")).select("conv_id", F.round(T.mean_pairwise_f1(F.col("ts")), 9).alias("mean_f1"))
 

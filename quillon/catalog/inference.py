@@ -14,18 +14,15 @@ from quillon.plans import compare as C
 from quillon.plans import gates as G
 from quillon.plans import leaderboard as L
 
-RESAMPLES, SEED = 50, 987654321
+RESAMPLES, SEED = 1000, 987654321
 
 
-def draws_sql(rows: str, strata: str = "", key: str = "qid", name: str = "w") -> str:
-    """Multiplicities of hash draws within (strata, y), as CTEs ending in ``name`` (r, strata, key, y, w)."""
-    by = f"{strata}, y" if strata else "y"
-    use = f"({by}, i)"
-    parts = [f"'{SEED}'", "CAST(r AS VARCHAR)", *([f"CAST({s.strip()} AS VARCHAR)" for s in strata.split(",")] if strata else []), "CAST(y::INT AS VARCHAR)", "CAST(k AS VARCHAR)"]
-    head = f"{strata}, " if strata else ""
-    return f"""{name}_rows AS MATERIALIZED (SELECT {head}{key}, y, row_number() OVER (PARTITION BY {by} ORDER BY {key}) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS size FROM {rows}),
-  {name}_drawn AS (SELECT r, {by}, {md5_sql(*parts)} % size AS i, count(*) AS w FROM (SELECT {by}, i AS k, size FROM {name}_rows), (SELECT unnest(range({RESAMPLES})) AS r) GROUP BY ALL),
-  {name} AS MATERIALIZED (SELECT r, {head}{key}, y, w FROM {name}_drawn JOIN {name}_rows USING {use})"""
+def draws_sql(rows: str, key: str = "qid", name: str = "w") -> str:
+    """How often each key is drawn in each resample, as a CTE ``name`` (r, key, w): Poisson numbers read from hashes."""
+    drawn = " + ".join(f"(u >= {limit})::BIGINT" for limit in R.LIMITS)
+    return f"""{name} AS MATERIALIZED (SELECT r, {key}, {drawn} AS w FROM (
+    SELECT 8 * j + i AS r, {key}, ('0x' || substr(md5('{SEED}:' || j || ':' || CAST({key} AS VARCHAR)), 4 * i + 1, 4))::BIGINT AS u
+    FROM (SELECT DISTINCT {key} FROM {rows}), (SELECT unnest(range({-(-RESAMPLES // 8)})) AS j), (SELECT unnest(range(8)) AS i)) WHERE u >= {R.LIMITS[0]} AND r < {RESAMPLES})"""
 
 
 def interval_sql(source: str, by: str, value: str) -> str:
@@ -52,7 +49,7 @@ def bootstrap_ap_ci_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SCORES}, {draws_sql('wide', 'stratum')}, d AS (SELECT w.r, s.stratum, s.signal, s.score, s.y, w.w FROM scores s JOIN w USING (stratum, qid)), e AS (SELECT * FROM {auroc_sql('r, stratum, signal', 'd', 'w')}),
+    f"""WITH {SCORES}, {draws_sql('wide')}, d AS (SELECT w.r, s.stratum, s.signal, s.score, s.y, w.w FROM scores s JOIN w USING (qid)), e AS (SELECT * FROM {auroc_sql('r, stratum, signal', 'd', 'w')}),
     z AS (SELECT stratum, count(*) AS weight FROM wide GROUP BY 1), v AS (SELECT r, signal, CASE WHEN count(auroc) = count(*) THEN sum(auroc * weight) / sum(weight) END AS auroc FROM e JOIN z USING (stratum) GROUP BY ALL)
     SELECT signal, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high FROM {interval_sql('v', 'signal', 'auroc')}"""
 )
@@ -61,7 +58,7 @@ def stratified_bootstrap_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SCORES}, {draws_sql('wide', 'stratum')}, d AS (SELECT w.r, s.stratum, s.signal, s.score, s.y, w.w FROM scores s JOIN w USING (stratum, qid)), v AS (SELECT * FROM {auroc_sql('r, stratum, signal', 'd', 'w')}),
+    f"""WITH {SCORES}, {draws_sql('wide')}, d AS (SELECT w.r, s.stratum, s.signal, s.score, s.y, w.w FROM scores s JOIN w USING (qid)), v AS (SELECT * FROM {auroc_sql('r, stratum, signal', 'd', 'w')}),
     p AS (SELECT * FROM {auroc_sql('stratum, signal')})
     SELECT stratum, signal, round(auroc, 9) AS auroc, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, ci_low > 0.5 OR ci_high < 0.5 AS excludes_chance FROM p LEFT JOIN {interval_sql('v', 'stratum, signal', 'auroc')} USING (stratum, signal)"""
 )
@@ -71,7 +68,7 @@ def per_dataset_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SCORES}, votes AS (SELECT row_pos // 3 AS cluster_id, avg(y::INT) >= 0.5 AS y FROM wide GROUP BY 1), {draws_sql('votes', '', 'cluster_id')},
+    f"""WITH {SCORES}, votes AS (SELECT DISTINCT row_pos // 3 AS cluster_id FROM wide), {draws_sql('votes', 'cluster_id')},
     d AS (SELECT w.r, s.signal, s.score, s.y, w.w FROM scores s JOIN w ON s.row_pos // 3 = w.cluster_id), v AS (SELECT * FROM {auroc_sql('r, signal', 'd', 'w')})
     SELECT signal, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high FROM {interval_sql('v', 'signal', 'auroc')}"""
 )
@@ -81,7 +78,7 @@ def cluster_bootstrap_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SCORES}, m AS (SELECT md5(string_agg(qid, ',' ORDER BY qid)) AS mask FROM wide), masked AS (SELECT mask, qid, y FROM wide, m), {draws_sql('masked', 'mask')},
+    f"""WITH {SCORES}, {draws_sql('wide')},
     d AS (SELECT w.r, s.signal, s.score, s.y, w.w FROM scores s JOIN w USING (qid)), a AS (SELECT * FROM {auroc_sql('r, signal', 'd', 'w')}), p AS (SELECT * FROM {auroc_sql('signal')}),
     t AS (SELECT o.signal, o.auroc - f.auroc AS delta, o.n AS n_paired FROM p o, p f WHERE f.signal = 'distinct' AND o.signal <> 'distinct'),
     v AS (SELECT o.r, o.signal, o.auroc - f.auroc AS d FROM a o JOIN a f ON o.r = f.r AND f.signal = 'distinct' WHERE o.signal <> 'distinct'),
@@ -95,7 +92,7 @@ def paired_auroc_diff_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SCORES}, {draws_sql('(SELECT qid, toxic AS y FROM wide)')}, l AS (SELECT qid, signal, score, unnest(['old', 'new']) AS side, unnest([y, toxic]) AS y FROM scores),
+    f"""WITH {SCORES}, {draws_sql('wide')}, l AS (SELECT qid, signal, score, unnest(['old', 'new']) AS side, unnest([y, toxic]) AS y FROM scores),
     d AS (SELECT w.r, l.signal, l.side, l.score, l.y, w.w FROM l JOIN w USING (qid)), a AS (SELECT * FROM {auroc_sql('r, signal, side', 'd', 'w')}), p AS (SELECT * FROM {auroc_sql('signal, side', 'l')}),
     t AS (SELECT n.signal, n.auroc - o.auroc AS delta FROM p n JOIN p o ON n.signal = o.signal AND n.side = 'new' AND o.side = 'old'),
     v AS (SELECT n.signal, n.auroc - o.auroc AS delta FROM a n JOIN a o ON n.r = o.r AND n.signal = o.signal AND n.side = 'new' AND o.side = 'old')
@@ -109,11 +106,11 @@ _P = "(l_orderkey % 997) / 9970.0::DOUBLE"
 
 
 @query(
-    f"""WITH f AS (SELECT l_orderkey AS k, {_P} AS p FROM lineitem WHERE l_linenumber = 1 AND l_orderkey <= 400), r AS (SELECT k, p, row_number() OVER (ORDER BY p, k) AS rn, count(*) OVER () AS m FROM f),
+    f"""WITH f AS (SELECT l_orderkey AS k, {_P} AS p FROM lineitem WHERE l_linenumber = 1), r AS (SELECT k, p, row_number() OVER (ORDER BY p, k) AS rn, count(*) OVER () AS m FROM f),
     h AS (SELECT k, p, least(1.0, max((m - rn + 1) * p) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING)) AS a FROM r) SELECT k, round(a, 9) AS p_holm, a <= 0.05 AS significant FROM h"""
 )
 def holm_adjust(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole family of first lines; the SQL twin has a fixed subset of it."""
+    """The whole family of first lines."""
     f = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("k"), (F.col("l_orderkey") % 997 / F.lit(9970.0)).alias("p"))
     return r9(R.holm(f, "p", "k", spread=64).select("k", "p_holm", F.col("significant_p_holm").alias("significant")), "p_holm")
 
@@ -139,7 +136,7 @@ def cohens_kappa(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_RATED}, {draws_sql('(SELECT qid, true AS y FROM rated)')}, cells AS (SELECT r, a, b, sum(w) AS w FROM rated JOIN w USING (qid) GROUP BY ALL),
+    f"""WITH {_RATED}, {draws_sql('rated')}, cells AS (SELECT r, a, b, sum(w) AS w FROM rated JOIN w USING (qid) GROUP BY ALL),
     v AS (SELECT * FROM {_KAPPA.format(by='r,', w='w', source='cells', group='GROUP BY r', keys='r, c', join='JOIN q USING (r)')}), p AS (SELECT kappa FROM {_CELLS})
     SELECT round((SELECT kappa FROM p), 9) AS kappa, round(quantile_cont(kappa, 0.025), 9) AS ci_low, round(quantile_cont(kappa, 0.975), 9) AS ci_high FROM v"""
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.catalog import query, table
@@ -101,18 +101,13 @@ def easy_slice_filter(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, item_id FROM d JOIN b ON contains(d.n, b.n)"""
 )
 def benchmark_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    """Items stated in documents: candidates share the item's first five tokens, then the whole item is looked for."""
-    lead = 5
-    b = table(spark, sf, "benchmark").select("item_id", T.normalize("text").alias("item")).withColumn("head", F.array_join(F.slice(T.split_tokens(F.col("item")), 1, lead), " "))
-    d = table(spark, sf, "documents").select("doc_id", T.normalize("text").alias("n")).withColumn("w", T.split_tokens(F.col("n")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - lead + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, lead), " "))
-    hits = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("head")).join(b.select("item_id", "head"), "head").select("doc_id", "item_id")
-    return hits.join(d.select("doc_id", "n"), "doc_id").join(b.select("item_id", "item"), "item_id").where(T.contains_run(F.col("n"), F.col("item"))).select("doc_id", "item_id")
+    """Items stated in documents."""
+    return D.stated_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-@query(f"WITH d AS (SELECT doc_id, {norm_sql('text')} AS n FROM documents) SELECT doc_id FROM d WHERE doc_id < 40 AND n IN (SELECT n FROM d WHERE doc_id >= 40)")
+@query(f"WITH d AS (SELECT doc_id, {norm_sql('text')} AS n FROM documents) SELECT doc_id FROM d WHERE doc_id IN (SELECT doc_id FROM labels) AND n IN (SELECT n FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels))")
 def few_shot_disjoint(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents, as the few shots, whose text also stands among the unlabelled; the SQL twin parts them by id 40."""
+    """Labelled documents, as the few shots, whose text also stands among the unlabelled."""
     d, l = table(spark, sf, "documents").select("doc_id", T.normalize("text").alias("n")), table(spark, sf, "labels").select("doc_id")
     return d.join(l, "doc_id", "left_semi").join(d.join(l, "doc_id", "left_anti").select("n"), "n", "left_semi").select("doc_id")
 
@@ -168,9 +163,9 @@ def length_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return D.length_buckets(t, "n", 4, "pos").select("conv_id", "turn", "bucket")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 100")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document without a label; the SQL twin has the first hundred."""
+    """Every document without a label."""
     return D.not_done(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), key="doc_id")
 
 
@@ -250,7 +245,7 @@ def judged_set_operations(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, row_number() OVER (ORDER BY quality, CASE WHEN toxic = 1 THEN 0 ELSE 1 END, doc_id) AS place FROM labels".replace("row_number()", "CAST(row_number()").replace("doc_id) AS place", "doc_id) AS INTEGER) AS place"))
 def priority_order(spark: SparkSession, sf: str) -> DataFrame:
     l = table(spark, sf, "labels").select("doc_id", "quality", (F.col("toxic") == 1).alias("moved"))
-    return l.withColumn("place", F.row_number().over(Window.orderBy("quality", F.when(F.col("moved"), 0).otherwise(1), "doc_id"))).select("doc_id", "place")
+    return D.placed_by(l, "quality", F.when(F.col("moved"), 0).otherwise(1), "doc_id").select("doc_id", "place")
 
 
 @query("WITH w AS (SELECT count(*) AS n, count(*) FILTER (toxic = 1) AS k FROM labels), z AS (SELECT 1.959963984540054::DOUBLE AS z, n::DOUBLE AS n, k::DOUBLE AS k FROM w) SELECT round((k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS low, round((k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS high FROM z")

@@ -56,7 +56,7 @@ def r9(df: DataFrame, *columns: str) -> DataFrame:
 
 @query(f"WITH {SCORES} SELECT signal, n, n_pos, n_neg, round(auroc, 9) AS auroc FROM {auroc_sql('signal')}")
 def auroc_pooled(spark: SparkSession, sf: str) -> DataFrame:
-    return r9(M.auroc(scores(spark, sf), ["signal"], spread=16), "auroc")
+    return r9(M.auroc(scores(spark, sf), ["signal"]), "auroc")
 
 
 @query(f"WITH {SCORES} SELECT stratum, signal, n, n_pos, n_neg, round(auroc, 9) AS auroc FROM {auroc_sql('stratum, signal')}")
@@ -85,11 +85,10 @@ def average_precision(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {SCORES}, h AS (SELECT signal, score, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM scores GROUP BY ALL),
     c AS (SELECT signal, score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY signal) AS total FROM h WINDOW w AS (PARTITION BY signal ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
-    SELECT signal, round(score, 9) AS score, round((tp / (tp + fp))::DOUBLE, 9) AS precision, round((tp / total)::DOUBLE, 9) AS recall FROM c WHERE signal = 'words'"""
+    SELECT signal, round(score, 9) AS score, round((tp / (tp + fp))::DOUBLE, 9) AS precision, round((tp / total)::DOUBLE, 9) AS recall FROM c"""
 )
 def precision_recall_points(spark: SparkSession, sf: str) -> DataFrame:
-    """The points of all signals; the SQL twin has one of them."""
-    return r9(M.precision_recall(scores(spark, sf), ["signal"], spread=16).select("signal", "score", "precision", "recall"), "score", "precision", "recall")
+    return r9(M.precision_recall(scores(spark, sf), ["signal"]).select("signal", "score", "precision", "recall"), "score", "precision", "recall")
 
 
 _CURVE = """SELECT signal, row_number() OVER w AS k, row_number() OVER w / count(*) OVER (PARTITION BY signal)::DOUBLE AS coverage,

@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from quillon.functions.bind import let
 
@@ -33,17 +33,30 @@ def _exact(texts: pd.Series) -> pd.Series:
     return texts.map(_fold, na_action="ignore")
 
 
-def normalize(text: Column | str, *, exact: bool = False) -> Column:
-    """Fold case, drop punctuation and articles, collapse white space.
+@F.pandas_udf(ArrayType(StringType()))
+def _exact_all(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda texts: [None if t is None else _fold(t) for t in texts], na_action="ignore")
 
-    Runs in the JVM. With ``exact`` the rows that hold characters whose
-    compatibility form or case folding differs from ``lower`` are folded by an
-    Arrow function; other rows do not reach Python as text.
+
+def _native(text: Column) -> Column:
+    return _after_folding(F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ")))
+
+
+def normalize(text: Column | str) -> Column:
+    """Fold case and compatibility forms, drop punctuation and articles, collapse white space.
+
+    Runs in the JVM; only rows that hold characters whose compatibility form or
+    case folding may differ from ``lower`` are folded by an Arrow function. Of
+    arrays take ``normalize_all``: a lambda cannot call Python.
     """
     text = F.col(text) if isinstance(text, str) else text
-    folded = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
-    native = _after_folding(folded)
-    return F.coalesce(_exact(F.when(text.rlike(_ODD), text)), native) if exact else native
+    return F.coalesce(_exact(F.when(text.rlike(_ODD), text)), _native(text))
+
+
+def normalize_all(texts: Column) -> Column:
+    """``normalize`` of every element of an array."""
+    odd = F.exists(texts, lambda t: F.coalesce(t.rlike(_ODD), F.lit(False)))
+    return F.coalesce(_exact_all(F.when(odd, texts)), F.transform(texts, _native))
 
 
 def tokens(text: Column | str) -> Column:
@@ -62,11 +75,12 @@ def normalize_spaced(text: Column) -> Column:
 
 def exact_match(answer: Column, aliases: Column) -> Column:
     """Normalized equality with any alias; an empty answer never matches."""
-    return let(normalize(answer), lambda mine: (mine != "") & F.exists(aliases, lambda a: normalize(a) == mine))
+    both = F.struct(normalize(answer).alias("mine"), normalize_all(aliases).alias("gold"))
+    return let(both, lambda b: (b["mine"] != "") & F.exists(b["gold"], lambda a: a == b["mine"]))
 
 
 def is_abstention(answer: Column, abstain: str = ABSTAIN) -> Column:
-    return normalize(answer) == normalize(F.lit(abstain))
+    return normalize(answer) == F.lit(_fold(abstain))
 
 
 def first_line(text: Column) -> Column:
@@ -85,13 +99,19 @@ def clean_answer(text: Column, abstain: str = ABSTAIN) -> Column:
     return F.when(is_abstention(plain, abstain), F.lit(abstain)).otherwise(plain)
 
 
+def _numbered(tokens: Column) -> Column:
+    """Tokens with the number of the occurrence, so that equal tokens of a text differ and sets of them are multisets."""
+    return let(F.array_sort(tokens), lambda s: F.transform(s, lambda t, i: F.concat(t, F.lit(" "), (i - F.array_position(s, t)).cast("string"))))
+
+
+def _overlap_f1(a: Column, b: Column) -> Column:
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
+
+
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of two token arrays as multisets; two empty ones agree, one empty one does not."""
-    shared = F.aggregate(
-        F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda u: u == t)), F.size(F.filter(b, lambda u: u == t)))
-    )
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2.0 * shared / both)
+    return let(F.struct(_numbered(a).alias("a"), _numbered(b).alias("b")), lambda s: _overlap_f1(s["a"], s["b"]))
 
 
 def mean_pairwise_f1(texts: Column) -> Column:
@@ -99,10 +119,10 @@ def mean_pairwise_f1(texts: Column) -> Column:
     n = F.size(texts)
 
     def pairs(parts: Column) -> Column:
-        scores = lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: token_f1(F.get(parts, i), F.get(parts, j)))
+        scores = lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: _overlap_f1(F.get(parts, i), F.get(parts, j)))
         return F.flatten(F.transform(F.sequence(F.lit(0), n - 2), scores))
 
-    total = F.aggregate(let(F.transform(texts, split_tokens), pairs), F.lit(0.0), lambda s, x: s + x)
+    total = F.aggregate(let(F.transform(texts, lambda t: _numbered(split_tokens(t))), pairs), F.lit(0.0), lambda s, x: s + x)
     return F.when(n < 2, F.lit(1.0)).otherwise(total / (n * (n - 1) / 2))
 
 
@@ -161,7 +181,8 @@ def struct_aliases(answer: Column) -> Column:
 
 def gold_in_question(question: Column, aliases: Column) -> Column:
     """Leakage: an alias stands, token by token, in the question."""
-    return let(normalize(question), lambda asked: F.exists(aliases, lambda a: let(normalize(a), lambda part: contains_run(asked, part))))
+    both = F.struct(normalize(question).alias("asked"), normalize_all(aliases).alias("gold"))
+    return let(both, lambda b: F.exists(b["gold"], lambda part: contains_run(b["asked"], part)))
 
 
 def spans_granularity(aliases: Column, gap: int = 2) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions.numeric import hash_index, hash_share
+from quillon.operators.ranges import global_rank, rank_within
 from quillon.schema import ContractError, require_columns
 
 # Relations whose questions hold the answer's counterpart.
@@ -60,6 +61,34 @@ def drop_leaks(df: DataFrame, question: str, aliases: str) -> DataFrame:
     return df.where(~F.coalesce(T.gold_in_question(F.col(question), F.col(aliases)), F.lit(False)))
 
 
+#: Items whose leads are broadcast; more are joined by shuffling.
+MOST_LEADS = 1_000_000
+
+
+def stated_items(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text", lead: int = 5) -> DataFrame:
+    """(doc, item) of every item whose normalized tokens stand side by side in a document.
+
+    A document is a candidate where one of its runs of tokens has the hash of an
+    item's first ``lead`` tokens (all of them, if it has fewer); runs are hashed
+    and looked up in the scan, and only candidates are compared. An item without
+    tokens is in nothing.
+    """
+    t = T.split_tokens(F.col("part"))
+    leads = items.select(F.col(item), T.normalize(text).alias("part")).withColumns({"n": F.least(F.size(t), F.lit(lead)), "t": t}).where("n > 0")
+    leads = leads.select(item, "part", "n", F.xxhash64("n", F.slice("t", F.lit(1), F.col("n"))).alias("lead"))
+    sizes = [r[0] for r in leads.select("n").distinct().collect()]  # at most ``lead`` numbers
+
+    def hashed(n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.slice("w", i, F.lit(n))))
+        return F.when(F.size("w") >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+    texts = docs.select(F.col(doc), T.normalize(text).alias("whole"))
+    runs = texts.select(doc, T.split_tokens(F.col("whole")).alias("w")).select(doc, F.explode(F.concat(F.array().cast("array<bigint>"), *[hashed(n) for n in sizes])).alias("lead"))
+    heads = leads.select(item, "lead")
+    found = runs.join(F.broadcast(heads) if heads.count() <= MOST_LEADS else heads, "lead").select(doc, item).distinct()
+    return found.join(texts, doc).join(leads.select(item, "part"), item).where(T.contains_run(F.col("whole"), F.col("part"))).select(doc, item)
+
+
 def looks_easy(question: Column, aliases: Column, least_aliases: int = 12, most_words: int = 20, most_alias_words: int = 4) -> Column:
     """A short question about an entity of many names, the first of them short."""
     words = lambda x: F.when(F.trim(x) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(x), r"\s+")))
@@ -99,8 +128,15 @@ def triviaqa_questions(raw: DataFrame, *, easy_only: bool = False, least_aliases
 
 
 def merge_duplicates(df: DataFrame) -> DataFrame:
-    """One row per normalized question: the smallest qid's, with the aliases of all, in qid order and each once."""
-    groups = df.groupBy(T.normalize("question").alias("_nq")).agg(
+    """One row per normalized question: the smallest qid's, with the aliases of all, in qid order and each once.
+
+    Questions are grouped by length and two hashes of the normalized text, 128
+    bits, so that long texts are not shuffled as keys; the aliases of one
+    question are one list, as they are in the result.
+    """
+    nq = T.normalize("question")
+    keyed = df.select("qid", "dataset", "question", "gold_answers", nq.alias("_nq")).withColumns({"_n": F.length("_nq"), "_h": F.xxhash64("_nq"), "_g": F.xxhash64(F.lit(1), "_nq")}).drop("_nq")
+    groups = keyed.groupBy("_n", "_h", "_g").agg(
         F.min_by(F.struct("qid", "dataset", "question"), "qid").alias("first"),
         F.array_sort(F.collect_list(F.struct("qid", "gold_answers"))).alias("all"),
         F.count(F.lit(1)).alias("merged"),
@@ -121,7 +157,7 @@ def exact_sample(df: DataFrame, n: int, seed: int, key: str = "qid") -> DataFram
         raise ContractError(f"the pool has {pool} rows, {n} are asked for")
     picks = np.sort(np.random.default_rng(seed).choice(pool, size=n, replace=False))
     at = df.sparkSession.createDataFrame([(int(i),) for i in picks], "_at long")  # as many as are asked for
-    ranked = df.withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1)  # a question pool, not a corpus
+    ranked = global_rank(df, [key], "_at")
     return ranked.join(F.broadcast(at), "_at").drop("_at").orderBy(key)
 
 
@@ -189,20 +225,26 @@ def label_plan(sets: DataFrame, quota_a: int, quota_b: int, key: str = "qid") ->
     """Smallest labelling order for two samples (flags in_a, in_b): shared rows, then each sample's own up to its quota."""
     shared = sets.where("in_a and in_b").count()
     kind = F.when(F.col("in_a") & F.col("in_b"), 0).when(F.col("in_a"), 1).otherwise(2)
-    ranked = sets.where("in_a or in_b").withColumn("part", kind).withColumn("_rn", F.row_number().over(Window.partitionBy("part").orderBy(key)))
-    quota = F.when(F.col("part") == 1, quota_a - shared).when(F.col("part") == 2, quota_b - shared).otherwise(F.lit(1 << 31))
-    return ranked.where(F.col("_rn") <= quota).orderBy("part", key).withColumn("step", F.row_number().over(Window.orderBy("part", key))).drop("_rn")
+    ranked = rank_within(sets.where("in_a or in_b").withColumn("part", kind), F.col("part"), [key], "_rn")
+    quota = F.when(F.col("part") == 1, quota_a - shared).when(F.col("part") == 2, quota_b - shared).otherwise(F.lit(1 << 62))
+    return global_rank(ranked.where(F.col("_rn") < quota), ["part", key], "_step").withColumn("step", (F.col("_step") + 1).cast("int")).drop("_rn", "_step")
 
 
 def priority_order(df: DataFrame) -> DataFrame:
-    """Unresolved rows, then moved ones, then the rest, by id."""
-    return df.orderBy(F.when(F.col("source") == "heuristic_unresolved", 0).when(F.coalesce("moved", F.lit(False)), 1).otherwise(2), "qid")
+    """Unresolved rows, then moved ones, then the rest, by id, with ``place`` from 1."""
+    return placed_by(df, F.when(F.col("source") == "heuristic_unresolved", 0).when(F.coalesce("moved", F.lit(False)), 1).otherwise(2), "qid")
+
+
+def placed_by(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Add ``place``, the 1-based number of a row in a total order."""
+    named = df.withColumns({f"_o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)})
+    return global_rank(named, [f"_o{i}" for i in range(len(order))], "_place").withColumn("place", (F.col("_place") + 1).cast("int")).drop("_place", *[f"_o{i}" for i in range(len(order))])
 
 
 def stratified_folds(df: DataFrame, folds: int, seed: int, y: str = "y", key: str = "qid") -> DataFrame:
     """Deal the rows of each class round-robin in hash order."""
-    order = hash_index(F.lit(str(seed)), F.col(key))
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(y).orderBy(order, key)) - 1) % folds)
+    hashed = df.withColumn("_hash", hash_index(F.lit(str(seed)), F.col(key)))
+    return rank_within(hashed, F.col(y), ["_hash", key], "_place").withColumn("fold", (F.col("_place") % folds).cast("int")).drop("_hash", "_place")
 
 
 def length_buckets(df: DataFrame, length: str, cap: int, position: str) -> DataFrame:
@@ -212,10 +254,16 @@ def length_buckets(df: DataFrame, length: str, cap: int, position: str) -> DataF
 
 
 def row_set_digest(df: DataFrame, key: str = "qid") -> DataFrame:
-    """First 16 hex digits of the SHA-256 of the sorted keys, newline-joined. For analysis sets, whose ids fit in one row."""
+    """First 16 hex digits of the SHA-256 of the sorted keys, newline-joined: the reference form, for analysis sets, whose ids fit in one row; of large ones take ``row_set_sum``."""
     return df.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256), 1, 16).alias("digest"))
 
 
+def row_set_sum(df: DataFrame, key: str = "qid") -> DataFrame:
+    """Order-free fingerprint of a set of keys of any size: count, and sums of two hashes."""
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col(key).cast("string")).cast("decimal(38,0)"))
+    return df.agg(F.count(F.lit(1)).alias("n"), h(1).alias("sum_1"), h(2).alias("sum_2"))
+
+
 def gold_quality(df: DataFrame, by: str = "prop", position: str = "src_pos") -> DataFrame:
     """Per relation: candidates, alias counts, single-alias, leak and granularity shares, an example."""
     n = F.size("gold_answers")

@@ -52,11 +52,9 @@ def fuzzy_label(answer: Column, aliases: Column, question: Column) -> Column:
             .otherwise("incorrect")
         )
 
-    gold = F.filter(F.transform(aliases, lambda a: T.normalize(a)), lambda a: a != "")
-    return let(
-        T.normalize(answer),
-        lambda mine: let(T.split_tokens(mine), lambda words: let(T.tokens(question), lambda asked: let(gold, lambda g: decide(mine, words, asked, g)))),
-    )
+    gold = F.filter(T.normalize_all(aliases), lambda a: a != "")
+    known = F.struct(T.normalize(answer).alias("mine"), T.tokens(question).alias("asked"), gold.alias("gold"))
+    return let(known, lambda k: let(T.split_tokens(k["mine"]), lambda words: decide(k["mine"], words, k["asked"], k["gold"])))
 
 
 def heuristic_labels(df: DataFrame, abstain: str = T.ABSTAIN) -> DataFrame:
@@ -139,20 +137,20 @@ def strict_match(answer: Column, aliases: Column, gap: int = 2) -> Column:
     """Equal to an alias, or part of one that is at most ``gap`` tokens longer."""
     mine = T.normalize(answer)
     n = F.size(T.split_tokens(mine))
-    near = F.exists(F.transform(aliases, lambda a: T.normalize(a)), lambda a: T.contains_run(a, mine) & (F.size(T.split_tokens(a)) - n <= gap))
+    near = F.exists(T.normalize_all(aliases), lambda a: T.contains_run(a, mine) & (F.size(T.split_tokens(a)) - n <= gap))
     return T.exact_match(answer, aliases) | ((mine != "") & near)
 
 
 def swallowed(answer: Column, aliases: Column) -> Column:
     """Whether the answer is a proper part of a longer alias."""
     mine = T.normalize(answer)
-    return F.exists(F.transform(aliases, lambda a: T.normalize(a)), lambda a: (a != mine) & T.contains_run(a, mine))
+    return F.exists(T.normalize_all(aliases), lambda a: (a != mine) & T.contains_run(a, mine))
 
 
 def longest_covered_alias(answer: Column, aliases: Column, question: Column) -> Column:
     """The longest alias that the answer states among words of the question alone, or null."""
     mine, asked = T.normalize(answer), T.tokens(question)
-    gold = F.filter(F.transform(aliases, lambda a: T.normalize(a)), lambda a: T.contains_run(mine, a) & F.forall(_outside(mine, a), lambda t: T.covered(t, asked)))
+    gold = F.filter(T.normalize_all(aliases), lambda a: T.contains_run(mine, a) & F.forall(_outside(mine, a), lambda t: T.covered(t, asked)))
     return F.array_max(F.transform(gold, lambda a: F.struct(F.size(T.split_tokens(a)).alias("n"), a.alias("alias"))))["alias"]
 
 

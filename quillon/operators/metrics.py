@@ -11,8 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ranges import checkpointed, running_sums
 from quillon.schema import usable
 
+#: Distinct scores of one key that one task sums.
+MOST_SCORES = 1_000_000
+
 
 def rated(df: DataFrame) -> DataFrame:
     return df.where(usable(F.col("score")) & F.col("y").isNotNull())
@@ -24,13 +28,18 @@ def histogram(df: DataFrame, keys: list[str], weight: Column | None = None) -> D
     return rated(df).groupBy(*keys, "score").agg(F.sum(F.when(F.col("y"), w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y"), 0).otherwise(w)).alias("neg"))
 
 
-def running(hist: DataFrame, keys: list[str], columns: list[str], *, descending: bool = False, spread: int = 1) -> DataFrame:
+def running(hist: DataFrame, keys: list[str], columns: list[str], *, descending: bool = False, spread: int | None = None) -> DataFrame:
     """Add ``<column>_before``: sums over scores that come earlier within the keys.
 
-    With ``spread`` over 1 a key's scores are cut at approximate quantiles into
-    that many ranges, so that one key with very many distinct scores is summed
-    by many tasks; the range totals are a row per key and range.
+    The histogram is checkpointed and its rows are counted. Keys of more than
+    ``MOST_SCORES`` distinct scores are cut at approximate quantiles into ranges
+    of about as many, so that no task sums more; the range totals are a row per
+    key and range. A given ``spread`` is the number of ranges, without a count.
     """
+    if spread is None:
+        hist = checkpointed(hist)
+        most = hist.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        spread = -(-most // MOST_SCORES)
     order = F.desc("score") if descending else F.asc("score")
     zero = F.lit(0)
     if spread <= 1:
@@ -70,7 +79,7 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.alias("l").join(b.alias("r"), on).select("l.*", *[f"r.`{c}`" for c in b.columns if c not in keys])
 
 
-def auroc_from(hist: DataFrame, keys: list[str], *, spread: int = 1) -> DataFrame:
+def auroc_from(hist: DataFrame, keys: list[str], *, spread: int | None = None) -> DataFrame:
     """AUROC with ties at one half; null where a class is empty."""
     u = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0)))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
@@ -81,17 +90,18 @@ def auroc_from(hist: DataFrame, keys: list[str], *, spread: int = 1) -> DataFram
     )
 
 
-def auroc(df: DataFrame, keys: list[str], *, spread: int = 1) -> DataFrame:
+def auroc(df: DataFrame, keys: list[str], *, spread: int | None = None) -> DataFrame:
     return auroc_from(histogram(df, keys), keys, spread=spread)
 
 
 def midranks(df: DataFrame, keys: list[str], value: str, name: str = "midrank") -> DataFrame:
-    """1-based ranks, ties at their mean."""
-    w, tie = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value)
-    return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / F.lit(2.0))
+    """1-based ranks, ties at their mean: running counts over the distinct values, joined back."""
+    hist = df.groupBy(*keys, F.col(value).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = running(hist, keys, ["n"]).select(*keys, F.col("score").alias(value), (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(name))
+    return _join(df, ranks, [*keys, value])
 
 
-def precision_recall(df: DataFrame, keys: list[str], *, spread: int = 1) -> DataFrame:
+def precision_recall(df: DataFrame, keys: list[str], *, spread: int | None = None) -> DataFrame:
     """One operating point per distinct score, highest first."""
     hist = histogram(df, keys)
     h = _join(running(hist, keys, ["pos", "neg"], descending=True, spread=spread), hist.groupBy(*keys).agg(F.sum("pos").alias("_total")), keys)
@@ -100,8 +110,8 @@ def precision_recall(df: DataFrame, keys: list[str], *, spread: int = 1) -> Data
     return h.select(*keys, "score", (tp / (tp + fp)).alias("precision"), F.try_divide(tp.cast("double"), total).alias("recall"), F.try_divide(F.col("pos_before").cast("double"), total).alias("recall_before"))
 
 
-def average_precision_from(hist: DataFrame, keys: list[str]) -> DataFrame:
-    h = running(hist, keys, ["pos", "neg"], descending=True)
+def average_precision_from(hist: DataFrame, keys: list[str], *, spread: int | None = None) -> DataFrame:
+    h = running(hist, keys, ["pos", "neg"], descending=True, spread=spread)
     tp = F.col("pos_before") + F.col("pos")
     part = F.col("pos") * tp / (tp + F.col("neg_before") + F.col("neg"))
     return h.groupBy(*keys).agg(F.try_divide(F.sum(part), F.sum("pos").cast("double")).alias("average_precision"))
@@ -114,12 +124,10 @@ def average_precision(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def risk_coverage(df: DataFrame, keys: list[str]) -> DataFrame:
     """Error rate among the k rows of lowest score, for every k; ties keep row order. Nothing for keys of one class."""
-    base = rated(df)
-    w = Window.partitionBy(*keys).orderBy("score", "row_pos")
-    whole = Window.partitionBy(*keys)
-    y = F.col("y").cast("double")
-    rows = base.withColumns({"k": F.row_number().over(w), "n": F.count(F.lit(1)).over(whole), "rate": F.avg(y).over(whole), "risk": F.avg(y).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return rows.where("rate > 0 and rate < 1").select(*keys, F.col("k").cast("long").alias("k"), (F.col("k") / F.col("n")).alias("coverage"), "risk", F.col("rate").alias("base_rate"))
+    rows = rated(df).withColumn("_y", F.col("y").cast("int"))
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("rate")).where("rate > 0 and rate < 1")
+    placed = _join(running_sums(rows.select(*keys, "score", "row_pos", "_y"), keys, ["score", "row_pos"], ["_y"]), whole, keys)
+    return placed.select(*keys, F.col("k").cast("long").alias("k"), (F.col("k") / F.col("n")).alias("coverage"), (F.col("_y_so_far") / F.col("k")).alias("risk"), F.col("rate").alias("base_rate"))
 
 
 def aurc(df: DataFrame, keys: list[str], target: float = 0.9) -> DataFrame:
@@ -222,23 +230,32 @@ def rank_identity(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
     by = [*keys, "a", "b"]
     ranked = midranks(midranks(_pairs(df, keys), by, "x", "rx"), by, "z", "rz")
-    total = F.count(F.lit(1)).over(Window.partitionBy(*by)) + F.lit(1.0)
-    return ranked.withColumn("total", total).groupBy(*by).agg(F.bool_and(F.col("rx") == F.col("rz")).alias("same"), F.bool_and(F.col("rx") + F.col("rz") == F.col("total")).alias("reversed"))
+    total = ranked.groupBy(*by).agg((F.count(F.lit(1)) + F.lit(1.0)).alias("total"))
+    return _join(ranked, total, by).groupBy(*by).agg(F.bool_and(F.col("rx") == F.col("rz")).alias("same"), F.bool_and(F.col("rx") + F.col("rz") == F.col("total")).alias("reversed"))
+
+
+def _line(v: str, g: str) -> list[Column]:
+    """Least squares of v on g within a group: slope (0 on a constant g) and means."""
+    slope = F.coalesce(F.try_divide(F.covar_pop(v, g), F.nullif(F.var_pop(g), F.lit(0.0))), F.lit(0.0))
+    return [slope.alias(f"{v}_slope"), F.avg(v).alias(f"{v}_mean")]
 
 
-def residual_ranks(df: DataFrame, keys: list[str], value: str, given: str, name: str) -> DataFrame:
-    """Ranks of ``value`` less their least-squares line on ranks of ``given``."""
-    w = Window.partitionBy(*keys)
-    ranked = midranks(midranks(df, keys, value, "_rv"), keys, given, "_rg")
-    slope = F.try_divide(F.covar_pop("_rv", "_rg").over(w), F.nullif(F.var_pop("_rg").over(w), F.lit(0.0)))
-    return ranked.withColumn(name, F.col("_rv") - F.avg("_rv").over(w) - F.coalesce(slope, F.lit(0.0)) * (F.col("_rg") - F.avg("_rg").over(w))).drop("_rv", "_rg")
+def residual_ranks(df: DataFrame, keys: list[str], values: dict[str, str], given: str) -> DataFrame:
+    """Ranks of each of ``values`` (by result name) less their least-squares line on ranks of ``given``."""
+    ranked = midranks(df, keys, given, "_g")
+    for name, value in values.items():
+        ranked = midranks(ranked, keys, value, f"_{name}")
+    ranked = checkpointed(ranked)
+    lines = ranked.groupBy(*keys).agg(F.avg("_g").alias("_g_mean"), *[c for name in values for c in _line(f"_{name}", "_g")])
+    rest = {name: F.col(f"_{name}") - F.col(f"_{name}_mean") - F.col(f"_{name}_slope") * (F.col("_g") - F.col("_g_mean")) for name in values}
+    return _join(ranked, lines, keys).select(*df.columns, *[c.alias(name) for name, c in rest.items()])
 
 
 def partial_spearman(df: DataFrame, keys: list[str], x: str, z: str, given: str, least: int = 5) -> DataFrame:
     """Spearman of the rank residuals of x and z given a third column."""
-    ok = df.where(usable(F.col(x)) & usable(F.col(z)) & usable(F.col(given)))
-    left = residual_ranks(residual_ranks(ok, keys, x, given, "ex"), keys, z, given, "ez")
-    ranked = midranks(midranks(left.withColumns({"ex": F.round("ex", 9), "ez": F.round("ez", 9)}), keys, "ex", "rx"), keys, "ez", "rz")
+    ok = checkpointed(df.where(usable(F.col(x)) & usable(F.col(z)) & usable(F.col(given))).select(*keys, F.col(x).alias("_1"), F.col(z).alias("_2"), F.col(given).alias("_3")))
+    left = residual_ranks(ok, keys, {"ex": "_1", "ez": "_2"}, "_3").select(*keys, F.round("ex", 9).alias("ex"), F.round("ez", 9).alias("ez"))
+    ranked = midranks(midranks(checkpointed(left), keys, "ex", "rx"), keys, "ez", "rz")
     out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("rx", "rz").alias("partial_rho"))
     return out.withColumn("partial_rho", F.when(F.col("n") >= least, F.col("partial_rho")))
 

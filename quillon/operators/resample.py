@@ -1,46 +1,203 @@
-"""Resampling inference from shared draw tables.
-
-A draw is (r, slot) -> row, picked by a hash of seed, resample, stratum, class
-and slot, so that every engine and every partitioning draws the same rows.
-Draws are reduced to multiplicities (r, row, w) at once; all signals share
-them, and every statistic is the weighted form of its histogram.
+"""Resampling inference from weights that rows carry themselves.
+
+In resample r a row counts as often as a Poisson number of mean one says, read
+from a hash of seed, r and the row's key (the Poisson bootstrap). So every engine
+and every partitioning draws the same rows, all signals share a row's draws, and
+no draw is ever shuffled: tasks turn the rows they hold into sums for all
+resamples at once, a vector per task. Statistics are normalised by the drawn
+sizes of their classes, which stratifies them by class.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.functions.numeric import hash_index
 from quillon.operators.metrics import _join, auroc_from, average_precision_from, histogram, rated, running, running_max, usable
-
-
-def index_rows(rows: DataFrame, strata: list[str], key: str = "qid") -> DataFrame:
-    """Number the rows of each (strata, y) by key, from 0, and count them."""
-    w = Window.partitionBy(*strata, "y").orderBy(key)
-    return rows.withColumns({"i": F.row_number().over(w) - 1, "size": F.count(F.lit(1)).over(Window.partitionBy(*strata, "y"))})
-
-
-def multiplicities(rows: DataFrame, resamples: int, seed: int, strata: list[str] | None = None, key: str = "qid") -> DataFrame:
-    """(r, strata, key, y, w): how often each row is drawn when every class of every stratum is drawn anew with replacement."""
-    strata = strata or []
-    indexed = index_rows(rows.select(*strata, key, "y").distinct(), strata, key)
-    slots = indexed.select(*strata, "y", F.col("i").alias("k"), "size").crossJoin(rows.sparkSession.range(resamples).withColumnRenamed("id", "r"))
-    parts = [F.lit(str(seed)), F.col("r").cast("string"), *[F.col(s).cast("string") for s in strata], F.col("y").cast("int").cast("string"), F.col("k").cast("string")]
-    drawn = slots.withColumn("i", hash_index(*parts) % F.col("size")).groupBy("r", *strata, "y", "i").agg(F.count(F.lit(1)).alias("w"))
-    return drawn.join(indexed.select(*strata, "y", "i", key), [*strata, "y", "i"]).select("r", *strata, key, "y", "w")
-
-
-def cluster_multiplicities(rows: DataFrame, resamples: int, seed: int, key: str = "qid", cluster: str = "cluster_id") -> DataFrame:
-    """Draw whole clusters within the class of their majority (a tie is positive); every member row enters.
-
-    If a class has no cluster the rows are drawn instead.
+from quillon.operators.ranges import partitions_for
+
+#: Limits of 16-bit numbers: a number stands for as many draws as limits it reaches, which is Poisson of mean one.
+LIMITS = [round(65536 * math.exp(-1) * sum(1 / math.factorial(k) for k in range(n + 1))) for n in range(8)]
+_DRAWS = np.searchsorted(np.array(LIMITS), np.arange(1 << 16), side="right").astype(np.uint8)
+#: Resamples whose sums travel in one row.
+BLOCK = 256
+_CELLS = 4 << 20
+
+
+def weights(keys: list[str], seed: int, resamples: int) -> np.ndarray:
+    """How often each key is drawn in each resample: an MD5 has the numbers of eight resamples."""
+    raw = b"".join([md5(f"{seed}:{j}:{k}".encode()).digest() for k in keys for j in range(-(-resamples // 8))])
+    return _DRAWS[np.frombuffer(raw, ">u2").reshape(len(keys), -1)[:, :resamples]]
+
+
+class _Key:
+    """Sums of one key over the sorted rows of one task: the first and the last tie group, and what lies between."""
+
+    def __init__(self, resamples: int) -> None:
+        self.head: tuple | None = None
+        self.tail: tuple | None = None  # score, positives, negatives
+        self.pos, self.neg, self.u = (np.zeros(resamples) for _ in range(3))
+
+    def add(self, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+        """Tie groups in ascending order; the last one may go on."""
+        if self.tail is not None:
+            if self.tail[0] == score[0]:
+                pos[0] += self.tail[1]
+                neg[0] += self.tail[2]
+            else:
+                score, pos, neg = np.r_[self.tail[0], score], np.vstack([self.tail[1], pos]), np.vstack([self.tail[2], neg])
+        self.tail = (score[-1], pos[-1].copy(), neg[-1].copy())
+        first = 0
+        if self.head is None and len(score) > 1:
+            self.head, first = (score[0], pos[0].copy(), neg[0].copy()), 1
+        pos, neg = pos[first:-1], neg[first:-1]
+        if len(pos):
+            before = np.cumsum(neg, axis=0) - neg + self.neg
+            self.u += (pos * (before + neg / 2)).sum(axis=0)
+            self.pos += pos.sum(axis=0)
+            self.neg += neg.sum(axis=0)
+
+    def rows(self) -> Iterator[tuple]:
+        if self.head is not None:
+            yield 0, self.head[0], self.head[1], self.head[2], np.zeros_like(self.u)
+            yield 1, None, self.pos, self.neg, self.u
+        yield 2, self.tail[0], self.tail[1], self.tail[2], np.zeros_like(self.u)
+
+
+_SEGMENT = "gid long, block int, part int, kind int, score double, pos array<double>, neg array<double>, u array<double>"
+
+
+def _segments(seed: int, resamples: int):
+    """Rows sorted by (gid, score) become a few rows of sums for each key and block of resamples."""
+
+    def told(gid: int, key: _Key) -> pa.RecordBatch:
+        part, rows = TaskContext.get().partitionId(), []
+        for kind, score, *sums in key.rows():
+            for b in range(0, resamples, BLOCK):
+                rows.append({"gid": gid, "block": b, "part": part, "kind": kind, "score": score, **{n: x[b : b + BLOCK] for n, x in zip(("pos", "neg", "u"), sums, strict=True)}})
+        lists = [(n, pa.list_(pa.float64())) for n in ("pos", "neg", "u")]
+        kinds = pa.schema([("gid", pa.int64()), ("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("score", pa.float64()), *lists])
+        return pa.RecordBatch.from_pylist(rows, kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gid, key = None, None
+        step = max(1, _CELLS // max(1, resamples))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids, score, y = (part.column(c).to_numpy(zero_copy_only=False) for c in ("gid", "score", "y"))
+                w = weights(part.column("key").to_pylist(), seed, resamples).astype(float)
+                new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])])
+                pos, neg = (np.add.reduceat(w * side[:, None], new, axis=0) for side in (y, ~y))
+                cuts = np.flatnonzero(np.r_[True, ids[new][1:] != ids[new][:-1]])
+                for a, b in zip(cuts, [*cuts[1:], len(new)], strict=True):
+                    if ids[new[a]] != gid or key is None:
+                        if key is not None:
+                            yield told(gid, key)
+                        gid, key = int(ids[new[a]]), _Key(resamples)
+                    key.add(score[new[a:b]], pos[a:b], neg[a:b])
+        if key is not None:
+            yield told(gid, key)
+
+    return run
+
+
+def _combined(table: pa.Table) -> pa.Table:
+    """AUROCs of one key and block from the segments of all tasks, in the order of scores."""
+    table = table.sort_by([("part", "ascending"), ("kind", "ascending")])
+    col = {c: np.array(table.column(c).to_pylist(), float) for c in ("pos", "neg", "u")}
+    p, n, u, tie = 0.0, 0.0, 0.0, None
+    for i, (kind, score) in enumerate(zip(table.column("kind").to_pylist(), table.column("score").to_pylist(), strict=True)):
+        pos, neg = col["pos"][i], col["neg"][i]
+        if tie is not None and kind != 1 and tie[0] == score:
+            tie = (score, tie[1] + pos, tie[2] + neg)
+            continue
+        if tie is not None:
+            u, p, n, tie = u + tie[1] * (n + tie[2] / 2), p + tie[1], n + tie[2], None
+        if kind == 1:
+            u, p, n = u + col["u"][i] + pos * n, p + pos, n + neg
+        else:
+            tie = (score, pos, neg)
+    if tie is not None:
+        u, p, n = u + tie[1] * (n + tie[2] / 2), p + tie[1], n + tie[2]
+    ok = p * n > 0
+    value = np.where(ok, u / np.where(ok, p * n, 1), np.nan)
+    first = table.column("block")[0].as_py()
+    return pa.table({"gid": pa.array(np.full(len(value), table.column("gid")[0].as_py())), "r": pa.array(np.arange(first, first + len(value))), "auroc": pa.array(value, mask=~ok)})
+
+
+def _named(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``gid``, a number for its keys, and the keys of each number."""
+    gid = F.xxhash64(F.lit(0), *by).alias("gid")
+    return df.withColumn("gid", gid), df.select(gid, *by).distinct()
+
+
+def auroc_draws(scores: DataFrame, resamples: int, seed: int, by: list[str], key: str = "qid") -> DataFrame:
+    """(by, r, auroc): AUROC per resample; null where a class has no draw.
+
+    Rows are range-partitioned by key and score, so a key with very many rows is
+    spread over tasks and ties may cross them; a task's sums are three rows for
+    each key and block of resamples, whatever the number of rows.
     """
+    rows, names = _named(rated(scores), by)
+    rows = rows.select("gid", F.col("score").cast("double").alias("score"), "y", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"))
+    order = ["gid", "score", "key"]
+    ranged = rows.repartitionByRange(partitions_for(scores.sparkSession), *order).sortWithinPartitions(*order)
+    sums = ranged.mapInArrow(_segments(seed, resamples), _SEGMENT)
+    return sums.groupBy("gid", "block").applyInArrow(_combined, "gid long, r long, auroc double").join(names, "gid").select(*by, "r", "auroc")
+
+
+def _vectors(seed: int, resamples: int):
+    def told(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tolist() for x in found.values()], pa.list_(pa.int64()))], names=["gid", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        step = max(1, _CELLS // max(1, resamples))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids, inverse = np.unique(part.column("gid").to_numpy(), return_inverse=True)
+                order = np.argsort(inverse, kind="stable")
+                w = weights(part.column("key").to_pylist(), seed, resamples)[order].astype(np.int64)
+                sums = np.add.reduceat(w, np.searchsorted(inverse[order], np.arange(len(ids))), axis=0)
+                for i, x in zip(ids.tolist(), sums, strict=True):
+                    found[i] = found[i] + x if i in found else x
+                if len(found) * resamples > _CELLS:
+                    yield told(found)
+                    found = {}
+        if found:
+            yield told(found)
+
+    return run
+
+
+def weighted_counts(df: DataFrame, resamples: int, seed: int, by: list[str], key: str = "qid") -> DataFrame:
+    """(r, by, w): rows of each ``by`` in each resample, those of no draw left out; a task sums its rows first."""
+    rows, names = _named(df, by)
+    sums = rows.select("gid", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key")).mapInArrow(_vectors(seed, resamples), "gid long, w array<long>")
+    each = sums.select("gid", F.posexplode("w").alias("r", "w")).where("w > 0").groupBy("gid", "r").agg(F.sum("w").alias("w"))
+    return each.join(names, "gid").select(F.col("r").cast("long").alias("r"), *by, "w")
+
+
+def cluster_key(rows: DataFrame, key: str = "qid", cluster: str = "cluster_id") -> str:
+    """Whole clusters are drawn, every row of one as often; rows, if the clusters' majorities (a tie is positive) are all of one class."""
     votes = rows.select(key, cluster, "y").distinct().groupBy(cluster).agg((F.avg(F.col("y").cast("double")) >= 0.5).alias("y"))
-    if votes.select("y").distinct().count() < 2:
-        return multiplicities(rows, resamples, seed, key=key)
-    drawn = multiplicities(votes, resamples, seed, key=cluster)
-    return drawn.drop("y").join(rows.select(key, cluster, "y").distinct(), cluster).select("r", key, "y", "w")
+    return cluster if votes.select("y").distinct().count() > 1 else key
+
+
+def average_precision_draws(scores: DataFrame, resamples: int, seed: int, by: list[str], key: str = "qid") -> DataFrame:
+    """(by, r, average_precision) from the histogram of each resample."""
+    hist = weighted_counts(rated(scores), resamples, seed, [*by, "score", "y"], key)
+    return average_precision_from(histogram(hist, ["r", *by], F.col("w")), ["r", *by], spread=1)
 
 
 def interval(draws: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -50,66 +207,40 @@ def interval(draws: DataFrame, keys: list[str], value: str, level: float = 0.95)
     return draws.where(F.col(value).isNotNull()).groupBy(*keys).agg(q.alias("_q"), F.count(F.lit(1)).alias("resamples")).select(*keys, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"), "resamples")
 
 
-def _weighted(scores: DataFrame, weights: DataFrame, key: str = "qid") -> DataFrame:
-    return rated(scores).join(weights.select("r", key, "w"), key)
-
-
-def auroc_draws(scores: DataFrame, weights: DataFrame, keys: list[str], key: str = "qid") -> DataFrame:
-    """AUROC per resample and keys."""
-    by = ["r", *keys]
-    return auroc_from(histogram(_weighted(scores, weights, key), by, F.col("w")), by)
-
-
-def average_precision_draws(scores: DataFrame, weights: DataFrame, keys: list[str], key: str = "qid") -> DataFrame:
-    by = ["r", *keys]
-    return average_precision_from(histogram(_weighted(scores, weights, key), by, F.col("w")), by)
-
-
 def _with_point(point: DataFrame, ci: DataFrame, keys: list[str]) -> DataFrame:
     return point.join(ci, keys, "left").fillna(0, ["resamples"])
 
 
 def bootstrap_auroc(scores: DataFrame, resamples: int, seed: int, *, level: float = 0.95, clusters: bool = False) -> DataFrame:
-    """Per signal: point, interval and defined resamples; draws are stratified by class (or class of cluster)."""
+    """Per signal: point, interval and defined resamples; with ``clusters`` whole clusters are drawn."""
     rows = scores.where(F.col("y").isNotNull())
-    w = cluster_multiplicities(rows, resamples, seed) if clusters else multiplicities(rows, resamples, seed)
-    point = histogram(scores, ["signal"])
-    return _with_point(auroc_from(point, ["signal"]), interval(auroc_draws(scores, w, ["signal"]), ["signal"], "auroc", level), ["signal"])
+    draws = auroc_draws(rows, resamples, seed, ["signal"], cluster_key(rows) if clusters else "qid")
+    return _with_point(auroc_from(histogram(scores, ["signal"]), ["signal"]), interval(draws, ["signal"], "auroc", level), ["signal"])
 
 
 def bootstrap_average_precision(scores: DataFrame, resamples: int, seed: int, *, level: float = 0.95) -> DataFrame:
-    w = multiplicities(scores.where(F.col("y").isNotNull()), resamples, seed)
     point = average_precision_from(histogram(scores, ["signal"]), ["signal"])
-    return _with_point(point, interval(average_precision_draws(scores, w, ["signal"]), ["signal"], "average_precision", level), ["signal"])
+    return _with_point(point, interval(average_precision_draws(scores, resamples, seed, ["signal"]), ["signal"], "average_precision", level), ["signal"])
 
 
 def bootstrap_by_stratum(scores: DataFrame, stratum: str, resamples: int, seed: int, *, level: float = 0.95) -> DataFrame:
     """AUROC and interval within each stratum; ``excludes_chance`` is null where the interval is undefined."""
     keys = [stratum, "signal"]
-    w = multiplicities(scores.where(F.col("y").isNotNull()), resamples, seed, [stratum])
-    joined = rated(scores).join(w.select("r", stratum, "qid", "w"), [stratum, "qid"])
-    draws = auroc_from(histogram(joined, ["r", *keys], F.col("w")), ["r", *keys])
+    draws = auroc_draws(scores, resamples, seed, keys)
     out = _with_point(auroc_from(histogram(scores, keys), keys), interval(draws, keys, "auroc", level), keys)
     return out.withColumn("excludes_chance", (F.col("ci_low") > 0.5) | (F.col("ci_high") < 0.5))
 
 
 def paired_auroc_diff(scores: DataFrame, reference: str, resamples: int, seed: int, *, level: float = 0.95) -> DataFrame:
-    """Every other signal less the reference on rows that both have, on the same draws; two-sided achieved p.
-
-    The draws are over the paired rows of each signal, so the signal is a
-    stratum of the draw where usable rows differ.
-    """
+    """Every other signal less the reference on rows that both have, on the same draws; two-sided achieved p."""
     ref = rated(scores).where(F.col("signal") == reference).select("qid", F.col("score").alias("ref"), "y")
     pairs = rated(scores).where(F.col("signal") != reference).select("qid", "signal", "score").join(ref, "qid")
-    mask = pairs.groupBy("signal").agg(F.sort_array(F.collect_list("qid")).alias("rows")).select("signal", F.md5(F.array_join("rows", ",")).alias("mask"))
-    pairs = pairs.join(mask, "signal")
-    w = multiplicities(pairs.select("mask", "qid", "y").distinct(), resamples, seed, ["mask"])
-    both = pairs.select("mask", "signal", "qid", "y", F.explode(F.array(F.struct(F.lit("other").alias("side"), F.col("score").alias("score")), F.struct(F.lit("ref").alias("side"), F.col("ref").alias("score")))).alias("s")).select("mask", "signal", "qid", "y", "s.*")
+    sides = F.explode(F.array(F.struct(F.lit("other").alias("side"), F.col("score").alias("score")), F.struct(F.lit("ref").alias("side"), F.col("ref").alias("score"))))
+    both = pairs.select("signal", "qid", "y", sides.alias("s")).select("signal", "qid", "y", "s.*")
     keys = ["signal", "side"]
-    drawn = both.join(w.select("r", "mask", "qid", "w"), ["mask", "qid"])
-    value = lambda h, by: auroc_from(h, by).groupBy(*by[:-1]).agg((F.max(F.when(F.col("side") == "other", F.col("auroc"))) - F.max(F.when(F.col("side") == "ref", F.col("auroc")))).alias("delta"), F.max("n").alias("n"))
-    point = value(histogram(both, keys), keys).select("signal", "delta", F.col("n").alias("n_paired"))
-    draws = value(histogram(drawn, ["r", *keys], F.col("w")), ["r", *keys]).where("delta is not null").select("r", "signal", F.col("delta").alias("d"))
+    less = (F.max(F.when(F.col("side") == "other", F.col("auroc"))) - F.max(F.when(F.col("side") == "ref", F.col("auroc")))).alias("delta")
+    point = auroc_from(histogram(both, keys), keys).groupBy("signal").agg(less, F.max("n").alias("n_paired"))
+    draws = auroc_draws(both, resamples, seed, keys).groupBy("r", "signal").agg(less).where("delta is not null").select("r", "signal", F.col("delta").alias("d"))
     tails = draws.join(point.select("signal", "delta"), "signal").groupBy("signal").agg(
         F.sum(F.when(F.col("delta") >= 0, F.col("d") <= 0).otherwise(F.col("d") >= 0).cast("long")).alias("tail"), F.count(F.lit(1)).alias("total")
     )
@@ -130,10 +261,7 @@ def bootstrap_stratified(scores: DataFrame, stratum: str, resamples: int, seed:
     """Interval of the stratified AUROC; all signals share one draw, a resample with an undefined stratum is skipped."""
     base = scores.where(F.col("y").isNotNull())
     size = base.groupBy(stratum).agg(F.countDistinct("qid").alias("weight"))
-    w = multiplicities(base, resamples, seed, [stratum])
-    by = ["r", "signal", stratum]
-    drawn = rated(scores).join(w.select("r", stratum, "qid", "w"), [stratum, "qid"])
-    each = auroc_from(histogram(drawn, by, F.col("w")), by).join(size, stratum)
+    each = auroc_draws(scores, resamples, seed, ["signal", stratum]).join(size, stratum)
     ok = F.count_if(F.col("auroc").isNull()) == 0
     draws = each.groupBy("r", "signal").agg(F.when(ok, F.sum(F.col("auroc") * F.col("weight")) / F.sum("weight")).alias("auroc"))
     weights = size.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(stratum, "weight")))).alias("weights"))
@@ -141,17 +269,12 @@ def bootstrap_stratified(scores: DataFrame, stratum: str, resamples: int, seed:
     return out.crossJoin(F.broadcast(weights))  # one row
 
 
-def row_multiplicities(rows: DataFrame, resamples: int, seed: int, key: str = "qid") -> DataFrame:
-    """Plain row bootstrap: (r, key, w)."""
-    return multiplicities(rows.select(key).withColumn("y", F.lit(True)), resamples, seed, key=key).drop("y")
-
-
 def bootstrap_kappa(df: DataFrame, a: str, b: str, resamples: int, seed: int, *, level: float = 0.95, key: str = "qid") -> DataFrame:
     """Kappa with a percentile interval over row resamples; undefined draws do not count."""
     from quillon.operators.labels import cohens_kappa, kappa_from
 
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != "") & (F.col(b) != ""))
-    cells = both.join(row_multiplicities(both, resamples, seed, key), key).groupBy("r", a, b).agg(F.sum("w").alias("cell"))
+    cells = weighted_counts(both, resamples, seed, [a, b], key).withColumnRenamed("w", "cell")
     draws = kappa_from(cells, ["r"], a, b, "cell")
     point = cohens_kappa(both, a, b)
     return point.crossJoin(F.broadcast(interval(draws, [], "kappa", level)))  # one row each
@@ -162,8 +285,7 @@ def bootstrap_rule_accuracy(df: DataFrame, predicted: Column, actual: Column, re
     from quillon.operators.metrics import rule_accuracy
 
     both = df.where(predicted.isNotNull() & actual.isNotNull()).select(key, predicted.alias("_p"), actual.alias("_a"))
-    w = row_multiplicities(both, resamples, seed, key)
-    sums = both.join(w, key).groupBy("r").agg(*[F.sum(F.when(c, F.col("w")).otherwise(0)).alias(n) for n, c in (("tp", F.col("_p") & F.col("_a")), ("fp", F.col("_p") & ~F.col("_a")), ("fn", ~F.col("_p") & F.col("_a")))])
+    sums = weighted_counts(both, resamples, seed, ["_p", "_a"], key).groupBy("r").agg(*[F.sum(F.when(c, F.col("w")).otherwise(0)).alias(n) for n, c in (("tp", F.col("_p") & F.col("_a")), ("fp", F.col("_p") & ~F.col("_a")), ("fn", ~F.col("_p") & F.col("_a")))])
     draws = sums.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn"))})
     out = rule_accuracy(both, F.col("_p"), F.col("_a"))
     for m in ("precision", "recall"):
@@ -198,13 +320,12 @@ def holm(df: DataFrame, p: str = "p_value", position: str = "position", keys: li
 
 
 def label_delta(scores: DataFrame, y_old: str, y_new: str, resamples: int, seed: int, *, level: float = 0.95) -> DataFrame:
-    """AUROC under new labels less that under old ones, on the same draws, stratified by the new labels."""
+    """AUROC under new labels less that under old ones, on the same draws."""
     rows = scores.where(F.col(y_old).isNotNull() & F.col(y_new).isNotNull() & usable(F.col("score")))
-    w = multiplicities(rows.select("qid", F.col(y_new).alias("y")), resamples, seed)
     sides = F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col(y_old).alias("y")), F.struct(F.lit("new").alias("side"), F.col(y_new).alias("y"))))
     long = rows.select("qid", "signal", "score", sides.alias("s")).select("qid", "signal", "score", "s.*")
     delta = (F.max(F.when(F.col("side") == "new", F.col("auroc"))) - F.max(F.when(F.col("side") == "old", F.col("auroc")))).alias("delta")
     keys = ["signal", "side"]
     point = auroc_from(histogram(long, keys), keys).groupBy("signal").agg(delta, F.max(F.when(F.col("side") == "old", F.col("auroc"))).alias("auroc_old"), F.max(F.when(F.col("side") == "new", F.col("auroc"))).alias("auroc_new"))
-    drawn = auroc_from(histogram(long.join(w.select("r", "qid", "w"), "qid"), ["r", *keys], F.col("w")), ["r", *keys])
+    drawn = auroc_draws(long, resamples, seed, keys)
     return _with_point(point, interval(drawn.groupBy("r", "signal").agg(delta), ["signal"], "delta", level), ["signal"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from quillon.functions import text as T
 from quillon.operators import metrics as M
 from quillon.operators import resample as R
 from quillon.operators import signals as S
+from quillon.operators.ranges import checkpointed, rank_within
 from quillon.schema import one_to_one
 
 
@@ -46,7 +48,7 @@ def views(rows: DataFrame, abstain_as: str = "negative") -> DataFrame:
 
 def long_form(rows: DataFrame, signals: list[str], *keep: str) -> DataFrame:
     """The score table; ``row_pos`` orders rows by id for statistics that depend on the order of ties."""
-    base = rows.withColumn("row_pos", F.row_number().over(Window.partitionBy("view").orderBy("qid")) - 1) if "row_pos" not in rows.columns else rows
+    base = rank_within(rows, F.col("view"), ["qid"], "row_pos") if "row_pos" not in rows.columns else rows
     return S.long_scores(base, keep=["view", "qid", "row_pos", "y", *keep], signals=signals)
 
 
@@ -155,40 +157,46 @@ def partner(matrix: DataFrame, ranked: DataFrame, most: float = 0.999) -> DataFr
     return told.groupBy("leader").agg(F.min_by("signal", F.when(~F.col("redundant"), F.col("rank"))).alias("partner"), first.alias("partner_rank"), F.count_if("redundant").alias("n_redundant"))
 
 
-def logistic_cv(df: DataFrame, x: list[str], *, folds: int = 5, seed: int = 31337, steps: int = 200, rate: float = 0.1, l2: float = 1e-3) -> DataFrame:
-    """Out-of-fold scores of a logistic regression, fitted by gradient steps.
+def logistic_cv(df: DataFrame, x: list[str], *, folds: int = 5, seed: int = 31337, steps: int = 25, tolerance: float = 1e-8, l2: float = 1e-3) -> DataFrame:
+    """Out-of-fold scores of a logistic regression on standardized columns, fitted by Newton steps.
 
-    All folds step together: a step is one aggregate of the gradient sums per
-    fold, over rows that stay where they are.
+    All folds step together: a step is one aggregate of gradient and curvature
+    per fold over rows that stay where they are, and some eight steps settle it.
     """
     from quillon.operators.datasets import stratified_folds
 
     spark = df.sparkSession
-    base = stratified_folds(df.select("qid", "y", *x), folds, seed).cache()
+    base = checkpointed(stratified_folds(df.select("qid", "y", *x), folds, seed))
     copies = base.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     train = copies.where("fold <> held")
     stats = {r["held"]: r for r in train.groupBy("held").agg(F.count(F.lit(1)).alias("n"), *[a for c in x for a in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).collect()}
-    weights = {h: [0.0] * (len(x) + 1) for h in stats}
-
-    def linear(held: Column) -> tuple[Column, list[Column]]:
-        pick = lambda values: F.element_at(F.create_map(*[F.lit(v) for h in stats for v in (h, float(values[h]))]), held)
-        z = [(F.col(c) - pick({h: s[f"m_{c}"] for h, s in stats.items()})) / pick({h: s[f"s_{c}"] or 1.0 for h, s in stats.items()}) for c in x]
-        total = pick({h: w[0] for h, w in weights.items()})
-        for i, v in enumerate(z):
-            total = total + v * pick({h: w[i + 1] for h, w in weights.items()})
-        return total, z
-
-    def sigmoid(v: Column) -> Column:
-        return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), v))))
-
+    weights = {h: np.zeros(len(x) + 1) for h in stats}
+    shape = f"_h int, {', '.join(f'm{i} double, s{i} double, w{i + 1} double' for i in range(len(x)))}, w0 double"
+
+    def placed(rows: DataFrame, held: str) -> DataFrame:
+        """Each row with its terms z1.. and their sum v under the fold's weights; there is a row of these per fold."""
+        told = [(h, *[float(v) for i, c in enumerate(x) for v in (s[f"m_{c}"], s[f"s_{c}"] or 1.0, weights[h][i + 1])], float(weights[h][0])) for h, s in stats.items()]
+        both = rows.join(F.broadcast(spark.createDataFrame(told, shape)), F.col(held) == F.col("_h"))
+        both = both.withColumns({f"z{i + 1}": (F.col(c) - F.col(f"m{i}")) / F.col(f"s{i}") for i, c in enumerate(x)})
+        v = sum((F.col(f"z{i + 1}") * F.col(f"w{i + 1}") for i in range(len(x))), F.col("w0"))
+        return both.withColumn("p", 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), v)))))
+
+    terms = [F.lit(1.0), *[F.col(f"z{i + 1}") for i in range(len(x))]]
+    k = len(terms)
     for _ in range(steps):
-        v, z = linear(F.col("held"))
-        e = sigmoid(v) - F.col("y").cast("double")
-        for r in train.groupBy("held").agg(F.sum(e).alias("g0"), *[F.sum(e * c).alias(f"g{i + 1}") for i, c in enumerate(z)]).collect():  # a row per fold
-            w, n = weights[r["held"]], stats[r["held"]]["n"]
-            weights[r["held"]] = [w[i] - rate * (r[f"g{i}"] / n + l2 * w[i]) for i in range(len(w))]
-    v, _ = linear(F.col("fold"))
-    return base.select("qid", "y", "fold", sigmoid(v).alias("score"))
+        e, curve = F.col("p") - F.col("y").cast("double"), F.col("p") * (1.0 - F.col("p"))
+        sums = [F.sum(e * t).alias(f"g{i}") for i, t in enumerate(terms)] + [F.sum(curve * terms[i] * terms[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
+        largest = 0.0
+        for r in placed(train, "held").groupBy("held").agg(*sums).collect():  # a row per fold
+            n, w = stats[r["held"]]["n"], weights[r["held"]]
+            gradient = np.array([r[f"g{i}"] / n for i in range(k)]) + l2 * w
+            hessian = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] / n for j in range(k)] for i in range(k)]) + l2 * np.eye(k)
+            step = np.linalg.solve(hessian, gradient)
+            weights[r["held"]] = w - step
+            largest = max(largest, float(np.abs(step).max()))
+        if largest < tolerance:
+            break
+    return placed(base, "fold").select("qid", "y", "fold", F.col("p").alias("score"))
 
 
 def combination(scores: DataFrame, first: str, second: str, *, gap: float = 0.02, **options) -> DataFrame:
@@ -284,7 +292,7 @@ def power_block(label_sets: DataFrame, a: str, b: str) -> DataFrame:
 
 def length_audit(wide: DataFrame, signals: list[str], length: str, keys: list[str]) -> DataFrame:
     """Per signal: Spearman with y, the same given length, and AUROC within length strata."""
-    scores = wide.unpivot([*keys, "qid", "y", length], signals, "signal", "score").withColumn("_y", F.col("y").cast("double"))
+    scores = checkpointed(wide.unpivot([*keys, "qid", "y", length], signals, "signal", "score").withColumn("_y", F.col("y").cast("double")))
     by = [*keys, "signal"]
     ok = M.rated(scores)
     raw = M.midranks(M.midranks(ok, by, "score", "rx"), by, "_y", "ry").groupBy(*by).agg(M.pearson("rx", "ry").alias("rho"))

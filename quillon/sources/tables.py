@@ -37,30 +37,41 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def read_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored stage, or None if it is missing, empty or unreadable."""
+def read_checkpoint(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame | None:
+    """A stored stage, or None if it is missing or empty; an unreadable one is None too, or raises with ``strict``.
+
+    A writer that died between its two renames left the stage beside its place:
+    it is put back first.
+    """
     p, fs = _path(spark, path)
     if not fs.exists(p):
-        return None
+        old, _ = _path(spark, path.rstrip("/") + ".old")
+        if not fs.exists(old) or not fs.rename(old, p):
+            return None
     try:
         df = spark.read.parquet(path)
         return None if df.isEmpty() else df
     except Exception as e:  # a truncated footer surfaces as a job failure
-        if isinstance(e, AnalysisException) or "parquet" in str(e).lower():
+        if not strict and (isinstance(e, AnalysisException) or "parquet" in str(e).lower()):
             return None
         raise
 
 
 def write_checkpoint(df: DataFrame, path: str) -> None:
-    """Replace a stage by writing beside it and renaming: readers see the old or the new one, never a part."""
+    """Replace a stage by writing beside it and renaming: the stage is at its place or, for a moment, beside it as ``.old``, never in part.
+
+    What an earlier writer left beside its place is put back before.
+    """
     spark = df.sparkSession
     target, fs = _path(spark, path)
     staged, _ = _path(spark, path.rstrip("/") + ".staged")
     old, _ = _path(spark, path.rstrip("/") + ".old")
     df.write.mode("overwrite").parquet(staged.toString())
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
     fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"cannot move {target} to {old}")
     if not fs.rename(staged, target):
         raise OSError(f"cannot move {staged} to {target}")
     fs.delete(old, True)

@@ -40,7 +40,7 @@ def incremental_leaderboard(scores: DataFrame, state_path: str, checkpoint: str,
     spark = scores.sparkSession
 
     def upsert(batch: DataFrame, number: int) -> None:
-        stored = read_checkpoint(spark, state_path)
+        stored = read_checkpoint(spark, state_path, strict=True)  # history that cannot be read must not be started anew
         if stored is not None and stored.agg(F.max("batch")).first()[0] >= number:
             return
         old = None if stored is None else stored.drop("batch")
@@ -52,4 +52,7 @@ def incremental_leaderboard(scores: DataFrame, state_path: str, checkpoint: str,
 
 def leaderboard(spark: SparkSession, state_path: str, keys: list[str] | None = None) -> DataFrame:
     """AUROC of what the stream has delivered so far."""
-    return auroc_from(spark.read.parquet(state_path).drop("batch"), keys or ["signal"])
+    stored = read_checkpoint(spark, state_path, strict=True)
+    if stored is None:
+        raise ValueError(f"no state at {state_path}")
+    return auroc_from(stored.drop("batch"), keys or ["signal"])

@@ -107,3 +107,17 @@ def test_relabel_keeps_equal_texts(spark):
     old = spark.createDataFrame([("q1", "correct", "exact_match"), ("q2", "correct", "judge_primary")], "qid string, label string, source string")
     got = {r["qid"]: (r["new_label"], r["moved"]) for r in A.relabel(old, g).collect()}
     assert got == {"q1": ("correct", False), "q2": ("incorrect", True)}
+
+
+def test_stated_items(spark):
+    """Items of fewer tokens than the lead are found in longer documents."""
+    docs = spark.createDataFrame([(1, "x x x Alpha beta, gamma y y y"), (2, "alpha beta gamma"), (3, None), (4, "a b c d e f g h"), (5, "alpha beta"), (6, "")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "b c d e f g"), (3, "..."), (4, None), (5, "beta"), (6, "c d e f g z")], "item_id int, text string")
+    got = sorted(map(tuple, D.stated_items(docs, items).collect()))
+    assert got == [(1, 1), (1, 5), (2, 1), (2, 5), (4, 2), (5, 5)]
+
+
+def test_row_set_sum(spark):
+    df = spark.range(100).select(F.col("id").alias("qid"))
+    a, b = D.row_set_sum(df).first(), D.row_set_sum(df.orderBy(F.desc("qid")).repartition(3)).first()
+    assert a == b and a != D.row_set_sum(df.where("qid <> 5")).first()

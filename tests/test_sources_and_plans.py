@@ -126,3 +126,22 @@ def test_logistic_and_partner(spark):
     rows = [(f"q{i}", i % 3 == 0, float(i % 3 == 0) + (i % 7) / 10, float(i % 5)) for i in range(60)]
     df = spark.createDataFrame(rows, "qid string, y boolean, a double, b double")
     assert M.auroc(L.logistic_cv(df, ["a", "b"], folds=3, steps=5), []).first()["auroc"] > 0.9
+
+
+def test_checkpoint_survives_a_crash_between_renames(spark, tmp_path):
+    import shutil
+
+    path = str(tmp_path / "stage")
+    T.write_checkpoint(spark.range(3), path)
+    shutil.move(path, path + ".old")  # the writer died after the first rename
+    assert T.read_checkpoint(spark, path).count() == 3
+    shutil.move(path, path + ".old")
+    T.write_checkpoint(spark.range(5), path)
+    assert T.read_checkpoint(spark, path).count() == 5 and not (tmp_path / "stage.old").exists()
+    for f in (tmp_path / "stage").glob("*.parquet"):
+        f.write_bytes(b"PAR1 broken")
+    for f in (tmp_path / "stage").glob(".*.crc"):
+        f.unlink()
+    assert T.read_checkpoint(spark, path) is None
+    with pytest.raises(Exception):
+        T.read_checkpoint(spark, path, strict=True)

@@ -15,11 +15,11 @@ def one(spark, column, **values):
 )
 def test_normalize(spark, raw, want):
     assert one(spark, T.normalize(F.col("t")), t=raw) == want
-    assert one(spark, T.normalize(F.col("t"), exact=True), t=raw) == want
+    assert one(spark, F.get(T.normalize_all(F.array(F.col("t"), F.lit("x"))), F.lit(0)), t=raw) == want
 
 
 def test_normalize_exact_folds_compatibility_forms(spark):
-    assert one(spark, T.normalize(F.col("t"), exact=True), t="ﬁne １２") == "fine 12"
+    assert one(spark, T.normalize(F.col("t")), t="ﬁne １２") == "fine 12"
 
 
 @pytest.mark.parametrize("a,b,want", [("New York City", "New York", 0.8), ("xx xx", "xx", 2 / 3), ("", "", 1.0), ("x", "", 0.0)])
@@ -77,3 +77,12 @@ def test_granularity_and_echo(spark):
 
 def test_render(spark):
     assert one(spark, T.render("Q: {q} A: {a}", q=F.lit("x?"), a=F.lit(" "))) == "Q: x? A: (empty)"
+
+
+def test_labels_fold_compatibility_forms(spark):
+    from quillon.operators.labels import fuzzy_label
+
+    gold = F.array(F.lit("ﬁne １２"), F.lit("other"))
+    assert one(spark, T.exact_match(F.col("t"), gold), t="Fine 12.") is True
+    assert one(spark, T.gold_in_question(F.col("t"), gold), t="is it ＦＩＮＥ 12?") is True
+    assert one(spark, fuzzy_label(F.col("t"), gold, F.lit("how is it?")), t="fine 12") == "correct"
