@@ -143,17 +143,19 @@ _COVERED = "list_contains(qt, {t}) OR (length({t}) > 1 AND {t}[-1] = 's' AND lis
 _ALL_COVERED = "len(list_filter({x}, lambda t: NOT (" + _COVERED.format(t="t") + "))) = 0"
 
 
-@query(
-    f"""WITH k AS ({_ASK}), p AS (SELECT conv_id, turn, q, string_split(q, ' ') AS qs, string_split(full_, ' ') AS fs FROM k),
+#: The rule in SQL: CTEs ending in ``w`` (conv_id, turn, qt, an, at_, gs, restated), and the label of such a row.
+CASCADE = f"""k AS ({_ASK}), p AS (SELECT conv_id, turn, q, string_split(q, ' ') AS qs, string_split(full_, ' ') AS fs FROM k),
     m AS (SELECT conv_id, turn, list_filter(qs, lambda t: t <> '') AS qt, CASE conv_id % 5 WHEN 0 THEN fs[2:2] WHEN 1 THEN qs[1:2] || fs[1:2] WHEN 2 THEN qs[1:2] WHEN 3 THEN fs[1:2] ELSE fs[1:5] END AS araw, [fs[1:2], fs[2:4]] AS graw FROM p),
     n0 AS (SELECT conv_id, turn, qt, {norm_sql("array_to_string(araw, ' ')")} AS an, [{norm_sql("array_to_string(g, ' ')")} FOR g IN graw] AS gn FROM m),
     n AS (SELECT conv_id, turn, qt, an, list_filter(string_split(an, ' '), lambda t: t <> '') AS at_, list_filter(gn, lambda g: g <> '') AS gs FROM n0),
     w AS (SELECT *, len(list_filter(gs, lambda g: contains(' ' || an || ' ', ' ' || g || ' ') AND g <> an AND
-        (len(list_filter(string_split(regexp_replace(' ' || an || ' ', ' ' || g || ' ', ' ')[2:], ' '), lambda t: t <> '' AND NOT ({_COVERED.format(t='t')}))) = 0))) > 0 AS restated FROM n)
-    SELECT conv_id, turn, CASE WHEN len(at_) = 0 THEN 'incorrect' WHEN list_contains(gs, an) THEN 'correct' WHEN restated THEN CASE WHEN len(list_intersect(qt, {_NEG})) > 0 THEN 'ambiguous' ELSE 'correct' END
+        (len(list_filter(string_split(regexp_replace(' ' || an || ' ', ' ' || g || ' ', ' ')[2:], ' '), lambda t: t <> '' AND NOT ({_COVERED.format(t='t')}))) = 0))) > 0 AS restated FROM n)"""
+CASCADE_LABEL = f"""CASE WHEN len(at_) = 0 THEN 'incorrect' WHEN list_contains(gs, an) THEN 'correct' WHEN restated THEN CASE WHEN len(list_intersect(qt, {_NEG})) > 0 THEN 'ambiguous' ELSE 'correct' END
       WHEN {_ALL_COVERED.format(x='at_')} THEN 'incorrect' WHEN len(list_filter(gs, lambda g: g <> an AND contains(' ' || g || ' ', ' ' || an || ' '))) > 0 THEN 'ambiguous'
-      WHEN len(list_filter(gs, lambda g: contains(' ' || an || ' ', ' ' || g || ' '))) > 0 THEN 'ambiguous' ELSE 'incorrect' END AS label FROM w"""
-)
+      WHEN len(list_filter(gs, lambda g: contains(' ' || an || ' ', ' ' || g || ' '))) > 0 THEN 'ambiguous' ELSE 'incorrect' END"""
+
+
+@query(f"WITH {CASCADE} SELECT conv_id, turn, {CASCADE_LABEL} AS label FROM w")
 def fuzzy_label_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return _asked(spark, sf).select("conv_id", "turn", A.fuzzy_label(F.col("answer"), F.col("gold"), F.col("question")).alias("label"))
 
@@ -204,12 +206,23 @@ def token_means(spark: SparkSession, sf: str) -> DataFrame:
     return L.token_means(rows).withColumn("mean_tokens", F.round("mean_tokens", 9))
 
 
-@query()
+_COSTED = ", ".join(f"('{c.name}', '{c.name[0].upper()}')" for c in S.catalog())
+
+
+@query(
+    f"""WITH r AS (SELECT col0 AS signal, col1 AS family, CASE col1 WHEN 'B' THEN 5.0 WHEN 'C' THEN 1.0 ELSE 0.0 END::DOUBLE AS extra FROM (VALUES {_COSTED}))
+    SELECT signal, family, 1 + extra AS cost_multiplier, extra AS extra_model_calls, CASE family WHEN 'B' THEN 300.0 WHEN 'C' THEN NULL ELSE 0.0 END::DOUBLE AS extra_tokens,
+           (1 + CASE family WHEN 'B' THEN 300.0 WHEN 'C' THEN NULL ELSE 0.0 END / 60.0)::DOUBLE AS token_multiplier, (extra + CASE WHEN family = 'B' THEN 0.5 ELSE 0.0 END)::DOUBLE AS extra_seconds FROM r"""
+)
 def signal_costs(spark: SparkSession, sf: str) -> DataFrame:
     return L.cost_table(S.catalog_table(spark), 5, greedy_tokens=60.0, sample_tokens=60.0, generate_s=1.0, family_b_s=0.5)
 
 
-@query()
+@query(
+    f"""WITH {CASCADE}, l AS (SELECT CAST(conv_id % 2 AS VARCHAR) AS dataset, {CASCADE_LABEL} AS label FROM w)
+    SELECT dataset, CAST(0 AS BIGINT) AS abstain, CAST(count(*) FILTER (label = 'correct') AS BIGINT) AS correct, CAST(count(*) FILTER (label = 'ambiguous') AS BIGINT) AS unresolved,
+           CAST(count(*) FILTER (label = 'incorrect') AS BIGINT) AS incorrect FROM l GROUP BY dataset"""
+)
 def base_rate_probe(spark: SparkSession, sf: str) -> DataFrame:
     label = A.fuzzy_label(F.col("answer"), F.col("gold"), F.col("question"))
     rows = _asked(spark, sf).select((F.col("conv_id") % 2).cast("string").alias("dataset"), label.alias("label"))

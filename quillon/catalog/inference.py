@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.catalog import query, table
+from quillon.catalog import ORACLE_SQL, query, table
 from quillon.catalog.questions import md5_sql
 from quillon.catalog.ranking import _AP, SCORES, auroc_sql, r9, scores, wide_scores
 from quillon.operators import labels as A
@@ -190,25 +190,41 @@ def human_agreement_report(spark: SparkSession, sf: str) -> DataFrame:
     return r9(C.human_report(s).select("n_rows", "n_labelled", "n_invalid", "base_rate", "error_rate"), "base_rate", "error_rate")
 
 
-@query()
+_OF = {name: ORACLE_SQL[name] for name in ("auroc_pooled", "average_precision", "aurc", "bootstrap_auroc_ci_hash", "leader_ranking")}
+
+
+@query(
+    f"""SELECT a.signal, a.n, a.n_pos, a.n_neg, a.auroc, p.average_precision, c.aurc, c.base_rate, c.coverage_at_target, b.ci_low, b.ci_high, b.resamples, r.rank
+    FROM ({_OF['auroc_pooled']}) a JOIN ({_OF['average_precision']}) p USING (signal) JOIN ({_OF['aurc']}) c USING (signal) JOIN ({_OF['bootstrap_auroc_ci_hash']}) b USING (signal) JOIN ({_OF['leader_ranking']}) r USING (signal)"""
+)
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     """Every metric of every signal with its interval and rank: the analysis in one table."""
     s = scores(spark, sf)
     board = L.metrics_table(s, [])
     ci = R.bootstrap_auroc(s, RESAMPLES, SEED).select("signal", "ci_low", "ci_high", "resamples")
-    return board.join(ci, "signal").join(L.ranking(s, []).select("signal", "rank"), "signal")
+    out = board.join(ci, "signal").join(L.ranking(s, []).select("signal", "rank"), "signal")
+    return r9(out, "auroc", "average_precision", "aurc", "base_rate", "coverage_at_target", "ci_low", "ci_high")
 
 
-@query()
+_LEADER = "(SELECT signal FROM p ORDER BY auroc DESC, signal LIMIT 1)"
+_AGAINST_LEADER = ORACLE_SQL["paired_auroc_diff_hash"].replace("'distinct'", _LEADER)
+
+
+@query(
+    f"""WITH k AS (SELECT *, row_number() OVER (ORDER BY p_value, rank) AS rn, count(*) OVER () AS m FROM ({_AGAINST_LEADER}) JOIN (SELECT signal, rank FROM ({_OF['leader_ranking']})) USING (signal))
+    SELECT signal, delta, ci_low, ci_high, p_value, n_paired, round(least(1.0, max((m - rn + 1) * p_value) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING)), 8) AS p_holm, (SELECT signal FROM ({_OF['leader_ranking']}) WHERE rank = 1) AS reference FROM k"""
+)
 def significance_table(spark: SparkSession, sf: str) -> DataFrame:
     s = scores(spark, sf)
-    return L.significance(s, L.ranking(s, []), L.Options(resamples=RESAMPLES, seed=SEED))
+    out = L.significance(s, L.ranking(s, []), L.Options(resamples=RESAMPLES, seed=SEED)).select("signal", "delta", "ci_low", "ci_high", "p_value", "n_paired", F.round("p_holm", 8).alias("p_holm"), "reference")
+    return r9(out, "delta", "ci_low", "ci_high", "p_value")
 
 
-@query()
+@query(
+    f"""WITH b AS (SELECT r.signal, r.auroc, r.rank, i.ci_low, i.ci_high FROM ({_OF['leader_ranking']}) r JOIN ({_OF['bootstrap_auroc_ci_hash']}) i USING (signal)), x AS (SELECT * FROM b WHERE rank = 1), y AS (SELECT * FROM b WHERE rank = 2)
+    SELECT x.signal AS leader, x.auroc, y.signal AS runner_up, y.auroc AS next_auroc, x.ci_low > y.ci_high AS intervals_disjoint, x.auroc - y.auroc >= 0.02 AS gap_meaningful, x.ci_low > y.ci_high AND x.auroc - y.auroc >= 0.02 AS has_winner FROM x, y"""
+)
 def verdict(spark: SparkSession, sf: str) -> DataFrame:
     s = scores(spark, sf)
     ci = R.bootstrap_auroc(s, RESAMPLES, SEED).select("signal", "ci_low", "ci_high")
-    return L.verdict(L.ranking(s, []).join(ci, "signal"))
-
-
+    return r9(L.verdict(L.ranking(s, []).join(ci, "signal")), "auroc", "next_auroc")

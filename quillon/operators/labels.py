@@ -133,33 +133,44 @@ def relabel(old: DataFrame, df: DataFrame, abstain: str = T.ABSTAIN) -> DataFram
     return both.withColumn("moved", (F.col("old_label") != F.col("new_label")) | (F.col("old_source") != F.col("new_source")))
 
 
+def _known(answer: Column, aliases: Column, question: Column | None = None) -> Column:
+    """Normalized answer, aliases and question tokens in one struct, to be named once outside of any lambda."""
+    asked = [] if question is None else [T.tokens(question).alias("asked")]
+    return F.struct(T.normalize(answer).alias("mine"), T.normalize_all(aliases).alias("gold"), *asked)
+
+
 def strict_match(answer: Column, aliases: Column, gap: int = 2) -> Column:
     """Equal to an alias, or part of one that is at most ``gap`` tokens longer."""
-    mine = T.normalize(answer)
-    n = F.size(T.split_tokens(mine))
-    near = F.exists(T.normalize_all(aliases), lambda a: T.contains_run(a, mine) & (F.size(T.split_tokens(a)) - n <= gap))
-    return T.exact_match(answer, aliases) | ((mine != "") & near)
+
+    def matches(k: Column) -> Column:
+        size = F.size(T.split_tokens(k["mine"]))
+        near = lambda a: T.contains_run(a, k["mine"]) & (F.size(T.split_tokens(a)) - size <= gap)
+        return (k["mine"] != "") & F.exists(k["gold"], lambda a: (a == k["mine"]) | near(a))
+
+    return let(_known(answer, aliases), matches)
 
 
 def swallowed(answer: Column, aliases: Column) -> Column:
     """Whether the answer is a proper part of a longer alias."""
-    mine = T.normalize(answer)
-    return F.exists(T.normalize_all(aliases), lambda a: (a != mine) & T.contains_run(a, mine))
+    return let(_known(answer, aliases), lambda k: F.exists(k["gold"], lambda a: (a != k["mine"]) & T.contains_run(a, k["mine"])))
 
 
 def longest_covered_alias(answer: Column, aliases: Column, question: Column) -> Column:
     """The longest alias that the answer states among words of the question alone, or null."""
-    mine, asked = T.normalize(answer), T.tokens(question)
-    gold = F.filter(T.normalize_all(aliases), lambda a: T.contains_run(mine, a) & F.forall(_outside(mine, a), lambda t: T.covered(t, asked)))
-    return F.array_max(F.transform(gold, lambda a: F.struct(F.size(T.split_tokens(a)).alias("n"), a.alias("alias"))))["alias"]
+
+    def longest(k: Column) -> Column:
+        gold = F.filter(k["gold"], lambda a: T.contains_run(k["mine"], a) & F.forall(_outside(k["mine"], a), lambda t: T.covered(t, k["asked"])))
+        return F.array_max(F.transform(gold, lambda a: F.struct(F.size(T.split_tokens(a)).alias("n"), a.alias("alias"))))["alias"]
+
+    return let(_known(answer, aliases, question), longest)
 
 
 def error_patterns(df: DataFrame) -> DataFrame:
     """Rows whose label looks wrong: echoes called right, verbose answers called wrong, and the rate that bounds the error below."""
-    answer, asked = F.col("greedy_answer"), T.tokens(F.col("question"))
-    echo = (F.col("label") == "correct") & (F.size(T.tokens(answer)) > 0) & F.forall(T.tokens(answer), lambda t: T.covered(t, asked))
-    verbose = (F.col("label") == "incorrect") & longest_covered_alias(answer, F.col("gold_answers"), F.col("question")).isNotNull()
-    return df.withColumn("pattern", F.when(echo, "echo_fp").when(verbose, "verbose_fn"))
+    both = F.struct(T.tokens(F.col("greedy_answer")).alias("told"), T.tokens(F.col("question")).alias("asked"))
+    echoed = let(both, lambda b: (F.size(b["told"]) > 0) & F.forall(b["told"], lambda t: T.covered(t, b["asked"])))
+    verbose = (F.col("label") == "incorrect") & longest_covered_alias(F.col("greedy_answer"), F.col("gold_answers"), F.col("question")).isNotNull()
+    return df.withColumn("pattern", F.when((F.col("label") == "correct") & echoed, "echo_fp").when(verbose, "verbose_fn"))
 
 
 def error_floor(df: DataFrame) -> DataFrame:
