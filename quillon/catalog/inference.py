@@ -207,7 +207,7 @@ def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LEADER = "(SELECT signal FROM p ORDER BY auroc DESC, signal LIMIT 1)"
-_AGAINST_LEADER = ORACLE_SQL["paired_auroc_diff_hash"].replace("'distinct'", _LEADER)
+_AGAINST_LEADER = ORACLE_SQL["paired_auroc_diff_hash"].replace("= 'distinct'", f"= {_LEADER}").replace("<> 'distinct'", f"<> {_LEADER}")
 
 
 @query(
