@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from quillon.operators.ranges import checkpointed, global_rank, partitions_for, range_sorted, scratch_root
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder every executor sees: ``spark.checkpoint.dir`` of the session.
-
-    Where none is named, a session whose tasks all run in this machine (tests, a
-    laptop) gets a fresh local folder; any other session is refused, as its
-    executors would not see such a folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quillon-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+__all__ = ["checkpointed", "drop_materialized", "global_rank", "materialize", "partitions_for", "range_sorted", "scratch_path", "scratch_root"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,40 +36,3 @@ def drop_materialized(df: DataFrame) -> None:
         if root in folder:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def partitions_for(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder: any column type, partitions and their order stay as they are."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_root(spark))
-    return df.checkpoint()
-
-
-def range_sorted(df: DataFrame, order: list) -> DataFrame:
-    """Range-partition and sort ``df``, then checkpoint it."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    return checkpointed(df.repartitionByRange(partitions_for(df.sparkSession), *cols).sortWithinPartitions(*cols))
-
-
-def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """Add a 0-based row number over a global order without one task seeing all rows.
-
-    Each range partition numbers its own rows; what is gathered is one count
-    per partition, whatever the number of rows.
-    """
-    spark = df.sparkSession
-    stored = range_sorted(df, order)
-    counts = {r[0]: r[1] for r in stored.groupBy(F.spark_partition_id().alias("p")).count().collect()}
-    before, rows = 0, [(-1, 0)]
-    for pid in sorted(counts):
-        rows.append((pid, before))
-        before += counts[pid]
-    offsets = spark.createDataFrame(rows, "_pid int, _before long")  # a row per partition
-    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = stored.withColumns({"_pid": F.spark_partition_id(), "_inside": inside})
-    return numbered.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_before") + F.col("_inside")).drop("_pid", "_before", "_inside")
