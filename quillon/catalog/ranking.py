@@ -264,8 +264,22 @@ def logreg_combination(spark: SparkSession, sf: str) -> DataFrame:
     return L.combination(scores(spark, sf), "chars", "distinct", steps=20)
 
 
-@query()
-def length_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return L.length_audit(wide_scores(spark, sf).withColumn("length", F.col("chars")), ["distinct", "random"], "length", ["stratum"])
+_BY = "stratum, signal"
+_CORR = "CASE WHEN stddev_pop({0}) * stddev_pop({1}) > 0 THEN covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) END"
+_RESID_BY = _RESID.replace("OVER ()", f"OVER (PARTITION BY {_BY})")
 
 
+@query(
+    f"""WITH {SCORES}, b AS (SELECT s.stratum, s.signal, s.score, s.y, w.chars FROM scores s JOIN wide w USING (qid) WHERE s.signal IN ('distinct', 'random')),
+    k AS (SELECT {_BY}, {_RANK.format(by=_BY, x='score')} AS rx, {_RANK.format(by=_BY, x='y::INT')} AS rz, {_RANK.format(by=_BY, x='chars')} AS rg FROM b),
+    e AS (SELECT {_BY}, round({_RESID_BY.format('x')}, 9) AS ex, round({_RESID_BY.format('z')}, 9) AS ez FROM k), f AS (SELECT {_BY}, {_RANK.format(by=_BY, x='ex')} AS rx, {_RANK.format(by=_BY, x='ez')} AS rz FROM e),
+    r AS (SELECT {_BY}, {_CORR.format('rx', 'rz')} AS rho FROM k GROUP BY {_BY}), p AS (SELECT {_BY}, count(*) AS n, CASE WHEN count(*) >= 5 THEN {_CORR.format('rx', 'rz')} END AS partial_rho FROM f GROUP BY {_BY}),
+    m AS (SELECT {_BY}, median(chars) AS med FROM b GROUP BY {_BY}), h2 AS (SELECT {_BY}, score, y, CASE WHEN chars <= med THEN 'at_or_below' ELSE 'above' END AS part FROM b JOIN m USING ({_BY})),
+    a AS (SELECT * FROM {auroc_sql(_BY + ', part', 'h2')})
+    SELECT {_BY}, round(rho, 8) AS rho, CAST(p.n AS BIGINT) AS n, round(partial_rho, 4) AS partial_rho, round(max(auroc) FILTER (part = 'at_or_below'), 9) AS at_or_below, round(max(auroc) FILTER (part = 'above'), 9) AS above
+    FROM r JOIN p USING ({_BY}) JOIN a USING ({_BY}) GROUP BY {_BY}, rho, p.n, partial_rho"""
+)
+def length_audit(spark: SparkSession, sf: str) -> DataFrame:
+    out = L.length_audit(wide_scores(spark, sf).withColumn("length", F.col("chars")), ["distinct", "random"], "length", ["stratum"])
+    out = out.withColumns({"rho": F.round("rho", 8), "partial_rho": F.round("partial_rho", 4)})
+    return r9(out.select("stratum", "signal", "rho", "n", "partial_rho", "at_or_below", "above"), "at_or_below", "above")
