@@ -227,12 +227,18 @@ def _cross(percent: int):
             for row in batch.to_pylist():
                 (da, ca, fa, na), (db, cb, fb, nb) = (_members(row[p], "doc", "comp", "family", "n") for p in "xy")
                 regs = [np.frombuffer(b"".join(m["data"] for m in row[p]), np.uint16).reshape(-1, BUCKETS) for p in "xy"]
-                for i in range(len(da)):
-                    open_ = np.flatnonzero((cb != ca[i]) & (fb != fa[i]) & ((db > da[i]) if row["same"] else True))
-                    if len(open_):
-                        ok = open_[may_link(estimate(regs[0][i], regs[1][open_], na[i], nb[open_]), na[i], nb[open_], percent)]
-                        out_a += [da[i]] * len(ok)
-                        out_b += db[ok].tolist()
+                for at in range(0, len(da), 32):
+                    x = slice(at, at + 32)
+                    agree = (regs[0][x, None, :] == regs[1][None, :, :]).mean(axis=2)
+                    # an estimate is never above the share of agreeing registers, so most pairs need none
+                    ok = (ca[x, None] != cb) & (fa[x, None] != fb) & may_link(agree, na[x, None], nb[None, :], percent)
+                    if row["same"]:
+                        ok &= da[x, None] < db
+                    i, k = np.nonzero(ok)
+                    chance = collision_rate(na[x][i], nb[k])
+                    good = may_link((agree[i, k] - chance) / (1 - chance), na[x][i], nb[k], percent)
+                    out_a += da[x][i[good]].tolist()
+                    out_b += db[k[good]].tolist()
             a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
