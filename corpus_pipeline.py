@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.decontaminate import find_contamination
@@ -38,21 +38,26 @@ def _shipped(f: Stage) -> Stage:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """Id and text for an operator, and the row as it was apart from them, so that no name can clash."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("as_it_was"))
+    """Id and text for an operator, and the other columns as they were in one struct, so that no name can clash and no text goes twice."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("as_it_was"))
+
+
+def _unpacked(found: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of the input, in order."""
+    return found.select(*[F.col("text") if c == "text" else changed.get(c, F.col(f"as_it_was.`{c}`")).alias(c) for c in columns])
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score below 0.7) go."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(_packed(docs), model).where("score >= 0.7").select("as_it_was.*")
+    return _unpacked(score_quality(_packed(docs), model).where("score >= 0.7"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of three or more lines, or of 50 or more words in fewer lines, are deleted from the texts; ``n_chars`` follows."""
     kept = remove_repeated_lines(_packed(docs), min_lines=3)
-    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("as_it_was.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
-    return kept.select(*[changed.get(c, F.col(f"as_it_was.`{c}`")).alias(c) for c in docs.columns])
+    n_chars = F.when(F.col("n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("as_it_was.n_chars")) if "n_chars" in docs.columns else F.lit(None)
+    return _unpacked(kept, docs.columns, n_chars=n_chars)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +69,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     found = find_contamination(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, keep_columns=True)
-    return found.where("n_hit = 0").select("as_it_was.*")
+    return _unpacked(found.where("n_hit = 0"), docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
