@@ -8,21 +8,44 @@ from pyspark.sql import functions as F
 from quillon.catalog import ORACLE_SQL, query, table
 from quillon.catalog.questions import md5_sql
 from quillon.catalog.ranking import _AP, SCORES, auroc_sql, r9, scores, wide_scores
+from quillon.operators import draws as D
 from quillon.operators import labels as A
 from quillon.operators import resample as R
 from quillon.plans import compare as C
 from quillon.plans import gates as G
 from quillon.plans import leaderboard as L
 
-RESAMPLES, SEED = 1000, 987654321
+RESAMPLES, SEED = 10_000, 987654321
+#: Resamples of the agreement of two raters.
+RATERS = 2_000
+_LIMITS = ", ".join(f"({p}, {[*D.limits(p)[0]]}::BIGINT[], {[*D.limits(p)[1]]}::BIGINT[])" for p in range(18))
 
 
-def draws_sql(rows: str, key: str = "qid", name: str = "w") -> str:
-    """How often each key is drawn in each resample, as a CTE ``name`` (r, key, w): Poisson numbers read from hashes."""
-    drawn = " + ".join(f"(u >= {limit})::BIGINT" for limit in R.LIMITS)
-    return f"""{name} AS MATERIALIZED (SELECT r, {key}, {drawn} AS w FROM (
-    SELECT 8 * j + i AS r, {key}, ('0x' || substr(md5('{SEED}:' || j || ':' || CAST({key} AS VARCHAR)), 4 * i + 1, 4))::BIGINT AS u
-    FROM (SELECT DISTINCT {key} FROM {rows}), (SELECT unnest(range({-(-RESAMPLES // 8)})) AS j), (SELECT unnest(range(8)) AS i)) WHERE u >= {R.LIMITS[0]} AND r < {RESAMPLES})"""
+def _low(x: str) -> str:
+    """The low 64 bits of a wide number."""
+    return f"(({x}) & 18446744073709551615::UHUGEINT)::UBIGINT"
+
+
+def _mix(x: str, n: int) -> str:
+    """Columns m<n>0.. of a select: the splitmix64 finaliser of ``x``, the last one its value."""
+    at = [f"m{n}{i}" for i in range(4)]
+    step = lambda z, shift, c: _low(f"xor({z}, {z} >> {shift})::UHUGEINT * {c}::UHUGEINT")
+    return f"{x} AS {at[0]}, {step(at[0], 30, D.FIRST)} AS {at[1]}, {step(at[1], 27, D.SECOND)} AS {at[2]}, xor({at[2]}, {at[2]} >> 31) AS {at[3]}"
+
+
+def draws_sql(rows: str, key: str = "qid", name: str = "w", by: str = "", cls: str = "y", resamples: int = RESAMPLES) -> str:
+    """How often each key is drawn in each resample, as a CTE ``name`` (r, by, key, w): the first n arrivals of each class of n keys."""
+    g = f"{by}, " if by else ""
+    u, c, x = f"{name}_units", f"{name}_cells", f"{name}_times"
+    hexed = lambda a: f"('0x' || substr(h, {a}, 16))::UBIGINT"
+    return f"""{u} AS MATERIALIZED (SELECT *, {hexed(1)} AS h1, {hexed(17)} AS h2, len(bin(n)) - 1 AS power FROM (
+      SELECT {g}{key}, {cls} AS cls, md5('{SEED}:' || CAST({key} AS VARCHAR)) AS h, count(*) OVER (PARTITION BY {g}{cls}) AS n FROM (SELECT DISTINCT {g}{key}, {cls} FROM {rows}))),
+    {c} AS MATERIALIZED (SELECT {g}{key}, cls, n, h2, r, len(list_filter(l0, lambda l: l <= (m03 >> 32))) AS k0, len(list_filter(l1, lambda l: l <= (m03 & 4294967295))) AS k1 FROM (
+      SELECT *, {_mix(_low(f"h1::UHUGEINT + {D.GOLDEN}::UHUGEINT * (r + 1)::UHUGEINT"), 0)} FROM {u}, (SELECT unnest(range({resamples})) AS r)) JOIN (VALUES {_LIMITS}) l(power, l0, l1) USING (power)),
+    {x} AS (SELECT {g}{key}, cls, r, n, k, row_number() OVER (PARTITION BY {g}cls, r ORDER BY t) AS place FROM (
+      SELECT *, {_mix(_low(f"h2::UHUGEINT + {D.GOLDEN}::UHUGEINT * ({D.STRIDE} * r + j + 1)::UHUGEINT"), 1)}, m13 >> 2 AS t FROM (SELECT {g}{key}, cls, r, n, h2, unnest(range(k1)) AS j FROM {c} WHERE k1 > 0))
+      JOIN (SELECT {g}cls, r, sum(k0) AS k FROM {c} GROUP BY ALL) USING ({g}cls, r)),
+    {name} AS MATERIALIZED (SELECT {g}{key}, r, CAST(sum(w) AS BIGINT) AS w FROM (SELECT {g}{key}, r, k0 AS w FROM {c} WHERE k0 > 0 UNION ALL SELECT {g}{key}, r, 1 FROM {x} WHERE place <= n - k) GROUP BY ALL)"""
 
 
 def interval_sql(source: str, by: str, value: str) -> str:
@@ -49,8 +72,8 @@ def bootstrap_ap_ci_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SCORES}, {draws_sql('wide')}, d AS (SELECT w.r, s.stratum, s.signal, s.score, s.y, w.w FROM scores s JOIN w USING (qid)), e AS (SELECT * FROM {auroc_sql('r, stratum, signal', 'd', 'w')}),
-    z AS (SELECT stratum, count(*) AS weight FROM wide GROUP BY 1), v AS (SELECT r, signal, CASE WHEN count(auroc) = count(*) THEN sum(auroc * weight) / sum(weight) END AS auroc FROM e JOIN z USING (stratum) GROUP BY ALL)
+    f"""WITH {SCORES}, {draws_sql('wide', by='stratum')}, d AS (SELECT w.r, s.stratum, s.signal, s.score, s.y, w.w FROM scores s JOIN w USING (stratum, qid)), e AS (SELECT * FROM {auroc_sql('r, stratum, signal', 'd', 'w')}),
+    z AS (SELECT stratum, count(*) AS weight FROM wide GROUP BY 1), v AS (SELECT r, signal, sum(auroc * weight) / sum(weight) FILTER (auroc IS NOT NULL) AS auroc FROM e JOIN z USING (stratum) GROUP BY ALL)
     SELECT signal, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high FROM {interval_sql('v', 'signal', 'auroc')}"""
 )
 def stratified_bootstrap_hash(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +81,7 @@ def stratified_bootstrap_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SCORES}, {draws_sql('wide')}, d AS (SELECT w.r, s.stratum, s.signal, s.score, s.y, w.w FROM scores s JOIN w USING (qid)), v AS (SELECT * FROM {auroc_sql('r, stratum, signal', 'd', 'w')}),
+    f"""WITH {SCORES}, {draws_sql('wide', by='stratum')}, d AS (SELECT w.r, s.stratum, s.signal, s.score, s.y, w.w FROM scores s JOIN w USING (stratum, qid)), v AS (SELECT * FROM {auroc_sql('r, stratum, signal', 'd', 'w')}),
     p AS (SELECT * FROM {auroc_sql('stratum, signal')})
     SELECT stratum, signal, round(auroc, 9) AS auroc, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, ci_low > 0.5 OR ci_high < 0.5 AS excludes_chance FROM p LEFT JOIN {interval_sql('v', 'stratum, signal', 'auroc')} USING (stratum, signal)"""
 )
@@ -68,7 +91,7 @@ def per_dataset_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SCORES}, votes AS (SELECT DISTINCT row_pos // 3 AS cluster_id FROM wide), {draws_sql('votes', 'cluster_id')},
+    f"""WITH {SCORES}, votes AS (SELECT row_pos // 3 AS cluster_id, avg(y::INT) >= 0.5 AS y FROM wide GROUP BY 1), {draws_sql('votes', 'cluster_id')},
     d AS (SELECT w.r, s.signal, s.score, s.y, w.w FROM scores s JOIN w ON s.row_pos // 3 = w.cluster_id), v AS (SELECT * FROM {auroc_sql('r, signal', 'd', 'w')})
     SELECT signal, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high FROM {interval_sql('v', 'signal', 'auroc')}"""
 )
@@ -92,7 +115,7 @@ def paired_auroc_diff_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SCORES}, {draws_sql('wide')}, l AS (SELECT qid, signal, score, unnest(['old', 'new']) AS side, unnest([y, toxic]) AS y FROM scores),
+    f"""WITH {SCORES}, {draws_sql('wide', cls='toxic')}, l AS (SELECT qid, signal, score, unnest(['old', 'new']) AS side, unnest([y, toxic]) AS y FROM scores),
     d AS (SELECT w.r, l.signal, l.side, l.score, l.y, w.w FROM l JOIN w USING (qid)), a AS (SELECT * FROM {auroc_sql('r, signal, side', 'd', 'w')}), p AS (SELECT * FROM {auroc_sql('signal, side', 'l')}),
     t AS (SELECT n.signal, n.auroc - o.auroc AS delta FROM p n JOIN p o ON n.signal = o.signal AND n.side = 'new' AND o.side = 'old'),
     v AS (SELECT n.signal, n.auroc - o.auroc AS delta FROM a n JOIN a o ON n.r = o.r AND n.signal = o.signal AND n.side = 'new' AND o.side = 'old')
@@ -136,23 +159,29 @@ def cohens_kappa(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_RATED}, {draws_sql('rated')}, cells AS (SELECT r, a, b, sum(w) AS w FROM rated JOIN w USING (qid) GROUP BY ALL),
+    f"""WITH {_RATED}, {draws_sql('rated', cls='0', resamples=RATERS)}, cells AS (SELECT r, a, b, sum(w) AS w FROM rated JOIN w USING (qid) GROUP BY ALL),
     v AS (SELECT * FROM {_KAPPA.format(by='r,', w='w', source='cells', group='GROUP BY r', keys='r, c', join='JOIN q USING (r)')}), p AS (SELECT kappa FROM {_CELLS})
     SELECT round((SELECT kappa FROM p), 9) AS kappa, round(quantile_cont(kappa, 0.025), 9) AS ci_low, round(quantile_cont(kappa, 0.975), 9) AS ci_high FROM v"""
 )
 def kappa_bootstrap_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return r9(R.bootstrap_kappa(_rated(spark, sf), "a", "b", RESAMPLES, SEED).select("kappa", "ci_low", "ci_high"), "kappa", "ci_low", "ci_high")
+    return r9(R.bootstrap_kappa(_rated(spark, sf), "a", "b", RATERS, SEED).select("kappa", "ci_low", "ci_high"), "kappa", "ci_low", "ci_high")
 
 
-_PR = "count(*) FILTER (a = 'incorrect' AND b = 'incorrect')"
+_PR = "{w} FILTER (a = 'incorrect' AND b = 'incorrect')"
+_RATES = "{p} / nullif({w} FILTER (b = 'incorrect'), 0)::DOUBLE AS precision, {p} / nullif({w} FILTER (a = 'incorrect'), 0)::DOUBLE AS recall"
+_RATE = lambda w: _RATES.format(p=_PR.format(w=w), w=w)
 
 
 @query(
-    f"""WITH {_RATED} SELECT CAST(count(*) AS BIGINT) AS n, CAST({_PR} AS BIGINT) AS tp, round({_PR} / count(*) FILTER (b = 'incorrect')::DOUBLE, 9) AS precision, round({_PR} / count(*) FILTER (a = 'incorrect')::DOUBLE, 9) AS recall FROM rated"""
+    f"""WITH {_RATED}, {draws_sql('rated', cls='0', resamples=RATERS)}, v AS (SELECT r, {_RATE('sum(w)')} FROM rated JOIN w USING (qid) GROUP BY r),
+    q AS (SELECT {', '.join(f"round(quantile_cont({m}, {at}), 9) AS {m}_{end}" for m in ('precision', 'recall') for at, end in ((0.025, 'low'), (0.975, 'high')))} FROM v),
+    p AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST({_PR.format(w='count(*)')} AS BIGINT) AS tp, {_RATE('count(*)')} FROM rated)
+    SELECT n, tp, round(precision, 9) AS precision, round(recall, 9) AS recall, q.* FROM p, q"""
 )
 def rule_precision_recall(spark: SparkSession, sf: str) -> DataFrame:
-    out = R.bootstrap_rule_accuracy(_rated(spark, sf), F.col("b") == "incorrect", F.col("a") == "incorrect", RESAMPLES, SEED)
-    return r9(out.select("n", "tp", "precision", "recall"), "precision", "recall")
+    ends = [f"{m}_{end}" for m in ("precision", "recall") for end in ("low", "high")]
+    out = R.bootstrap_rule_accuracy(_rated(spark, sf), F.col("b") == "incorrect", F.col("a") == "incorrect", RATERS, SEED)
+    return r9(out.select("n", "tp", "precision", "recall", *ends), "precision", "recall", *ends)
 
 
 @query(

@@ -66,7 +66,7 @@ def auroc_by_lang(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {SCORES}, e AS (SELECT * FROM {auroc_sql('stratum, signal')}), s AS (SELECT stratum, count(*) AS weight FROM wide GROUP BY 1)
-    SELECT signal, round(CASE WHEN count(auroc) = count(*) THEN sum(auroc * weight) / sum(weight) END, 9) AS auroc FROM e JOIN s USING (stratum) GROUP BY signal"""
+    SELECT signal, round(sum(auroc * weight) / sum(weight) FILTER (auroc IS NOT NULL), 9) AS auroc FROM e JOIN s USING (stratum) GROUP BY signal"""
 )
 def auroc_stratified(spark: SparkSession, sf: str) -> DataFrame:
     return r9(R.stratified_auroc(scores(spark, sf), "stratum"), "auroc")
