@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions.numeric import hash_index, hash_share
+from quillon.operators.quantiles import quantiles
 from quillon.operators.ranges import global_rank, rank_within
 from quillon.schema import ContractError, require_columns
 
@@ -35,8 +36,8 @@ def restrict_popular(df: DataFrame, column: str, quantile: float | None) -> Data
     if quantile is None:
         return df
     x = F.col(column).try_cast("double")
-    cut = df.agg(F.percentile(x, F.lit(float(quantile))).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).where(x >= F.col("_cut")).drop("_cut")  # one row
+    cut = quantiles(df.select(x.alias("x")), [], "x", [float(quantile)]).first()
+    return df.where(x >= F.lit(cut["quantiles"][0]) if cut else F.lit(False))
 
 
 def drop_ambiguous(df: DataFrame, question: str, subject: str) -> DataFrame:

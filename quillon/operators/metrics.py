@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.quantiles import quantiles
 from quillon.operators.ranges import checkpointed, running_sums
 from quillon.schema import usable
 
@@ -210,28 +211,19 @@ def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.when(spread > 0, spread))
 
 
-def _pairs(df: DataFrame, keys: list[str]) -> DataFrame:
-    a = df.where(usable(F.col("score"))).select(*keys, "qid", F.col("signal").alias("a"), F.col("score").alias("x"))
-    b = df.where(usable(F.col("score"))).select(*keys, "qid", F.col("signal").alias("b"), F.col("score").alias("z"))
-    return a.join(b, [*keys, "qid"]).where("a <= b")
-
-
 def spearman_matrix(df: DataFrame, keys: list[str] | None = None, least: int = 3) -> DataFrame:
     """(keys, a, b, n, rho) over rows that both signals have, ranked within the pair; null below ``least`` rows or for a constant."""
+    from quillon.operators.gram import rank_pairs
+
     keys = keys or []
-    by = [*keys, "a", "b"]
-    ranked = midranks(midranks(_pairs(df, keys), by, "x", "rx"), by, "z", "rz")
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson("rx", "rz").alias("rho"))
-    return out.withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
+    return rank_pairs(df, keys).select(*keys, "a", "b", "n", F.when(F.col("n") >= least, F.col("rho")).alias("rho"))
 
 
 def rank_identity(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, a, b, same, reversed): exact tests on ranks, free of rounding."""
-    keys = keys or []
-    by = [*keys, "a", "b"]
-    ranked = midranks(midranks(_pairs(df, keys), by, "x", "rx"), by, "z", "rz")
-    total = ranked.groupBy(*by).agg((F.count(F.lit(1)) + F.lit(1.0)).alias("total"))
-    return _join(ranked, total, by).groupBy(*by).agg(F.bool_and(F.col("rx") == F.col("rz")).alias("same"), F.bool_and(F.col("rx") + F.col("rz") == F.col("total")).alias("reversed"))
+    from quillon.operators.gram import rank_pairs
+
+    return rank_pairs(df, keys).select(*(keys or []), "a", "b", "same", "reversed")
 
 
 def _line(v: str, g: str) -> list[Column]:
@@ -262,7 +254,7 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, z: str, given: str,
 
 def strata_auroc(df: DataFrame, keys: list[str], length: str) -> DataFrame:
     """AUROC at or below and above the median length of each key; ties go below."""
-    med = rated(df).groupBy(*keys).agg(F.median(length).alias("_median"))
+    med = quantiles(rated(df), keys, length, [0.5]).select(*keys, F.col("quantiles")[0].alias("_median"))
     placed = _join(df, med, keys).withColumn("length_stratum", F.when(F.col(length) <= F.col("_median"), "at_or_below").otherwise("above"))
     return auroc(placed, [*keys, "length_stratum"])
 

@@ -12,6 +12,7 @@ from quillon.functions import text as T
 from quillon.operators import metrics as M
 from quillon.operators import resample as R
 from quillon.operators import signals as S
+from quillon.operators.gram import rank_pairs
 from quillon.operators.ranges import checkpointed, rank_within
 from quillon.schema import one_to_one
 
@@ -94,11 +95,10 @@ def distinct_ranking(scores: DataFrame, ranked: DataFrame, registry: DataFrame)
     Identity is tested on ranks. A declared pair that differs on three rows or
     more is a broken declaration and raises in ``assert_declared``.
     """
-    same = M.rank_identity(scores)
-    n = M.spearman_matrix(scores).select("a", "b", "n")
+    same = rank_pairs(scores)
     declared = registry.where("rank_equivalent_to is not null").select("signal", F.col("rank_equivalent_to").alias("of"))
     a, b = F.least("signal", "of"), F.greatest("signal", "of")
-    found = declared.withColumns({"a": a, "b": b}).join(same.join(n, ["a", "b"]), ["a", "b"], "left")
+    found = declared.withColumns({"a": a, "b": b}).join(same, ["a", "b"], "left")
     told = found.select("signal", F.coalesce((F.col("same") | F.col("reversed")) & (F.col("n") >= 3), F.lit(False)).alias("dropped"), (F.col("n") >= 3).alias("testable"))
     return ranked.join(F.broadcast(told), "signal", "left").fillna(False, ["dropped", "testable"])  # a row per signal
 
@@ -252,16 +252,19 @@ def ablation(rows: DataFrame, levels: list[int], greedy: str = "greedy_norm", sa
 
 
 def ablation_differences(scores: DataFrame, levels: list[int], options: Options = Options()) -> DataFrame:
-    """Paired tests of each level against the largest, and of neighbours, for each signal; Holm over all."""
+    """Paired tests of each level against the largest, and of neighbours, for each signal; Holm over all.
+
+    All contrasts are taken from one table of draws (``resample.contrast_tests``).
+    """
     levels = sorted(levels)
-    out = None
-    for low, high in sorted({*zip(levels, levels[1:], strict=False), *((x, levels[-1]) for x in levels[:-1])}):
-        for name in [r[0] for r in scores.select("signal").distinct().orderBy("signal").collect()]:  # a row per signal
-            pair = scores.where((F.col("signal") == name) & F.col("level").isin(low, high)).withColumn("signal", F.concat(F.lit("n"), F.col("level").cast("string")))
-            test = R.paired_auroc_diff(pair, f"n{high}", options.resamples, options.seed + low, level=options.level)
-            row = test.select(F.lit(name).alias("signal"), F.lit(low).alias("low"), F.lit(high).alias("high"), "delta", "ci_low", "ci_high", "p_value", "n_paired")
-            out = row if out is None else out.unionByName(row)
-    return R.holm(out.withColumn("position", F.concat_ws(":", "signal", "low", "high")), alpha=options.alpha).drop("position")
+    names = [r[0] for r in scores.select("signal").distinct().orderBy("signal").collect()]  # a row per signal
+    arm = lambda name, level: f"{name}@{level}"
+    asked = {f"{name}:{low:06d}:{high:06d}": (name, low, high) for low, high in sorted({*zip(levels, levels[1:], strict=False), *((x, levels[-1]) for x in levels[:-1])}) for name in names}
+    arms = scores.where(F.col("level").isin(levels)).withColumn("signal", F.concat_ws("@", "signal", "level"))
+    tests = R.contrast_tests(arms, [(key, arm(name, low), arm(name, high)) for key, (name, low, high) in asked.items()], options.resamples, options.seed, level=options.level)
+    part = F.split("contrast", ":")
+    placed = tests.withColumns({"signal": part[0], "low": part[1].cast("int"), "high": part[2].cast("int"), "position": F.col("contrast")})
+    return R.holm(placed.select("signal", "low", "high", "delta", "ci_low", "ci_high", "p_value", "n_paired", "position"), alpha=options.alpha).drop("position")
 
 
 def agreement_with_main(top: DataFrame, main: DataFrame, tolerance: float = 1e-9) -> DataFrame:
