@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -68,18 +73,80 @@ def rank_within(df: DataFrame, group: Column, order: list, name: str = "rank") -
     return ranked.join(first.withColumnRenamed("_group", "_g"), F.col("_group").eqNullSafe(F.col("_g"))).withColumn(name, F.col("_at") - F.col("_first")).drop("_group", "_g", "_at", "_first")
 
 
+def _cells(batch: pa.RecordBatch, columns: list[str]) -> list[np.ndarray]:
+    return [pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False) for c in columns]
+
+
+def _starts(gid: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
+
+
+def _edges(columns: list[str]):
+    """Of a sorted partition: its first and last key, and the sums of the last key's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        sums: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid = batch.column("_gid").to_numpy()
+            first = int(gid[0]) if first is None else first
+            at = _starts(gid)[-1]
+            fresh = [x[at:].sum() for x in _cells(batch, columns)]
+            sums = [a + b for a, b in zip(sums, fresh, strict=True)] if at == 0 and gid[0] == last else fresh
+            last = int(gid[-1])
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first]), pa.array([last]), *[pa.array([x]) for x in sums]], names=["part", "first", "last", *[f"s{i}" for i in range(len(sums))]])
+
+    return run
+
+
+def _inside(columns: list[str], names: list[str], before: dict[int, tuple[int, list]]):
+    """Running sums of a sorted partition's rows, from what its first key has in earlier ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, carry = before.get(TaskContext.get().partitionId(), (None, []))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid = batch.column("_gid").to_numpy()
+            at = _starts(gid)
+            sizes = np.diff(np.r_[at, len(gid)])
+            out = []
+            for i, x in enumerate(_cells(batch, columns)):
+                total = np.cumsum(x)
+                base = np.r_[0, total[at[1:] - 1]]
+                base[0] -= carry[i] if gid[0] == key else 0
+                out.append(total - np.repeat(base, sizes))
+            key, carry = int(gid[-1]), [x[-1] for x in out]
+            kept = [i for i, n in enumerate(batch.schema.names) if n not in ("_gid", "_one")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *[pa.array(x) for x in out]], names=[*[batch.schema.names[i] for i in kept], *names])
+
+    return run
+
+
 def running_sums(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """Add ``k``, the 1-based place of a row within its keys by a total order, and ``<column>_so_far``, the sum up to and with it.
+    """Add ``k``, the 1-based place of a row within its keys by a total order, and ``<column>_so_far``, the sum up to and with it (nulls add nothing).
 
-    A task sums one range partition; the partitions' totals are a row per
-    partition and key.
+    One shuffle: rows are range-partitioned and sorted, and a task sums them where
+    they lie. Only the first key of a partition can have rows in an earlier one, so
+    what is carried is one row per partition.
     """
-    stored = range_sorted(df.withColumn("_one", F.lit(1)), [*keys, *order]).withColumn("_pid", F.spark_partition_id())
+    whole = ("tinyint", "smallint", "int", "bigint")
+    typed = {c: F.col(c).cast("long" if df.schema[c].dataType.simpleString() in whole else "double") for c in columns}
+    stored = range_sorted(df.withColumns({**typed, "_one": F.lit(1).cast("long"), "_gid": F.xxhash64(F.lit(0), *keys)}), [*keys, *order])
     sums = ["_one", *columns]
-    key = F.struct(F.lit(0), *[F.col(c) for c in keys])
-    totals = stored.groupBy("_pid", key.alias("_key")).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    earlier = Window.partitionBy("_key").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("_pid").alias("_p"), F.col("_key").alias("_k"), *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums])
-    inside = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = stored.withColumn("_key", key).join(starts, (F.col("_pid") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k")))
-    return placed.withColumns({name: F.col(f"_{c}") + F.sum(c).over(inside) for c, name in zip(sums, ["k", *[f"{c}_so_far" for c in columns]], strict=True)}).drop("_pid", "_p", "_key", "_k", *sums[:1], *[f"_{c}" for c in sums])
+    kinds = [stored.schema[c].dataType.simpleString() for c in sums]
+    told = stored.select("_gid", *sums).mapInArrow(_edges(sums), ", ".join(["part int, first long, last long", *[f"s{i} {k}" for i, k in enumerate(kinds)]])).collect()  # a row per partition
+    before: dict[int, tuple[int, list]] = {}
+    key, carry = None, [0] * len(sums)
+    for r in sorted(told, key=lambda r: r["part"]):
+        if r["first"] == key:
+            before[r["part"]] = (key, carry)
+        own = [r[f"s{i}"] for i in range(len(sums))]
+        carry = [a + b for a, b in zip(carry, own, strict=True)] if r["last"] == key else own
+        key = r["last"]
+    names = ["k", *[f"{c}_so_far" for c in columns]]
+    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema if f.name not in ("_gid", "_one")], *[f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)]])
+    return stored.mapInArrow(_inside(sums, names, before), shape)

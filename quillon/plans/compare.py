@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import numeric as N
 from quillon.operators import resample as R
 from quillon.operators.labels import cohens_kappa
+from quillon.operators.runs import first_stops
 
 
 def compare_signals(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -156,7 +157,4 @@ def recovered_verdicts(sample: DataFrame, cache: DataFrame, key: Column) -> Data
 
 def consecutive_failures(replies: DataFrame, order: str, most: int = 5) -> DataFrame:
     """Where a run of failed calls first reaches the limit, by judge: the place at which asking stops."""
-    w = Window.partitionBy("judge").orderBy(order)
-    group = replies.withColumn("_ok", F.sum(F.col("failed").cast("int") * -1 + 1).over(w))
-    runs = group.withColumn("run", F.sum(F.col("failed").cast("int")).over(Window.partitionBy("judge", "_ok").orderBy(order)))
-    return runs.where(F.col("run") >= most).groupBy("judge").agg(F.min(order).alias("stopped_at"))
+    return first_stops(replies, order, most)
