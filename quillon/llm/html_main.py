@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -40,12 +41,17 @@ FURNITURE = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar sidebars aside widget widgets related recommended share sharing social footer header masthead "
     "comment comments respond replies disqus subscribe newsletter signup login search contentinfo complementary form skip toolbar tags toc".split()
 )
+#: No alternative gives anything back, so a page takes time in proportion to its length however its tags are broken; a tag that a page's end cuts off is no text.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?+)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[/a-zA-Z][^<>]*+\Z", re.S
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Words that name what readers say, which is never the article.
+COMMENTS = frozenset("comment comments respond replies disqus".split())
+#: Prime and base of the running hash over blocks.
+_PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E687
 _ABOUT = frozenset("has no not with without is".split())  # "has-sidebar" speaks of a sidebar elsewhere
 
 
@@ -65,38 +71,79 @@ def _furniture(tag: str, attributes: str) -> bool:
     return False
 
 
+def _of_readers(attributes: str) -> bool:
+    return any(w in COMMENTS for _, value in _NAMES.findall(attributes) for w in _WORD.findall(value.lower()))
+
+
 class Page:
     """Blocks of text in page order, each with what it stands in, and the subtrees that hold them.
 
     ``blocks`` are (text, in main element, in furniture); ``subtrees`` are
     (first block, end block, hash, in main element) of all elements that hold
     text, furniture included.
+
+    Names mislead where they speak of a whole layout ("content-with-sidebar", a
+    form around the page). Where they leave less than a quarter of a page, an
+    element of such a name (or a form) that holds more than half of the page's
+    text is no furniture, if an article is marked in or around it or nothing at
+    all is left; what is named after readers' comments always is.
     """
 
     def __init__(self, text: str | None) -> None:
         self.blocks: list[tuple[str, bool, bool]] = []
         self.subtrees: list[tuple[int, int, int, bool]] = []
         self._piece: list[str] = []
-        self._stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, no text, furniture, main, first block
+        self._stack: list[tuple[str, bool, bool, bool, int, str, bool]] = []  # tag, no text, furniture, main, first block, its own furniture, marks an article
+        self._named: list[tuple[int, int, str]] = []  # furniture of its own: first block, end block, kind
+        self._marked: list[tuple[int, int]] = []
+        self._running = [0]
         if text:
             self._read(text)
+            self._relieve()
+
+    def _relieve(self) -> None:
+        chars = [0]
+        for t, *_ in self.blocks:
+            chars.append(chars[-1] + len(t))
+        left = sum(len(t) for t, _, out in self.blocks if not out)
+        if 4 * left >= chars[-1]:
+            return
+        near = lambda a, b: not left or any(a <= x and y <= b or x <= a and b <= y for x, y in self._marked)
+        large = {(a, b, kind) for a, b, kind in self._named if kind == "name" and 2 * (chars[b] - chars[a]) > chars[-1] and near(a, b)}
+        if large:
+            covered = lambda spans: list(accumulate(self._steps(spans)))
+            out, main = covered([(a, b) for a, b, kind in self._named if (a, b, kind) not in large]), covered(self._marked)
+            self.blocks = [(t, main[i] > 0, out[i] > 0) for i, (t, _, _) in enumerate(self.blocks)]
+
+    def _steps(self, spans: list[tuple[int, int]]) -> list[int]:
+        steps = [0] * (len(self.blocks) + 1)
+        for a, b in spans:
+            steps[a] += 1
+            steps[b] -= 1
+        return steps
 
     def _flush(self) -> None:
         if self._piece:
             text = " ".join(html.unescape("".join(self._piece)).split())
             self._piece = []
             if text:
-                _, _, out, main, _ = self._stack[-1] if self._stack else ("", False, False, False, 0)
+                out, main = self._stack[-1][2:4] if self._stack else (False, False)
                 self.blocks.append((text, main, out))
+                self._running.append((self._running[-1] * _BASE + xxhash.xxh64_intdigest(text)) % _PRIME)
 
     def _pop(self, depth: int) -> None:
         while len(self._stack) > depth:
-            tag, mute, out, main, first = self._stack[-1]
+            tag, mute, out, main, first, own, marks = self._stack[-1]
             if tag not in INLINE or out and not (len(self._stack) > 1 and self._stack[-2][2]):
                 self._flush()
                 if not mute and len(self.blocks) > first and tag not in ("html", "body"):
-                    content = "\x1f".join(b[0] for b in self.blocks[first:])
-                    self.subtrees.append((first, len(self.blocks), xxhash.xxh64_intdigest(f"{tag}\x1e{main}\x1e{content}") - (1 << 63), main))
+                    content = (self._running[-1] - self._running[first] * pow(_BASE, len(self.blocks) - first, _PRIME)) % _PRIME
+                    self.subtrees.append((first, len(self.blocks), xxhash.xxh64_intdigest(f"{tag}\x1e{main}\x1e{len(self.blocks) - first}\x1e{content}") - (1 << 63), main))
+            if len(self.blocks) > first:
+                if own:
+                    self._named.append((first, len(self.blocks), own))
+                if marks:
+                    self._marked.append((first, len(self.blocks)))
             self._stack.pop()
 
     def _read(self, text: str) -> None:
@@ -116,7 +163,8 @@ class Page:
             if found.group(1):
                 self._close(tag)
                 continue
-            self._open(tag, found.group(3) or "", bool(found.group(4)))
+            attributes = found.group(3) or ""
+            self._open(tag, attributes, attributes.endswith("/"))
             if tag in RAW:
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
                 at = stop.start() if stop else end
@@ -150,11 +198,16 @@ class Page:
         mute, out, main = self._stack[-1][1:4] if self._stack else (False, False, False)
         inside = out
         mute = mute or tag in NO_TEXT
-        out = out or mute or _furniture(tag, attributes)
-        main = main or (not out and (tag in ("article", "main") or "articlebody" in attributes.lower()))
+        own = ""
+        if _furniture(tag, attributes):
+            by_name = (tag not in ASIDE or tag == "form") and not _HIDDEN.search(attributes) and not _of_readers(attributes)
+            own = "name" if by_name else "always"
+        out = out or mute or bool(own)
+        marks = tag in ("article", "main") or "articlebody" in attributes.lower()
+        main = main or (not out and marks)
         if out and not inside:
             self._flush()
-        self._stack.append((tag, mute, out, main, len(self.blocks)))
+        self._stack.append((tag, mute, out, main, len(self.blocks), own, marks and own != "always"))
 
     def _close(self, tag: str) -> None:
         for depth in range(len(self._stack) - 1, -1, -1):
@@ -232,7 +285,9 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     Where a page marks its article (``article``, ``main`` or an article body)
     the text is taken from there, else from the body. Character references are
     decoded, white space inside a block becomes one space, blocks are joined
-    in page order by one space. A null or empty page has an empty text; a page
+    in page order by one space. A page of any length, however broken its tags, is
+    read once from start to end; a tag that the page's end cuts off is no text.
+    A null or empty page has an empty text; a page
     with a null URL belongs to the host of no name; repeated rows each return
     a row; an empty table gives an empty result; other columns are ignored.
     ``thresholds`` are those of ``site_templates``.

@@ -404,6 +404,44 @@ def test_html():
     assert page("<p>a<!-- <p>b</p> -->c</p><style>p{}</style><![CDATA[z]]><title>t</title>") == "ac"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content-with-sidebar"><article><p>real text here</article></div>',
+        '<div id="layout-sidebar-right"><main><p>real text here</main></div>',
+        '<article><div class="entry-content social-share-enabled"><p>real text here</div></article>',
+        '<form id="aspnetForm"><article><p>real text here</article></form>',
+        '<div class="page footer-fixed"><p>real text here</p></div>',
+        '<div class="wrap-nav-open"><nav>home about</nav><article><h1>real</h1><p>text here<aside>buy</aside></article><div class="comments"><article>me too</article></div></div>',
+    ],
+)
+def test_articles_under_compound_names(page):
+    assert html_main.Page(page).main_text() == "real text here"
+    body = "a long body " * 9
+    assert html_main.Page(f'<article><h1>title</h1><div class="post share-bar-left">{body}</div></article>').main_text() == f"title {body}".strip()
+
+
+def test_what_readers_say_is_no_article():
+    assert html_main.Page('<div class="comments"><article>long long long words of a reader</article></div><p>hm</p>').main_text() == "hm"
+    assert html_main.Page('<aside><article>teaser teaser teaser</article></aside>').main_text() == ""
+
+
+def test_pages_cut_anywhere_and_broken_tags_end():
+    import time
+
+    page = '<html><body class="a"><article id=\'x\'><p title="a b">real &amp; text</p><img ' + " ".join(f'a{i}="v{i}"' for i in range(30)) + "></article><!-- c --></body></html>"
+    began = time.time()
+    for end in range(len(page) + 1):
+        text = html_main.Page(page[:end]).main_text().rstrip("<")  # a last "<" may be text
+        assert "real & text".startswith(text.rstrip("&amp;")) or text.startswith("real")
+        assert "v1" not in text and "a1" not in text
+    assert html_main.Page('<p title="a > b">real</p>').main_text() == "real"
+    for part in ("<a", '<a "', "<a '", '<img a="b" ', "<!", "<!-", "</", "<div><", '"', "<div>x", '<b "x>'):
+        html_main.Page(part * 20000)
+        html_main.Page("<article>ok</article>" + part * 20000)
+    assert time.time() - began < 30
+
+
 def test_site_templates(spark):
     rows = [(i, "http://a.org/x" if i < 8 else f"http://b.org/{i}", f"<body><div><p>Subscribe to our letter</p></div><p>text {i}</p><p>{'quoted' if i % 2 else i}</p></body>") for i in range(10)]
     rows += [(20 + i, "http://copy.org/", "<body><p>one page</p></body>") for i in range(9)] + [(40, None, "<p>x</p>"), (41, "http://a.org", None), (42, "http://a.org", rows[0][2])]
