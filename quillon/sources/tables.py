@@ -78,9 +78,9 @@ def write_checkpoint(df: DataFrame, path: str) -> None:
 
 
 def append_checkpoint(df: DataFrame, path: str, key: str = "qid") -> DataFrame:
-    """Add the rows whose key is not stored yet; a repeated run adds nothing."""
+    """Add the rows whose key is not stored yet; a repeated run adds nothing, a stage that cannot be read raises."""
     spark = df.sparkSession
-    done = read_checkpoint(spark, path)
+    done = read_checkpoint(spark, path, strict=True)
     fresh = df if done is None else df.join(done.select(key), key, "left_anti")
     fresh.dropDuplicates([key]).write.mode("append").parquet(path)
     return spark.read.parquet(path)

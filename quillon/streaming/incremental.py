@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon.operators.metrics import auroc_from, histogram
-from quillon.sources.tables import read_checkpoint, write_checkpoint
+from quillon.sources.delta import DeltaLog
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -31,28 +31,25 @@ def merge_histogram(state: DataFrame | None, batch: DataFrame, keys: list[str])
     return both.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def _log(spark: SparkSession, state_path: str, keys: list[str]) -> DeltaLog:
+    return DeltaLog(spark, state_path, lambda df: df.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+
+
 def incremental_leaderboard(scores: DataFrame, state_path: str, checkpoint: str, keys: list[str] | None = None) -> StreamingQuery:
     """Keep the score histogram of a stream; a batch that is delivered again changes nothing.
 
-    The state stores the number of the last batch it holds.
+    Each batch writes its own histogram to a log (``sources/delta.py``), whatever
+    came before it.
     """
     keys = keys or ["signal"]
-    spark = scores.sparkSession
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        stored = read_checkpoint(spark, state_path, strict=True)  # history that cannot be read must not be started anew
-        if stored is not None and stored.agg(F.max("batch")).first()[0] >= number:
-            return
-        old = None if stored is None else stored.drop("batch")
-        merged = merge_histogram(old, batch, keys).withColumn("batch", F.lit(number).cast("long"))
-        write_checkpoint(merged, state_path)
-
-    return scores.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    log = _log(scores.sparkSession, state_path, keys)
+    return scores.writeStream.foreachBatch(lambda batch, number: log.append(histogram(batch, keys), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def leaderboard(spark: SparkSession, state_path: str, keys: list[str] | None = None) -> DataFrame:
-    """AUROC of what the stream has delivered so far."""
-    stored = read_checkpoint(spark, state_path, strict=True)
+    """AUROC of what the stream has delivered so far; a log that cannot be read raises."""
+    keys = keys or ["signal"]
+    stored = _log(spark, state_path, keys).read()
     if stored is None:
         raise ValueError(f"no state at {state_path}")
-    return auroc_from(stored.drop("batch"), keys or ["signal"])
+    return auroc_from(stored, keys)
