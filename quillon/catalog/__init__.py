@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from quillon.catalog import features, questions, ranking, inference, audits  # noqa: E402,F401,I001
+from quillon.catalog import features, questions, ranking, inference, audits, extended  # noqa: E402,F401,I001

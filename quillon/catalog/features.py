@@ -210,12 +210,20 @@ _COSTED = ", ".join(f"('{c.name}', '{c.name[0].upper()}')" for c in S.catalog())
 
 
 @query(
-    f"""WITH r AS (SELECT col0 AS signal, col1 AS family, CASE col1 WHEN 'B' THEN 5.0 WHEN 'C' THEN 1.0 ELSE 0.0 END::DOUBLE AS extra FROM (VALUES {_COSTED}))
-    SELECT signal, family, 1 + extra AS cost_multiplier, extra AS extra_model_calls, CASE family WHEN 'B' THEN 300.0 WHEN 'C' THEN NULL ELSE 0.0 END::DOUBLE AS extra_tokens,
-           (1 + CASE family WHEN 'B' THEN 300.0 WHEN 'C' THEN NULL ELSE 0.0 END / 60.0)::DOUBLE AS token_multiplier, (extra + CASE WHEN family = 'B' THEN 0.5 ELSE 0.0 END)::DOUBLE AS extra_seconds FROM r"""
+    f"""WITH m AS (SELECT avg(length(text)) FILTER (turn % 2 = 0) AS g, avg(length(text)) FILTER (turn % 2 <> 0) AS s FROM conversations), t AS (SELECT avg(value) AS v FROM events),
+    r AS (SELECT col0 AS signal, col1 AS family, CASE col1 WHEN 'B' THEN 5.0 WHEN 'C' THEN 1.0 ELSE 0.0 END::DOUBLE AS extra FROM (VALUES {_COSTED}))
+    SELECT signal, family, 1 + extra AS cost_multiplier, extra AS extra_model_calls, round(CASE family WHEN 'B' THEN 5 * s WHEN 'C' THEN NULL ELSE 0.0 END::DOUBLE, 6) AS extra_tokens,
+           round((1 + CASE family WHEN 'B' THEN 5 * s WHEN 'C' THEN NULL ELSE 0.0 END / g)::DOUBLE, 6) AS token_multiplier, round((v * extra + CASE WHEN family = 'B' THEN v / 10 ELSE 0.0 END)::DOUBLE, 6) AS extra_seconds FROM r, m, t"""
 )
 def signal_costs(spark: SparkSession, sf: str) -> DataFrame:
-    return L.cost_table(S.catalog_table(spark), 5, greedy_tokens=60.0, sample_tokens=60.0, generate_s=1.0, family_b_s=0.5)
+    """Costs of the registered signals at the mean lengths of the conversations' turns and the mean value of the events as seconds."""
+    made = F.struct(F.lit(0).alias("prompt_tokens"), F.length("text").alias("completion_tokens"))
+    none = F.array().cast("array<struct<prompt_tokens:int,completion_tokens:int>>")
+    rows = table(spark, sf, "conversations").select(F.when(F.col("turn") % 2 == 0, made).alias("greedy"), F.when(F.col("turn") % 2 != 0, F.array(made)).otherwise(none).alias("samples"))
+    tokens = {r["kind"]: r["mean_tokens"] for r in L.token_means(rows).collect()}  # two rows
+    seconds = table(spark, sf, "events").agg(F.avg("value")).first()[0]
+    out = L.cost_table(S.catalog_table(spark), 5, greedy_tokens=tokens.get("greedy"), sample_tokens=tokens.get("sample"), generate_s=seconds, family_b_s=seconds / 10 if seconds is not None else None)
+    return out.withColumns({c: F.round(c, 6) for c in ("extra_tokens", "token_multiplier", "extra_seconds")})
 
 
 @query(

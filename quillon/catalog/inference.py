@@ -125,16 +125,16 @@ def label_delta(spark: SparkSession, sf: str) -> DataFrame:
     return r9(R.label_delta(scores(spark, sf), "y", "toxic", RESAMPLES, SEED).select("signal", "delta", "ci_low", "ci_high"), "delta", "ci_low", "ci_high")
 
 
-_P = "(l_orderkey % 997) / 9970.0::DOUBLE"
+_P = "((l_orderkey + 7 * l_linenumber) % 997) / 9970.0::DOUBLE"
 
 
 @query(
-    f"""WITH f AS (SELECT l_orderkey AS k, {_P} AS p FROM lineitem WHERE l_linenumber = 1), r AS (SELECT k, p, row_number() OVER (ORDER BY p, k) AS rn, count(*) OVER () AS m FROM f),
+    f"""WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS k, {_P} AS p FROM lineitem), r AS (SELECT k, p, row_number() OVER (ORDER BY p, k) AS rn, count(*) OVER () AS m FROM f),
     h AS (SELECT k, p, least(1.0, max((m - rn + 1) * p) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING)) AS a FROM r) SELECT k, round(a, 9) AS p_holm, a <= 0.05 AS significant FROM h"""
 )
 def holm_adjust(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole family of first lines."""
-    f = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("k"), (F.col("l_orderkey") % 997 / F.lit(9970.0)).alias("p"))
+    """All lines are one family."""
+    f = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), ((F.col("l_orderkey") + 7 * F.col("l_linenumber")) % 997 / F.lit(9970.0)).alias("p"))
     return r9(R.holm(f, "p", "k", spread=64).select("k", "p_holm", F.col("significant_p_holm").alias("significant")), "p_holm")
 
 

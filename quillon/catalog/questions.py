@@ -83,8 +83,7 @@ def popularity_quantile_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def relation_in_filter(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
-    return o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "o_orderpriority")
+    return D.restrict_categories(table(spark, sf, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"]).select("o_orderkey", "o_orderpriority")
 
 
 @query(

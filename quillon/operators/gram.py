@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.metrics import midranks
+from quillon.operators.ranges import checkpointed
 from quillon.schema import usable
 
 
@@ -72,6 +73,7 @@ def rank_pairs(scores: DataFrame, keys: list[str] | None = None, *, row: str = "
     if not names:
         return spark.createDataFrame([], shape)
     wide = ok.groupBy(*keys, row).agg(F.map_from_entries(F.collect_list(F.struct("signal", F.col("score").cast("double").alias("score")))).alias("m"))  # a score per signal
+    wide = checkpointed(wide)
     has = [F.coalesce(F.map_contains_key("m", F.lit(s)), F.lit(False)) for s in names]
     mask = F.concat(*[F.when(h, "1").otherwise("0") for h in has])
     masks = wide.groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*keys, row).cast("decimal(38,0)")).alias("h"))

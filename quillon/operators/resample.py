@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.draws import Draws, classes, draws_of, hashes, unit_hash
 from quillon.operators.metrics import _join, auroc_from, average_precision_from, histogram, rated, running, running_max, usable
-from quillon.operators.ranges import partitions_for, range_sorted
+from quillon.operators.ranges import checkpointed, partitions_for, range_sorted
 
 #: Resamples whose sums travel in one row.
 BLOCK = 256
@@ -200,6 +200,9 @@ def auroc_draws(scores: DataFrame, resamples: int, seed: int, by: list[str], key
     bits = sum((F.when(F.col(c), 1 << i).otherwise(0) for i, c in enumerate(sides)), F.lit(0))
     keep = ["gid", F.col("score").cast("double").alias("score"), bits.cast("int").alias("y"), F.col(sides[-1]).alias("cls"), *dict.fromkeys([key, *(["qid"] if clusters else [])])]
     rows, units = _units(rows.select(*keep), key, seed, clusters)
+    if not clusters:
+        rows = checkpointed(rows.select("gid", "score", "y", "cls", "h"))  # read again for each step of the search
+        units = rows.select("gid", "cls", "h")
     if members is not None:
         units = _units(_named(members.where(F.col("y").isNotNull()), by)[0].withColumn("cls", F.col("y")), key, seed, False)[1]
     out = None
@@ -354,6 +357,7 @@ def average_precision_draws(scores: DataFrame, resamples: int, seed: int, by: li
     keep = ["gid", (-F.col("score").cast("double")).alias("score"), F.col("y").cast("int").alias("y"), F.col("y").alias("cls"), *dict.fromkeys([key, *(["qid"] if clusters else [])])]
     rows, units = _units(rows.select(*keep), key, seed, clusters)
     stored = range_sorted(rows.select("gid", "score", "y", "cls", "h"), ["gid", "score", "h"])
+    units = units if clusters else stored.select("gid", "cls", "h")
     parts = stored.select("gid", F.spark_partition_id().alias("part")).distinct().count()  # a row per group and partition
     width = max(1, min(resamples, _MOST // max(1, parts) // 8))
     out = None
@@ -424,6 +428,7 @@ def contrast_tests(scores: DataFrame, contrasts: list[tuple[str, str, str]], res
     unit = "cluster_id" if clusters else "qid"
     keep = ["qid", "y", *(["cluster_id"] if clusters else [])]
     wide = rated(scores).groupBy(*keep).agg(F.map_from_entries(F.collect_list(F.struct(F.col(arm).alias("arm"), F.col("score").cast("double").alias("score")))).alias("m"))  # a score per arm
+    wide = checkpointed(wide)
     has = lambda name: F.coalesce(F.map_contains_key("m", F.lit(name)), F.lit(False))
     there = F.filter(F.array(*[F.when(has(a) & has(b), F.lit(i)) for i, (_, a, b) in enumerate(contrasts)]), lambda i: i.isNotNull())
     each = wide.select("qid", F.explode(there).alias("c"))
@@ -447,7 +452,8 @@ def contrast_tests(scores: DataFrame, contrasts: list[tuple[str, str, str]], res
         return table.join(a, "_a").join(b, ["_b", *by]).select("contrast", *by, "n_paired", (F.col("_a_value") - F.col("_b_value")).alias("d"))
 
     point = less(auroc_from(histogram(rows, ["job"]), ["job"])).withColumnRenamed("d", "delta")
-    draws = less(auroc_draws(rows, resamples, seed, ["job"], unit, clusters=clusters), "r").where("d is not null").select("contrast", "r", "d")
+    drawn = checkpointed(auroc_draws(rows, resamples, seed, ["job"], unit, clusters=clusters))  # a row per arm and resample
+    draws = less(drawn, "r").where("d is not null").select("contrast", "r", "d")
     tails = draws.join(point.select("contrast", "delta"), "contrast").groupBy("contrast").agg(
         F.sum(F.when(F.col("delta") >= 0, F.col("d") <= 0).otherwise(F.col("d") >= 0).cast("long")).alias("tail"), F.count(F.lit(1)).alias("total")
     )

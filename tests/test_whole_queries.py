@@ -24,8 +24,9 @@ def holm(ps):
 
 
 def test_holm_of_all_lines(spark):
-    keys = [r[0] for r in table(spark, SF, "lineitem").where("l_linenumber = 1").select("l_orderkey").collect()]
-    want = holm([(k, k % 997 / 9970.0) for k in keys])
+    lines = [tuple(r) for r in table(spark, SF, "lineitem").select("l_orderkey", "l_linenumber").collect()]
+    keys = [k * 10 + line for k, line in lines]
+    want = holm([(k * 10 + line, (k + 7 * line) % 997 / 9970.0) for k, line in lines])
     rows = QUERIES["holm_adjust"](spark, SF).collect()
     got = {r["k"]: (r["p_holm"], r["significant"]) for r in rows}
     assert sorted(r["k"] for r in rows) == sorted(keys) and max(keys) > 400
