@@ -184,15 +184,21 @@ def rule_precision_recall(spark: SparkSession, sf: str) -> DataFrame:
     return r9(out.select("n", "tp", "precision", "recall", *ends), "precision", "recall", *ends)
 
 
+_FILLED = "CASE WHEN doc_id % 3 = 0 THEN ' ' WHEN quality = 0 THEN 'incorrect' ELSE 'correct' END"
+
+
 @query(
-    f"""WITH {SCORES}, g AS (SELECT stratum, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM wide GROUP BY 1)
+    f"""WITH {SCORES}, g AS (SELECT stratum, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM wide GROUP BY 1), f AS (SELECT avg((trim({_FILLED}) <> '')::INT) AS c FROM labels)
     SELECT 'minimum_rows_per_class' AS name, least(sum(p), sum(n)) >= 30 AS passed FROM g UNION ALL SELECT 'per_dataset_class_counts', bool_and(least(p, n) >= 30) FROM g
-    UNION ALL SELECT 'abstention_rate_below_ceiling', count(*) FILTER (toxic) / count(*)::DOUBLE < 0.10 FROM wide UNION ALL SELECT 'labeling_protocol_validated', false UNION ALL SELECT 'human_label_coverage', false"""
+    UNION ALL SELECT 'abstention_rate_below_ceiling', count(*) FILTER (toxic) / count(*)::DOUBLE < 0.10 FROM wide UNION ALL SELECT 'labeling_protocol_validated', c >= 0.5 FROM f UNION ALL SELECT 'human_label_coverage', c >= 0.8 FROM f
+    UNION ALL SELECT 'random_baseline_ci_contains_chance', ci_low <= 0.5 AND ci_high >= 0.5 FROM ({ORACLE_SQL['bootstrap_auroc_ci_hash']}) WHERE signal = 'random'"""
 )
 def validity_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """All six gates; people have filled two thirds of the labelling file."""
     w = wide_scores(spark, sf).withColumns({"dataset": F.col("stratum"), "label": F.when(F.col("toxic"), "abstain").otherwise("correct")})
-    none = spark.createDataFrame([], "signal string, auroc double, ci_low double, ci_high double")
-    return G.evaluate(w, w, none).where(F.col("name") != "random_baseline_ci_contains_chance").select("name", "passed")
+    people = table(spark, sf, "labels").select(F.expr(_FILLED).alias("human_label"))
+    ends = R.bootstrap_auroc(scores(spark, sf), RESAMPLES, SEED).withColumn("signal", F.when(F.col("signal") == "random", G.RANDOM_SIGNAL).otherwise(F.col("signal")))
+    return G.evaluate(w, w, ends, protocol=people, fuzzy=people).select("name", "passed")
 
 
 @query(
@@ -231,7 +237,7 @@ def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     s = scores(spark, sf)
     board = L.metrics_table(s, [])
     ci = R.bootstrap_auroc(s, RESAMPLES, SEED).select("signal", "ci_low", "ci_high", "resamples")
-    out = board.join(ci, "signal").join(L.ranking(s, []).select("signal", "rank"), "signal")
+    out = L.ranked(board.join(ci, "signal"), [])
     return r9(out, "auroc", "average_precision", "aurc", "base_rate", "coverage_at_target", "ci_low", "ci_high")
 
 

@@ -175,14 +175,22 @@ def _spaced(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+_SIZE = "len(list_filter(string_split({x}, ' '), lambda t: t <> ''))"
+
+
 @query(
-    f"""WITH d AS (SELECT doc_id, source, lang, {_ALIASES} AS al FROM documents)
-    SELECT source, CAST(count(*) AS BIGINT) AS candidates, round(avg(len(al)), 3) AS mean_aliases, CAST(median(len(al)) AS DOUBLE) AS median_aliases,
-           round(avg(CAST(len(al) = 1 AS DOUBLE)), 3) AS single_alias_fraction, arg_min(lang, doc_id) AS example FROM d GROUP BY source"""
+    f"""WITH d AS (SELECT doc_id, source, text, string_split(text, ' ') AS al FROM documents), e AS (SELECT doc_id, source, al[1:6] AS al, array_to_string(al[4:9], ' ') AS question FROM d WHERE text IS NOT NULL), w AS (SELECT *, unnest(al) AS a FROM e),
+    p AS (SELECT doc_id, list({_spaced('a')}) AS plain FROM w GROUP BY doc_id), f AS (SELECT e.*, coalesce(plain, []) AS plain, {_spaced('question')} AS q FROM e LEFT JOIN p USING (doc_id)),
+    g AS (SELECT *, len(list_filter(plain, lambda a: a <> '' AND contains(' ' || q || ' ', ' ' || a || ' '))) > 0 AS leak,
+      len(list_filter(plain, lambda a: len(list_filter(plain, lambda b: a <> b AND ({_SIZE.format(x='a')} - {_SIZE.format(x='b')} > 2 OR (b <> '' AND contains(' ' || a || ' ', ' ' || b || ' '))))) > 0)) > 0 AS granular FROM f)
+    SELECT source, CAST(count(*) AS BIGINT) AS candidates, round(avg(len(al)), 3) AS mean_aliases, CAST(median(len(al)) AS DOUBLE) AS median_aliases, round(avg(CAST(len(al) = 1 AS DOUBLE)), 3) AS single_alias_fraction,
+           round(avg(CAST(leak AS DOUBLE)), 3) AS leak_fraction, round(avg(CAST(granular AS DOUBLE)), 3) AS granularity_fraction, arg_min(question, doc_id) AS example FROM g GROUP BY source"""
 )
 def gold_quality(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "source", F.col("lang").alias("question"), F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("gold_answers"))
-    return D.gold_quality(d, "source", "doc_id").select("source", "candidates", F.round("mean_aliases", 3).alias("mean_aliases"), F.col("median_aliases").cast("double"), "single_alias_fraction", "example")
+    """A document's first words as aliases, the words around them as the question."""
+    words = F.split("text", " ")
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "source", F.array_join(F.slice(words, 4, 6), " ").alias("question"), F.slice(words, 1, 6).alias("gold_answers"))
+    return D.gold_quality(d, "source", "doc_id").select("source", "candidates", F.round("mean_aliases", 3).alias("mean_aliases"), F.col("median_aliases").cast("double"), "single_alias_fraction", "leak_fraction", "granularity_fraction", "example")
 
 
 _ASKED = "'What is ' || n_name || ' the capital of?'"

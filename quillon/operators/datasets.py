@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions.numeric import hash_index, hash_share
 from quillon.operators.quantiles import quantiles
-from quillon.operators.ranges import global_rank, rank_within
+from quillon.operators.ranges import global_rank, rank_within, running_sums
 from quillon.schema import ContractError, require_columns
 
 # Relations whose questions hold the answer's counterpart.
@@ -250,8 +250,7 @@ def stratified_folds(df: DataFrame, folds: int, seed: int, y: str = "y", key: st
 
 def length_buckets(df: DataFrame, length: str, cap: int, position: str) -> DataFrame:
     """Batches of equal length, at most ``cap`` rows each: no padding in a batch."""
-    w = Window.partitionBy(length).orderBy(position)
-    return df.withColumn("bucket", F.floor((F.row_number().over(w) - 1) / cap).cast("int"))
+    return running_sums(df, [length], [position], []).withColumn("bucket", F.floor((F.col("k") - 1) / cap).cast("int")).drop("k")
 
 
 def row_set_digest(df: DataFrame, key: str = "qid") -> DataFrame:

@@ -29,6 +29,13 @@ def histogram(df: DataFrame, keys: list[str], weight: Column | None = None) -> D
     return rated(df).groupBy(*keys, "score").agg(F.sum(F.when(F.col("y"), w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y"), 0).otherwise(w)).alias("neg"))
 
 
+def stored(hist: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """A histogram in the shared folder, and into how many ranges its largest key is to be cut."""
+    hist = checkpointed(hist)
+    most = hist.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return hist, -(-most // MOST_SCORES)
+
+
 def running(hist: DataFrame, keys: list[str], columns: list[str], *, descending: bool = False, spread: int | None = None) -> DataFrame:
     """Add ``<column>_before``: sums over scores that come earlier within the keys.
 
@@ -38,9 +45,7 @@ def running(hist: DataFrame, keys: list[str], columns: list[str], *, descending:
     key and range. A given ``spread`` is the number of ranges, without a count.
     """
     if spread is None:
-        hist = checkpointed(hist)
-        most = hist.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        spread = -(-most // MOST_SCORES)
+        hist, spread = stored(hist, keys)
     order = F.desc("score") if descending else F.asc("score")
     zero = F.lit(0)
     if spread <= 1:

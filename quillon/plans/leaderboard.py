@@ -55,7 +55,12 @@ def long_form(rows: DataFrame, signals: list[str], *keep: str) -> DataFrame:
 
 def ranking(scores: DataFrame, keys: list[str], registry: DataFrame | None = None) -> DataFrame:
     """Signals by AUROC, best first; ties in the order of registration (else by name)."""
-    board = M.auroc(scores, [*keys, "signal"]).where("auroc is not null")
+    return ranked(M.auroc(scores, [*keys, "signal"]), keys, registry)
+
+
+def ranked(board: DataFrame, keys: list[str], registry: DataFrame | None = None) -> DataFrame:
+    """A board of AUROCs with ``rank``; undefined ones go."""
+    board = board.where("auroc is not null")
     if registry is not None:
         board = board.join(F.broadcast(registry.select("signal", "position")), "signal", "left")  # a row per signal
     tie = [F.col("position").asc_nulls_last()] if registry is not None else []
@@ -64,11 +69,11 @@ def ranking(scores: DataFrame, keys: list[str], registry: DataFrame | None = Non
 
 
 def metrics_table(scores: DataFrame, keys: list[str], options: Options = Options()) -> DataFrame:
-    """AUROC, AP, AURC and coverage at the target for every key, side by side."""
+    """AUROC, AP, AURC and coverage at the target for every key, side by side; one stored histogram serves the first two."""
     by = [*keys, "signal"]
-    hist = M.histogram(scores, by)
-    out = M.auroc_from(hist, by)
-    for part in (M.average_precision_from(hist, by), M.aurc(scores, by, options.target)):
+    hist, spread = M.stored(M.histogram(scores, by), by)
+    out = M.auroc_from(hist, by, spread=spread)
+    for part in (M.average_precision_from(hist, by, spread=spread), M.aurc(scores, by, options.target)):
         out = out.join(part, by, "left")
     return out
 

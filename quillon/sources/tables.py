@@ -93,7 +93,7 @@ def read_validation_csv(spark: SparkSession, path: str, *columns: str) -> DataFr
 
 def write_csv(df: DataFrame, path: str, *order: str) -> None:
     """One ordered file for people to fill in: labelling samples hold hundreds of rows."""
-    (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+    (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_results(spark: SparkSession, path: str, kind: T.StructType | str | None = None) -> DataFrame:
