@@ -247,16 +247,36 @@ def modal_share(spark: SparkSession, sf: str) -> DataFrame:
     return M.modal_share(table(spark, sf, "documents"), code).select(F.round("modal_share", 9).alias("modal_share"), "n_distinct")
 
 
-@query()
+def platt_sql(source: str, steps: int = 40) -> str:
+    """CTEs ending in ``fit`` (signal, a, b): the same Newton steps as a recursion, on the rows of ``source`` (signal, score, y)."""
+    return f"""ps AS MATERIALIZED (SELECT signal, avg(score) AS m, stddev_pop(score) AS s FROM {source} GROUP BY signal),
+    pz AS MATERIALIZED (SELECT signal, (score - m) / s AS z, y::INT AS t FROM {source} JOIN ps USING (signal)),
+    pn AS (WITH RECURSIVE step(signal, i, a, b) AS (SELECT signal, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM ps UNION ALL
+      SELECT signal, i + 1, a - ((hbb + 1e-9) * ga - hab * gb) / det, b - ((haa + 1e-9) * gb - hab * ga) / det FROM (SELECT *, (haa + 1e-9) * (hbb + 1e-9) - hab * hab AS det FROM (
+        SELECT signal, i, a, b, sum((p - t) * z) AS ga, sum(p - t) AS gb, sum(greatest(p * (1 - p), 1e-12) * z * z) AS haa, sum(greatest(p * (1 - p), 1e-12) * z) AS hab, sum(greatest(p * (1 - p), 1e-12)) AS hbb
+        FROM (SELECT step.*, z, t, 1 / (1 + exp(-greatest(-60.0, least(60.0, a * z + b)))) AS p FROM step JOIN pz USING (signal) WHERE i < {steps}) GROUP BY signal, i, a, b))) SELECT * FROM step),
+    fit AS (SELECT signal, a / s AS a, b - a * m / s AS b FROM pn JOIN ps USING (signal) WHERE i = {steps})"""
+
+
+@query(f"WITH {SCORES}, {platt_sql('scores')} SELECT signal, round(a, 6) AS a, round(b, 6) AS b FROM fit")
 def platt_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return M.fit_platt(scores(spark, sf), ["signal"])
+    return M.fit_platt(scores(spark, sf), ["signal"]).select("signal", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
-@query()
+_TRAINED = "('0x' || substr(sha256('20260101:' || qid), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616 < 0.3"
+
+
+@query(
+    f"""WITH {SCORES}, half AS MATERIALIZED (SELECT signal, score, y FROM scores WHERE {_TRAINED}), {platt_sql('half')},
+    v AS (SELECT signal, y, 1 / (1 + exp(-greatest(-60.0, least(60.0, a * score + b)))) AS p FROM scores JOIN fit USING (signal) WHERE NOT {_TRAINED}),
+    g AS (SELECT signal, len(list_filter([i / 15.0::DOUBLE FOR i IN range(1, 15)], lambda e: e < p)) AS bin, count(*) AS n, avg(p) AS c, avg(y::INT) AS a FROM v GROUP BY ALL)
+    SELECT signal, round(sum(n * abs(c - a)) / sum(n), 6) AS ece FROM g GROUP BY signal"""
+)
 def calibrated_ece(spark: SparkSession, sf: str) -> DataFrame:
     from quillon.functions.numeric import hash_share
 
-    return L.calibration_table(scores(spark, sf), hash_share(F.lit("20260101"), F.col("qid")) < 0.3, [])
+    out = L.calibration_table(scores(spark, sf), hash_share(F.lit("20260101"), F.col("qid")) < 0.3, [])
+    return out.withColumn("ece", F.round("ece", 6))
 
 
 @query()
