@@ -279,9 +279,32 @@ def calibrated_ece(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("ece", F.round("ece", 6))
 
 
-@query()
+def _fold_fit_sql(steps: int = 20, l2: float = 1e-3) -> str:
+    """CTEs ending in ``w`` (held, w0, w1, w2): Newton steps of a logistic regression on (x1, x2) for each held-out fold of ``rows`` (qid, y, x1, x2, fold)."""
+    h = {(i, j): f"h{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)}
+    minor = lambda i, j: "({} * {} - {} * {})".format(*[h[r, c] for r, c in ((i + 1, j + 1), (i + 2, j + 2), (i + 1, j + 2), (i + 2, j + 1)) for r, c in [(r % 3, c % 3)]])
+    det = " + ".join(f"{h[0, j]} * {minor(0, j)}" for j in range(3))
+    move = lambda i: "(" + " + ".join(f"{minor(j, i)} * g{j}" for j in range(3)) + ") / det"
+    sums = ", ".join([*[f"sum((p - t) * z{i}) / count(*) + {l2} * any_value(w{i}) AS g{i}" for i in range(3)], *[f"sum(p * (1 - p) * z{i} * z{j}) / count(*) + {l2 if i == j else 0.0} AS h{i}{j}" for i in range(3) for j in range(i, 3)]])
+    return f"""held AS (SELECT unnest(range(5)) AS held), st AS MATERIALIZED (SELECT held, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM rows, held WHERE fold <> held GROUP BY held),
+    tr AS MATERIALIZED (SELECT held, y::INT AS t, 1.0::DOUBLE AS z0, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM rows JOIN st ON fold <> held),
+    w AS (WITH RECURSIVE step(held, i, w0, w1, w2) AS (SELECT held, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM st UNION ALL
+      SELECT held, i + 1, w0 - {move(0)}, w1 - {move(1)}, w2 - {move(2)} FROM (SELECT *, {det} AS det FROM (SELECT held, i, w0, w1, w2, {sums}
+        FROM (SELECT step.*, t, z0, z1, z2, 1 / (1 + exp(-greatest(-30.0, least(30.0, w0 + w1 * z1 + w2 * z2)))) AS p FROM step JOIN tr USING (held) WHERE i < {steps}) GROUP BY held, i, w0, w1, w2)))
+      SELECT held, w0, w1, w2 FROM step WHERE i = {steps})"""
+
+
+@query(
+    f"""WITH {SCORES}, rows AS MATERIALIZED (SELECT qid, y, chars AS x1, distinct_ AS x2, (row_number() OVER (PARTITION BY y ORDER BY {md5_sql("'31337'", 'qid')}, qid) - 1) % 5 AS fold FROM wide), {_fold_fit_sql()},
+    oof AS (SELECT y, 1 / (1 + exp(-greatest(-30.0, least(30.0, w0 + w1 * (x1 - m1) / s1 + w2 * (x2 - m2) / s2)))) AS score FROM rows JOIN w ON fold = held JOIN st USING (held)),
+    c AS (SELECT * FROM {auroc_sql('', 'oof')}), b AS (SELECT signal, auroc FROM {auroc_sql('signal')} WHERE signal IN ('chars', 'distinct'))
+    SELECT c.n, c.n_pos AS n_incorrect, round(c.auroc, 8) AS cross_validated_auroc, round((SELECT max(auroc) FROM b), 8) AS best_single_auroc, (SELECT signal FROM b ORDER BY auroc DESC LIMIT 1) AS best_single_name,
+           round(c.auroc - (SELECT max(auroc) FROM b), 8) AS improvement, c.auroc - (SELECT max(auroc) FROM b) > 0.02 AS beats_best_single FROM c"""
+)
 def logreg_combination(spark: SparkSession, sf: str) -> DataFrame:
-    return L.combination(scores(spark, sf), "chars", "distinct", steps=20)
+    """Two signals together, cross-validated, against the better one."""
+    out = L.combination(scores(spark, sf), "chars", "distinct", steps=20)
+    return out.withColumns({c: F.round(c, 8) for c in ("cross_validated_auroc", "best_single_auroc", "improvement")})
 
 
 _BY = "stratum, signal"
