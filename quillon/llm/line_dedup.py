@@ -111,7 +111,9 @@ def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     gone = materialize(repeated_runs(_later_copies(intervals, min_lines, min_words)), "repeated-runs")
     for table in (lines, *intervals.values()):
         drop_materialized(table)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("in"), doc.alias("doc"), F.xxhash64(text).alias("row")).join(gone, ["doc", "row"], "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("in"), doc.alias("doc"), F.xxhash64(text).alias("row"))
+    # one plan at every size: the texts travel once, the runs are the side that is hashed
+    rows = rows.join(gone.hint("shuffle_hash"), ["doc", "row"], "left")
     text = F.coalesce(F.col(f"in.`{text_col}`").cast("string"), F.lit(""))
     rows = rows.select("in", "runs", F.when(text != "", F.split(text, "\n")).otherwise(F.array()).alias("lines"))
     kept = F.when(F.col("runs").isNull(), F.col(f"in.`{text_col}`")).otherwise(F.array_join(_without(F.col("lines"), F.col("runs")), "\n"))
