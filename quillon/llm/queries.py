@@ -174,6 +174,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
 
+_BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_FIVE_BITS = " || ".join(f"substr({_BASE32}, (x >> {shift} & 31) + 1, 1)" for shift in (15, 10, 5, 0))
+OP10_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, t, array_to_string([{_FIVE_BITS} FOR x IN [('0x' || substr(sha1(t), 5 * i + 1, 5))::INTEGER FOR i IN range(8)]], '') AS payload_digest FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS top FROM d)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM w
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_lines(_table(spark, sf_dir, "documents"), min_lines=3)
     return found.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -281,6 +291,7 @@ ORACLE_SQL = {
     "op6_exact_topk": OP6_SQL,
     "op7_minhash_near_dedup": near_sql(2),
     "op8_suffix_array_dedup": PASSAGES_SQL,
+    "op10_warc": OP10_SQL,
     "op12_chat_formatting": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
