@@ -11,6 +11,7 @@ offsets in the original text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import materialize
 
 #: Every ASCII byte that is neither letter nor digit parts words; A-Z are lowered; other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or c >= 97 and c <= 122 or c >= 128 else 32 for c in range(256))
@@ -128,46 +129,53 @@ def _offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
     return points[np.flatnonzero(edge == 1)], points[np.flatnonzero(edge == -1)]
 
 
-def hit_spans(text: str, hit: np.ndarray) -> list[list[int]]:
-    """Original [begin, end) offsets of the hit runs."""
+def hit_runs(text: str, hit: np.ndarray) -> list[list[int]]:
+    """Runs of hit words: [first word, word after the last, begin, end], the last two as offsets in the original text."""
     if not hit.any():
         return []
     begin, end = _offsets(text)
     edge = np.diff(np.r_[False, hit, False].astype(np.int8))
-    return [[int(begin[a]), int(end[b - 1])] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+    return [[int(a), int(b), int(begin[a]), int(end[b - 1])] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
 _built: dict[int, Seeds] = {}
-_STATE = "hit binary, items array<string>"
-_RESULT = "n_words long, spans array<array<long>>, n_hit long, items array<string>"
+_FOUND = "n_words long, n_hit long, items array<string>, runs array<array<long>>"
+_WIDE = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("runs", pa.list_(pa.list_(pa.int64())))])
 
 
-def _scanner(shared: Broadcast, n: int, key: int, last: bool):
-    """Scan with one automaton, adding to what earlier ones hit; the last scan gives the result."""
+def _scanner(shared: Broadcast, n: int, key: int):
+    """Scan texts with the automaton of one benchmark block."""
 
-    @F.arrow_udf(_RESULT if last else _STATE)
-    def scan_texts(texts: pa.Array, before: pa.Array) -> pa.Array:
+    @F.arrow_udf(_FOUND)
+    def scan_texts(texts: pa.Array) -> pa.Array:
         if key not in _built:
             _built.clear()
             _built[key] = Seeds(shared.value, n)
         rows = []
-        for text, old in zip(texts, before, strict=True):
-            text, old = text.as_py(), old.as_py()
+        for text in texts:
+            text = text.as_py()
             words = words_of(text)
             hit, items = _built[key].scan(words)
-            if old["hit"]:
-                hit |= np.unpackbits(np.frombuffer(old["hit"], np.uint8), count=len(words)).astype(bool)
-                items |= set(old["items"])
-            if last:
-                rows.append({"n_words": len(words), "spans": hit_spans(text, hit) if items else [], "n_hit": int(hit.sum()), "items": sorted(items)})
-            else:
-                rows.append({"hit": np.packbits(hit).tobytes() if items else None, "items": sorted(items)})
-        wide = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
-        return pa.array(rows, wide if last else pa.struct([("hit", pa.binary()), ("items", pa.list_(pa.string()))]))
+            rows.append({"n_words": len(words), "n_hit": int(hit.sum()), "items": sorted(items), "runs": hit_runs(text, hit) if items else []})
+        return pa.array(rows, _WIDE)
 
     return scan_texts.asNondeterministic()  # evaluated once, whatever the plan does with it
 
 
+def _merge(texts: pa.Array, items: pa.Array, runs: pa.Array) -> pa.Array:
+    """What several scans found in a text, as one: runs that overlap or touch are one run."""
+    rows = []
+    for text, names, parts in zip(texts, items, runs, strict=True):
+        whole: list[list[int]] = []
+        for run in sorted(parts.as_py() or []):
+            if whole and run[0] <= whole[-1][1]:
+                whole[-1][1], whole[-1][3] = max(whole[-1][1], run[1]), max(whole[-1][3], run[3])
+            else:
+                whole.append(run)
+        rows.append({"n_words": len(words_of(text.as_py())), "n_hit": sum(r[1] - r[0] for r in whole), "items": sorted(set(names.as_py() or [])), "runs": whole})
+    return pa.array(rows, _WIDE)
+
+
 def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
     """The benchmark in lists of bounded size, read one partition at a time."""
     block, size = [], 0
@@ -200,22 +208,30 @@ def find_contamination(
     Null or empty texts have no words and no hits; null items are skipped (an
     item with a null id counts as item ``null``); repeated documents each give
     a row; an empty benchmark hits nothing; a very long text is scanned whole.
-    A benchmark above ``MAX_AUTOMATON_BYTES`` takes several automata, one scan
-    after the other with a checkpoint between: only one is broadcast, and built
-    in a worker, at a time.
+    A benchmark above ``MAX_AUTOMATON_BYTES`` takes several automata, of which one
+    is broadcast, and built in a worker, at a time. Each scan then writes a row for
+    each different text that it hits and no text; the rows come back by a join on
+    the text's SHA-256.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "n_hit", "items")] if keep_columns else [id_col]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).cast("string").alias("text"), F.expr("cast(named_struct('hit', null, 'items', array()) as struct<hit: binary, items: array<string>>)").alias("found"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).cast("string").alias("text"))
     blocks = _benchmark_blocks(benchmark, item_col, item_text_col)
-    block = next(blocks)
+    block, after, hits = next(blocks), next(blocks, None), []
+    several = after is not None
     while block is not None:
-        after = next(blocks, None)
         shared = spark.sparkContext.broadcast(block)
-        scanner = _scanner(shared, window, shared._jbroadcast.id(), after is None)
-        rows = rows.select("row", "text", scanner("text", "found").alias("found"))
-        if after is not None:
-            rows = checkpointed(rows)
+        found = _scanner(shared, window, shared._jbroadcast.id())("text").alias("found")
+        if several:
+            hit = rows.select(F.sha2("text", 256).alias("key"), found).where("size(found.items) > 0").groupBy("key").agg(F.first("found").alias("found"))
+            hits.append(materialize(hit, "benchmark-hits"))
             shared.destroy()
-        block = after
-    return rows.select("row.*", "found.n_words", "found.n_hit", "found.items", "found.spans")
+        block, after = after, next(blocks, None)
+    if several:
+        # a text has at most one row for each automaton
+        every = reduce(DataFrame.unionByName, hits).groupBy("key").agg(F.flatten(F.collect_list("found.items")).alias("items"), F.flatten(F.collect_list("found.runs")).alias("runs"))
+        rows = rows.withColumn("key", F.sha2("text", 256)).join(every, "key", "left")
+        found = F.arrow_udf(_merge, _FOUND).asNondeterministic()("text", "items", "runs").alias("found")
+    rows = rows.select("row", found)
+    spans = F.transform("found.runs", lambda r: F.slice(r, 3, 2)).alias("spans")
+    return rows.select("row.*", "found.n_words", "found.n_hit", "found.items", spans)

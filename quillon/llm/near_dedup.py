@@ -19,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -357,7 +357,53 @@ def _rest_pairs(open_: DataFrame, families: DataFrame, signed: DataFrame, texts:
     return pairs
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hash of a set, in batches of bounded size."""
+    for batch in batches:
+        sizes = batch.column("n").to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(np.cumsum(sizes[start:]), 1 << 18, "right")) + start)
+            part = batch.slice(start, stop - start)
+            hashes = np.frombuffer(b"".join(part.column("data").to_pylist()), np.int64)
+            doc, n = (np.repeat(part.column(c).to_numpy(), sizes[start:stop]) for c in ("doc", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(hashes)], names=["doc", "n", "key"])
+            start = stop
+
+
+def _prefix_buckets(data: DataFrame, percent: int) -> DataFrame:
+    """(key, doc): the rarest shingles of each set, as many as two sets that link cannot both do without.
+
+    Of a set of n shingles these are the first n - ceil(percent * n / 100) + 1 by
+    (documents, hash). Shingles of one document come first and meet nothing, so
+    only the others are ranked.
+    """
+    every = data.mapInArrow(_hash_rows, "doc long, n long, key long")
+    common = every.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    of_doc = Window.partitionBy("doc", "n")  # no more rows than the document has words
+    ranked = every.join(common, "key").withColumns({"at": F.row_number().over(of_doc.orderBy("df", "key")), "c": F.count(F.lit(1)).over(of_doc)})
+    return ranked.where(f"at <= n - ({percent} * n + 99) div 100 + 1 - (n - c)").select("key", "doc").distinct()
+
+
+def _missed_links(rows: DataFrame, once: DataFrame, comps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between classes that no band has shown, found by exact prefixes; buckets of the same members count once."""
+    texts = materialize(rows.join(once.select("doc").distinct(), "doc").select("doc", "text"), "texts")
+    data = materialize(texts.mapInArrow(_full_sets(k), "doc long, n long, data binary").where("n > 0"), "full-sets")
+    buckets = materialize(_prefix_buckets(data, percent), "prefixes")
+    open_ = materialize(_open_buckets(buckets, comps), "open-buckets")
+    drop_materialized(buckets)
+    # two seeds over all members name a bucket's content
+    named = open_.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *[F.sum(F.xxhash64("doc", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)])
+    chosen = named.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    members = open_.join(chosen, "key").withColumn("family", F.col("doc"))
+    pairs = materialize(_pack_pairs(members, "key", data).mapInArrow(_dense(percent), "a long, b long").distinct(), "missed-pairs")
+    links = materialize(_links(pairs, texts, k, percent), "missed-links")
+    for table in (texts, data, open_, pairs):
+        drop_materialized(table)
+    return links
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable by links), kept.
 
     Documents link where 100 * intersection >= ``percent`` * union of their
@@ -366,6 +412,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links with nothing. Rows under one id are one document. A row with a null
     id links with nothing, has a null component and is kept. An empty table
     gives an empty result; other columns are ignored.
+
+    Bands lose a pair at the very limit with a probability of some 3e-6. With
+    ``exact`` they lose none: what is still in different classes is then
+    compared wherever two documents share one of their rarest shingles, which
+    costs a shuffle of all shingles.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(rows.mapInArrow(_sign(words), "doc long, n long, f1 long, f2 long, regs binary"), "sets")
@@ -401,6 +452,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = materialize(_links(pairs, texts, words, percent), "links")
     drop_materialized(texts)
     links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    if exact:
+        links = materialize(links, "links")
+        links = links.unionByName(_missed_links(rows.where("doc is not null"), once, materialize(components(links), "classes"), words, percent))
     # rows of one id that differ in text are one node through the id they share
     named = ids.where("n > 0 and doc is not null")
     several = named.groupBy("doc").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo < hi").select("doc")

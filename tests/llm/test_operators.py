@@ -237,10 +237,11 @@ def brute_near(rows, k, percent):
     return sorted(((d, len(x), None if d is None else find(d), d is None or find(d) == d) for d, x in sets), key=str)
 
 
+@pytest.mark.parametrize("exact", [False, True])
 @pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates(spark, k):
+def test_near_duplicates(spark, k, exact):
     rows = corpus(11)
-    got = near_dedup.near_duplicates(frame(spark, rows), words=k)
+    got = near_dedup.near_duplicates(frame(spark, rows), words=k, exact=exact)
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str) == brute_near(rows, k, 80)
 
 
@@ -310,6 +311,29 @@ def test_near_duplicates_families(spark, monkeypatch):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_exact_links_need_no_bands(spark, monkeypatch):
+    """Where no band meets, prefixes find every link: pairs at the limit, a family of near copies, texts of common words only."""
+    monkeypatch.setattr(near_dedup, "_bands", lambda batches: (b.select([]) for b in ()))
+    rng = random.Random(31)
+    rows = []
+    for i in range(40):
+        w = words(rng.randrange(30, 120), rng, 10**6)
+        rows.append((2 * i, " ".join(w), "s", "en"))
+        rows.append((2 * i + 1, " ".join(w[: rng.randrange(round(0.76 * len(w)), round(0.86 * len(w)))]), "s", "en"))
+    base = words(60, rng, 10**6)
+    for i in range(100, 160):
+        w = list(base)
+        w[rng.randrange(60)] = f"z{i}"
+        rows.append((i, " ".join(w), "s", "en"))
+    rows += [(i, " ".join(words(rng.randrange(1, 9), rng, 4)), "s", "en") for i in range(200, 260)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = brute_near(rows, 2, 80)
+    got = near_dedup.near_duplicates(docs, words=2, exact=True)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    without = near_dedup.near_duplicates(docs, words=2)
+    assert without.where("kept").count() > got.where("kept").count()
+
+
 def test_estimates_are_corrected():
     rng = np.random.default_rng(0)
     errors = []
