@@ -194,3 +194,16 @@ def test_kappa_and_rules_resample_all_rows(spark):
             want[x["a"], x["b"]] = want.get((x["a"], x["b"]), 0) + int(w[x["qid"]][r])
         assert {k[1:]: v for k, v in got.items() if k[0] == r} == {k: v for k, v in want.items() if v}
         assert sum(want.values()) == len(rows)
+
+
+def test_sides_of_groups_that_share_a_task_stay_in_order(spark):
+    """Groups that begin and end within one batch of rows give what each gives alone."""
+    df = table(spark, n=400, missing=False).withColumn("old", F.col("z"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        whole = {tuple(r) for r in R.auroc_draws(df, 3000, SEED, ["signal"], labels=["old", "y"]).select("signal", "label", "r", "auroc").collect()}
+        alone = {tuple(r) for s in ("a", "b", "c") for r in R.auroc_draws(df.where(F.col("signal") == s), 3000, SEED, ["signal"], labels=["old", "y"]).select("signal", "label", "r", "auroc").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert whole == alone and len(whole) == 3 * 2 * 3000
