@@ -207,3 +207,37 @@ def test_sides_of_groups_that_share_a_task_stay_in_order(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert whole == alone and len(whole) == 3 * 2 * 3000
+
+
+def test_arrivals_are_those_of_plain_arithmetic():
+    """Counts and times by the generator's definition, one number at a time, for small and large classes and any resamples."""
+    def splitmix(x):
+        x = (x ^ x >> 30) * D.FIRST % 2**64
+        x = (x ^ x >> 27) * D.SECOND % 2**64
+        return x ^ x >> 31
+
+    h = np.random.default_rng(2).integers(0, 2**63, (5, 2), dtype=np.uint64)
+    for power, some in ((0, range(40)), (4, range(3, 90)), (18, [0, 7, 8, 1000, *range(2000, 2300)])):
+        before, inside = D.limits(power)
+        k, place, time = D.arrivals(h, power, np.array(some, np.uint64))
+        found = {}
+        for i, (a, b) in enumerate(h.tolist()):
+            for j, r in enumerate(some):
+                m = splitmix((a + D.GOLDEN * (r + 1)) % 2**64)
+                assert k[i, j] == sum(x <= m >> 32 for x in before)
+                found[i * len(some) + j] = [splitmix((b + D.GOLDEN * (D.STRIDE * r + n + 1)) % 2**64) >> 2 for n in range(sum(x <= m % 2**32 for x in inside))]
+        got = {p: [] for p in found}
+        for p, t in zip(place.tolist(), time.tolist(), strict=True):
+            got[p].append(t)
+        assert got == found
+        again = D.arrivals(h, power, np.array(some, np.uint64), only_inside=True)
+        assert again[0] is None and (again[1] == place).all() and (again[2] == time).all()
+
+
+def test_clusters_are_read_once(spark, monkeypatch):
+    """The rows of clusters are stored before the search for last arrivals reads them again and again."""
+    seen = []
+    search = R.draws_of
+    monkeypatch.setattr(R, "draws_of", lambda units, *a: seen.append(units._jdf.queryExecution().optimizedPlan().toString()) or search(units, *a))
+    R.bootstrap_auroc(table(spark), TIMES, SEED, clusters=True)
+    assert seen and all("Join" not in p and "Aggregate" not in p for p in seen)
