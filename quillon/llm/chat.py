@@ -70,12 +70,22 @@ def examples(formatted: DataFrame) -> DataFrame:
     return formatted.where("example is not null").select("conv_id", "example", (F.col("pos") - 1).alias("context_turns"), F.col("start").alias("context_chars"), "loss_start", "loss_end", _target().alias("target"))
 
 
-def with_text(formatted: DataFrame) -> DataFrame:
-    """Examples with their prefix written out (``text``, up to the mask's end): as many characters as all prefixes have, so long conversations grow by the square of their turns."""
+def _whole(formatted: DataFrame) -> DataFrame:
+    """A row per conversation: its turns in order and its formatted text."""
     part = F.struct("pos", "segment", "example", "loss_start", "loss_end")
     whole = formatted.groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("_turns"))
-    each = whole.withColumn("_all", F.array_join(F.col("_turns.segment"), "")).select("conv_id", "_all", F.explode(F.filter("_turns", lambda t: t["example"].isNotNull())).alias("_t"))
-    return each.select("conv_id", F.col("_t.example").alias("example"), F.col("_t.loss_start").alias("loss_start"), F.col("_t.loss_end").alias("loss_end"), F.col("_all").substr(F.lit(1), F.col("_t.loss_end").cast("int")).alias("text"))
+    return whole.select("conv_id", F.filter("_turns", lambda t: t["example"].isNotNull()).alias("_examples"), F.array_join(F.col("_turns.segment"), "").alias("_all"))
+
+
+def _expanded(whole: DataFrame, *keep: str) -> DataFrame:
+    """Prefix-target expansion: a row per example with its own text; a conversation without examples has one of nulls. The rows stream, one prefix at a time."""
+    each = whole.select(*keep, "_all", F.explode_outer("_examples").alias("_t"))
+    return each.select(*keep, F.col("_t.example").alias("example"), F.col("_t.loss_start").alias("loss_start"), F.col("_t.loss_end").alias("loss_end"), F.col("_all").substr(F.lit(1), F.col("_t.loss_end").cast("int")).alias("text"))
+
+
+def with_text(formatted: DataFrame) -> DataFrame:
+    """Examples with their prefix written out (``text``, up to the mask's end): as many characters as all prefixes have, so long conversations grow by the square of their turns."""
+    return _expanded(_whole(formatted), "conv_id").where("example is not null")
 
 
 def parsed(text: Column) -> Column:
@@ -96,14 +106,16 @@ def digests(formatted: DataFrame) -> DataFrame:
     """What reading the formatted conversations back gives, a row per conversation.
 
     conv_id, n_turns, turns_sha256 (role, line feed, text, line feed of each
-    turn), loss_chars and loss_sha256 (the examples' targets in their order),
-    formatted_chars. A conversation is one value here, as a digest over all of
-    it is its definition.
+    turn), loss_chars and loss_sha256 (what the mask covers in the text of each
+    expanded example, unescaped, in their order), formatted_chars. A
+    conversation is one value here, as a digest over all of it is its definition.
     """
-    each = formatted.withColumn("target", _target())  # rows with a number are the examples
-    whole = each.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "segment", "example", "target"))).alias("_parts"))
-    text = F.array_join(F.col("_parts.segment"), "")
-    loss = F.array_join(F.filter("_parts", lambda p: p["example"].isNotNull())["target"], "")
-    read = whole.select("conv_id", parsed(text).alias("_turns"), loss.alias("_loss"), F.length(text).cast("long").alias("formatted_chars"))
-    said = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars")
+    turns = _whole(formatted).withColumn("_read", parsed(F.col("_all")))
+    said = F.array_join(F.transform("_read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    keys = ["conv_id", "n_turns", "turns_sha256", "formatted_chars"]
+    read = turns.select("conv_id", "_examples", "_all", F.size("_read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("_all").cast("long").alias("formatted_chars"))
+    covered = F.col("text").substr((F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    each = _expanded(read, *keys).withColumn("target", unescaped(covered))
+    targets = F.sort_array(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "target"))))
+    loss = each.groupBy(*keys).agg(F.array_join(targets["target"], "").alias("_loss"))
+    return loss.select("conv_id", "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars")

@@ -224,3 +224,18 @@ def test_control_strings_of_the_template(spark):
     back = spark.createDataFrame([(text,)], "t string").select(F.explode(chat.parsed(F.col("t"))).alias("p")).select("p.*").collect()
     assert [tuple(r) for r in back] == [("user", odd), ("assistant", odd)]
     assert "conversations" in OP12_SQL
+
+
+def test_digests_read_the_mask_in_the_expanded_examples(spark):
+    """The loss text is what each example's own prefix says at its span, not what a turn says by itself."""
+    from hashlib import sha256
+
+    rows = [(1, 0, "user", "ab", 0, "x"), (1, 1, "assistant", "cdef", 0, "x"), (1, 2, "user", "g", 0, "x"), (1, 3, "assistant", "hijk", 0, "x"), (2, 0, "user", "l", 0, "x")]
+    formatted = chat.segments(spark.createDataFrame(rows, CHAT))
+    moved = formatted.withColumn("segment", F.when(F.col("pos") == 1, F.concat(F.lit("z"), F.col("segment"))).otherwise(F.col("segment")))
+    got = {r["conv_id"]: r for r in chat.digests(moved).collect()}
+    loss = "".join(r["text"][r["loss_start"] : r["loss_end"]] for r in sorted(chat.with_text(moved).where("conv_id = 1").collect(), key=lambda r: r["example"]))
+    assert loss == " cde hij" and got[1]["loss_sha256"] == sha256(loss.encode()).hexdigest()
+    assert got[2]["loss_chars"] == 0 and got[2]["n_turns"] == 1
+    told = {r["conv_id"]: r for r in chat.digests(formatted).collect()}
+    assert told[1]["loss_sha256"] == sha256(b"cdefhijk").hexdigest()
