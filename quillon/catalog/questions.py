@@ -9,6 +9,7 @@ from quillon.catalog import query, table
 from quillon.functions import numeric as N
 from quillon.functions import text as T
 from quillon.operators import datasets as D
+from quillon.operators.ranges import checkpointed
 
 
 def norm_sql(x: str) -> str:
@@ -64,7 +65,7 @@ def dedup_normalized_docs(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, source FROM d WHERE nq NOT IN (SELECT nq FROM d GROUP BY nq HAVING count(DISTINCT source) > 1)"""
 )
 def ambiguous_group_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    return D.drop_ambiguous(table(spark, sf, "documents"), "text", "source").select("doc_id", "source")
+    return D.drop_ambiguous(table(spark, sf, "documents"), "text", "source", ["doc_id", "source"])
 
 
 @query(
@@ -107,7 +108,7 @@ def benchmark_leakage(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH d AS (SELECT doc_id, {norm_sql('text')} AS n FROM documents) SELECT doc_id FROM d WHERE doc_id IN (SELECT doc_id FROM labels) AND n IN (SELECT n FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels))")
 def few_shot_disjoint(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents, as the few shots, whose text also stands among the unlabelled."""
-    d, l = table(spark, sf, "documents").select("doc_id", T.normalize("text").alias("n")), table(spark, sf, "labels").select("doc_id")
+    d, l = checkpointed(table(spark, sf, "documents").select("doc_id", F.sha2(T.normalize("text"), 256).alias("n"))), table(spark, sf, "labels").select("doc_id")  # normalized once
     return d.join(l, "doc_id", "left_semi").join(d.join(l, "doc_id", "left_anti").select("n"), "n", "left_semi").select("doc_id")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions.numeric import hash_index, hash_share
 from quillon.operators.quantiles import quantiles
-from quillon.operators.ranges import global_rank, rank_within, running_sums
+from quillon.operators.ranges import checkpointed, global_rank, rank_within, running_sums
 from quillon.schema import ContractError, require_columns
 
 # Relations whose questions hold the answer's counterpart.
@@ -40,11 +40,17 @@ def restrict_popular(df: DataFrame, column: str, quantile: float | None) -> Data
     return df.where(x >= F.lit(cut["quantiles"][0]) if cut else F.lit(False))
 
 
-def drop_ambiguous(df: DataFrame, question: str, subject: str) -> DataFrame:
-    """Drop every row whose normalized question asks about several subjects."""
-    keyed = df.withColumn("_nq", T.normalize(question))
+def drop_ambiguous(df: DataFrame, question: str, subject: str, keep: list[str] | None = None) -> DataFrame:
+    """Drop every row whose normalized question asks about several subjects.
+
+    Questions meet by the SHA-256 of their normalized text. Where ``keep`` names
+    the columns that are wanted, these and the digest are stored, so that texts
+    are normalized once.
+    """
+    key = F.sha2(T.normalize(question), 256).alias("_nq")
+    keyed = df.select("*", key) if keep is None else checkpointed(df.select(*dict.fromkeys([*keep, subject]), key))
     several = keyed.groupBy("_nq").agg(F.min(subject).alias("lo"), F.max(subject).alias("hi")).where("lo <> hi").select("_nq")
-    return keyed.join(several, "_nq", "left_anti").drop("_nq")
+    return keyed.join(several, "_nq", "left_anti").select(*(df.columns if keep is None else keep))
 
 
 def ambiguity_counts(df: DataFrame, question: str, subject: str) -> DataFrame:

@@ -59,3 +59,10 @@ def test_points_of_all_signals(spark):
             want[signal, round(s, 9)] = (pytest.approx(above[True] / above.total(), abs=1e-8), pytest.approx(above[True] / pos, abs=1e-8))
     got = QUERIES["precision_recall_points"](spark, SF).collect()
     assert {(r["signal"], r["score"]): (r["precision"], r["recall"]) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("name", ["few_shot_disjoint", "ambiguous_group_antijoin"])
+def test_texts_are_normalized_once(spark, name):
+    """What meets is a stored digest; texts neither meet nor are normalized again by the joins."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "text" not in plan
