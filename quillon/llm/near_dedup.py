@@ -7,9 +7,10 @@ give candidates, collision-corrected estimates discard most false ones, and
 what is left is verified on full shingle sets and their words. Equal sets are one node. First
 each document is compared with one candidate, the leader it meets in most of
 its buckets. What is in different classes then and shares a bucket is compared
-in packs of bounded size inside the tasks: families of documents that are alike
-on their full sets, other members of a bucket by estimate. So no bucket is
-expanded into its pairs.
+in packs of bounded size inside the tasks, first by estimate, which puts
+documents that may link into one family, then families on their full sets. A
+task tells no pairs, only edges that join what its pairs join: fewer than it has
+documents. So neither buckets nor families are expanded into their pairs.
 """
 
 from __future__ import annotations
@@ -218,8 +219,32 @@ def _members(row: list[dict], *names: str) -> list[np.ndarray]:
     return [np.array([m[c] for m in row], np.int64) for c in names]
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """The places of edges (a, b) that join, without a circle, all that the edges join."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    kept = []
+    at = np.unique(np.stack([a, b]), axis=1, return_index=True)[1] if len(a) else []
+    for i in at:
+        x, y = find(int(a[i])), find(int(b[i]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(int(i))
+    return kept
+
+
+def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
+    x, y = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
 def _cross(percent: int):
-    """Pairs of two packs of a bucket that are in different classes and families and whose registers say they may link."""
+    """Edges between families: they join those of which two packs of a bucket hold documents of different classes whose registers say they may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,6 +252,7 @@ def _cross(percent: int):
             for row in batch.to_pylist():
                 (da, ca, fa, na), (db, cb, fb, nb) = (_members(row[p], "doc", "comp", "family", "n") for p in "xy")
                 regs = [np.frombuffer(b"".join(m["data"] for m in row[p]), np.uint16).reshape(-1, BUCKETS) for p in "xy"]
+                found: list[tuple[np.ndarray, np.ndarray]] = []
                 for at in range(0, len(da), 32):
                     x = slice(at, at + 32)
                     agree = (regs[0][x, None, :] == regs[1][None, :, :]).mean(axis=2)
@@ -237,10 +263,12 @@ def _cross(percent: int):
                     i, k = np.nonzero(ok)
                     chance = collision_rate(na[x][i], nb[k])
                     good = may_link((agree[i, k] - chance) / (1 - chance), na[x][i], nb[k], percent)
-                    out_a += da[x][i[good]].tolist()
-                    out_b += db[k[good]].tolist()
-            a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    found.append((fa[x][i[good]], fb[k[good]]))
+                a, b = (np.concatenate([f[side] for f in found]) for side in (0, 1))
+                kept = _spanning(a, b)
+                out_a += a[kept].tolist()
+                out_b += b[kept].tolist()
+            yield _edges(out_a, out_b)
 
     return run
 
@@ -255,8 +283,8 @@ def _incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dense(percent: int):
-    """Links of two packs of a family, exact on full sets: one for each document and other class."""
+def _dense(percent: int, every: bool = False):
+    """Links of two packs of a family, exact on full sets: as many as join the classes that links join, or ``every`` one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,13 +299,11 @@ def _dense(percent: int):
                     both += _incidence(x, part) @ _incidence(y, part).T
                 both = both.astype(np.int64)
                 linked = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (ca[:, None] != cb[None, :])
-                for i in np.flatnonzero(linked.any(axis=1)):
-                    j = np.flatnonzero(linked[i])
-                    j = j[np.unique(cb[j], return_index=True)[1]]
-                    out_a += [da[i]] * len(j)
-                    out_b += db[j].tolist()
-            a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                i, j = np.nonzero(linked)
+                kept = np.arange(len(i)) if every else _spanning(ca[i], cb[j])
+                out_a += da[i[kept]].tolist()
+                out_b += db[j[kept]].tolist()
+            yield _edges(out_a, out_b)
 
     return run
 
@@ -343,18 +369,34 @@ def _pack_pairs(members: DataFrame, group: str, data: DataFrame) -> DataFrame:
     return pairs.join(packs.select(F.col("id").alias("id_x"), F.col("rows").alias("x")), "id_x").join(packs.select(F.col("id").alias("id_y"), F.col("rows").alias("y")), "id_y").select("x", "y", "same")
 
 
-def _rest_pairs(open_: DataFrame, families: DataFrame, signed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of classes that are still apart: within families those that link on full sets, elsewhere by estimate."""
+def _exact_links(members: DataFrame, group: str, data: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that join the classes which meet in a group and link, found on full sets and confirmed by words."""
+    packed = _pack_pairs(members, group, data)
+    pairs = materialize(packed.mapInArrow(_dense(percent), "a long, b long").distinct(), "rest-pairs")
+    links = materialize(_links(pairs, texts, k, percent), "links")
+    if not pairs.join(links, ["a", "b"], "left_anti").isEmpty():  # shingles that share a hash: other links may join what these do not
+        again = materialize(packed.mapInArrow(_dense(percent, every=True), "a long, b long").distinct(), "rest-pairs")
+        links = materialize(_links(again, texts, k, percent), "links")
+        drop_materialized(again)
+    drop_materialized(pairs)
+    return links
+
+
+def _rest_links(open_: DataFrame, families: DataFrame, signed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of classes that are still apart; families that estimates join are one family, and are compared on full sets."""
     placed = materialize(open_.join(families, "doc", "left").withColumn("family", F.coalesce("family", "doc")), "placed")
-    alike = placed.select("doc", "comp", "family").distinct().join(families.select("doc"), "doc", "left_semi")
-    data = texts.join(families.select("doc"), "doc", "left_semi").select("doc", "text").mapInArrow(_full_sets(k), "doc long, n long, data binary")
-    dense = _pack_pairs(alike, "family", data).mapInArrow(_dense(percent), "a long, b long").distinct()
     several = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("key")
     regs = signed.select("doc", "n", F.col("regs").alias("data"))
-    sparse = _pack_pairs(placed.join(several, "key"), "key", regs).mapInArrow(_cross(percent), "a long, b long").distinct()
-    pairs = materialize(dense.unionByName(sparse), "rest-pairs")
-    drop_materialized(placed)
-    return pairs
+    joined = materialize(_pack_pairs(placed.join(several, "key"), "key", regs).mapInArrow(_cross(percent), "a long, b long").distinct(), "family-edges")
+    wide = materialize(components(joined), "wide-families")
+    alike = placed.select("doc", "comp", "family").distinct().join(wide, F.col("family") == F.col("node"), "left").select("doc", "comp", F.coalesce("component", "family").alias("family"))
+    apart = alike.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
+    alike = materialize(alike.join(apart, "family"), "alike")
+    data = materialize(texts.join(alike.select("doc"), "doc", "left_semi").select("doc", "text").mapInArrow(_full_sets(k), "doc long, n long, data binary"), "full-sets")
+    links = _exact_links(alike, "family", data, texts, k, percent)
+    for table in (placed, joined, wide, alike, data):
+        drop_materialized(table)
+    return links
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,9 +438,8 @@ def _missed_links(rows: DataFrame, once: DataFrame, comps: DataFrame, k: int, pe
     named = open_.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *[F.sum(F.xxhash64("doc", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)])
     chosen = named.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key")
     members = open_.join(chosen, "key").withColumn("family", F.col("doc"))
-    pairs = materialize(_pack_pairs(members, "key", data).mapInArrow(_dense(percent), "a long, b long").distinct(), "missed-pairs")
-    links = materialize(_links(pairs, texts, k, percent), "missed-links")
-    for table in (texts, data, open_, pairs):
+    links = _exact_links(members, "key", data, texts, k, percent)
+    for table in (texts, data, open_):
         drop_materialized(table)
     return links
 
@@ -446,11 +487,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     drop_materialized(shared)
     near = best.where(F.col("v") >= DENSE).join(open_.select(F.col("doc").alias("b")).distinct(), "b", "left_semi")
     families = materialize(components(near).select(F.col("node").alias("doc"), F.col("component").alias("family")), "families")
-    pairs = _rest_pairs(open_, families, signed, texts, words, percent)
-    for table in (best, open_, families, signed, met):
+    more = _rest_links(open_, families, signed, texts, words, percent)
+    for table in (best, open_, families, signed, met, texts):
         drop_materialized(table)
-    more = materialize(_links(pairs, texts, words, percent), "links")
-    drop_materialized(texts)
     links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     if exact:
         links = materialize(links, "links")

@@ -311,6 +311,42 @@ def test_near_duplicates_families(spark, monkeypatch):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_pairs_of_a_group_are_not_told(spark, monkeypatch):
+    """A group below the limit, in which most pairs may link by estimate and few do: tasks tell edges that join, not pairs."""
+    told, links = [], near_dedup._links
+    monkeypatch.setattr(near_dedup, "_links", lambda pairs, *rest: told.append(pairs.count()) or links(pairs, *rest))
+    rng = random.Random(5)
+    base, rows = words(150, rng, 10**6), []
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice((4, 9, 11, 12, 13))):
+            w[at] = f"z{i}x{at}"
+        rows.append((i, " ".join(w), "s", "en"))
+    want = brute_near(rows, 2, 80)
+    assert 10 < len({r[2] for r in want}) < 110
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), words=2)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    assert told[-1] < 120
+
+
+def test_near_links_by_hashes_that_words_refuse(spark, monkeypatch):
+    """Where the links that were told fail by words, all others of the group are tried."""
+    rng = random.Random(6)
+    base, rows = words(100, rng, 10**6), []
+    for i in range(12):
+        w = list(base)
+        w[rng.randrange(100)] = f"z{i}"
+        rows.append((i, " ".join(w), "s", "en"))
+    texts = spark.createDataFrame(rows, DOCS).selectExpr("doc_id as doc", "text")
+    data = texts.mapInArrow(near_dedup._full_sets(2), "doc long, n long, data binary")
+    members = texts.selectExpr("doc", "doc as comp", "0L as family")
+    links, calls = near_dedup._links, []
+    monkeypatch.setattr(near_dedup, "_links", lambda pairs, *rest: calls.append(1) or links(pairs, *rest).where("b - a > 1 and b <> 11" if len(calls) == 1 else "b - a > 1"))
+    got = near_dedup._exact_links(members, "family", data, texts, 2, 80)
+    assert len(calls) == 2
+    assert {tuple(r) for r in got.collect()} == {(a, b) for a in range(12) for b in range(a + 2, 12)}
+
+
 def test_exact_links_need_no_bands(spark, monkeypatch):
     """Where no band meets, prefixes find every link: pairs at the limit, a family of near copies, texts of common words only."""
     monkeypatch.setattr(near_dedup, "_bands", lambda batches: (b.select([]) for b in ()))
