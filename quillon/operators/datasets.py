@@ -68,7 +68,7 @@ def drop_leaks(df: DataFrame, question: str, aliases: str) -> DataFrame:
     return df.where(~F.coalesce(T.gold_in_question(F.col(question), F.col(aliases)), F.lit(False)))
 
 
-#: Items whose leads are broadcast; more are joined by shuffling.
+#: Items whose leads are broadcast, and candidates whose ids are; more are joined by shuffling.
 MOST_LEADS = 1_000_000
 
 
@@ -77,23 +77,24 @@ def stated_items(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", item
 
     A document is a candidate where one of its runs of tokens has the hash of an
     item's first ``lead`` tokens (all of them, if it has fewer); runs are hashed
-    and looked up in the scan, and only candidates are compared. An item without
-    tokens is in nothing.
+    and looked up in the scan, and only candidates are normalized again and
+    compared. An item without tokens is in nothing.
     """
     t = T.split_tokens(F.col("part"))
     leads = items.select(F.col(item), T.normalize(text).alias("part")).withColumns({"n": F.least(F.size(t), F.lit(lead)), "t": t}).where("n > 0")
-    leads = leads.select(item, "part", "n", F.xxhash64("n", F.slice("t", F.lit(1), F.col("n"))).alias("lead"))
+    leads = checkpointed(leads.select(item, "part", "n", F.xxhash64("n", F.slice("t", F.lit(1), F.col("n"))).alias("lead")))
     sizes = [r[0] for r in leads.select("n").distinct().collect()]  # at most ``lead`` numbers
 
     def hashed(n: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.slice("w", i, F.lit(n))))
         return F.when(F.size("w") >= n, runs).otherwise(F.array().cast("array<bigint>"))
 
-    texts = docs.select(F.col(doc), T.normalize(text).alias("whole"))
-    runs = texts.select(doc, T.split_tokens(F.col("whole")).alias("w")).select(doc, F.explode(F.concat(F.array().cast("array<bigint>"), *[hashed(n) for n in sizes])).alias("lead"))
+    runs = docs.select(F.col(doc), T.normalize(text).alias("whole")).select(doc, T.split_tokens(F.col("whole")).alias("w")).select(doc, F.explode(F.concat(F.array().cast("array<bigint>"), *[hashed(n) for n in sizes])).alias("lead"))
     heads = leads.select(item, "lead")
-    found = runs.join(F.broadcast(heads) if heads.count() <= MOST_LEADS else heads, "lead").select(doc, item).distinct()
-    return found.join(texts, doc).join(leads.select(item, "part"), item).where(T.contains_run(F.col("whole"), F.col("part"))).select(doc, item)
+    found = checkpointed(runs.join(F.broadcast(heads) if heads.count() <= MOST_LEADS else heads, "lead").select(doc, item).distinct())
+    small = F.broadcast if found.count() <= MOST_LEADS else lambda df: df
+    texts = docs.join(small(found.select(doc)), doc, "left_semi").select(F.col(doc), T.normalize(text).alias("whole"))
+    return texts.join(small(found), doc).join(leads.select(item, "part"), item).where(T.contains_run(F.col("whole"), F.col("part"))).select(doc, item)
 
 
 def looks_easy(question: Column, aliases: Column, least_aliases: int = 12, most_words: int = 20, most_alias_words: int = 4) -> Column:

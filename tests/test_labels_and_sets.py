@@ -117,6 +117,16 @@ def test_stated_items(spark):
     assert got == [(1, 1), (1, 5), (2, 1), (2, 5), (4, 2), (5, 5)]
 
 
+def test_stated_items_normalizes_candidates_only(spark):
+    """The second reading of texts is cut to candidates before it normalizes them."""
+    docs = spark.createDataFrame([(1, "x Alpha beta, gamma y"), (2, "alpha beta"), (2, "alpha beta gamma"), (3, None)], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta")], "item_id int, text string")
+    got = D.stated_items(docs, items)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS whole") < plan.index("Join LeftSemi")
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 2)]
+
+
 def test_row_set_sum(spark):
     df = spark.range(100).select(F.col("id").alias("qid"))
     a, b = D.row_set_sum(df).first(), D.row_set_sum(df.orderBy(F.desc("qid")).repartition(3)).first()
